@@ -1,15 +1,64 @@
-"""A corpus pipeline over documents; STAGES are filled in as their operators land."""
+"""A corpus pipeline: quality, near-duplicates, repeated passages, test items, token ids.
+
+run() writes each stage's rows to the shared folder that the cluster names and rereads them as the next stage's input,
+so a stage's work is done once, whatever becomes of its executors later.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quill.llm.byte_bpe import encode_digests
+from quill.llm.common import materialize
+from quill.llm.decontamination import contaminated
+from quill.llm.quality import score, train
+from quill.llm.simhash import near_duplicates
+from quill.llm.substrings import dedupe
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is under 0.3 go."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs.select(COLUMNS), model).where("score >= 0.3").select(COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays; of rows that repeat its id, one."""
+    groups = near_duplicates(docs)
+    stay = groups.where("id = component_id").select("id").distinct()
+    kept = docs.join(stay, docs["doc_id"] == stay["id"], "left_semi").select(COLUMNS)
+    return kept.dropDuplicates(["doc_id"])
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in passages of 50 words that an earlier document has are cut; a document that loses all its words goes."""
+    cut = dedupe(docs, carry=("lang", "source")).where("n_removed = 0 OR n_removed < n_words")
+    return cut.select(F.col("id").alias("doc_id"), "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a test item go."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
+    import public_tokenizers
+
+    return encode_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+
 
-STAGES = []
+STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_dedup), ("substring dedup", repeats), ("benchmark decontamination", decontaminate), ("byte-level BPE", encode)]
+#: The classifier's fit, the hashes' links and the encoding are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

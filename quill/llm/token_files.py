@@ -193,7 +193,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 if out:
                     yield batch(out)
 
-    return manifest.select("uri", "base").repartition(manifest.count()).mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("uri", "base").repartition(max(1, manifest.count())).mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
