@@ -10,6 +10,9 @@ words learned from turn them into log probabilities. Single bytes are pieces too
 On top of the pieces, whole words are edges of the lattice as well, with absolutely discounted counts; the discounted
 mass goes to the piece paths: P(w) = max(c - D, 0) / N + (D V / N) P_pieces(w), and P sums to one over all words. D is
 n1 / (n1 + 2 n2), of the words counted once and twice.
+
+There is one such model for each class of the texts learned from (their language), and a text is a mixture: its class is
+unknown, and its probability is the sum over all classes of the class's share times the probability it gives the text.
 """
 
 from __future__ import annotations
@@ -98,12 +101,13 @@ class Lattice:
                 row.append(ids if (ids >= 0).any() else None)
             yield row
 
-    def forward(self, edges: Iterable[list[np.ndarray | None]], t: int, n: int) -> np.ndarray:
+    def forward(self, edges: Iterable[list[np.ndarray | None]], t: int, n: int, logs: np.ndarray | None = None) -> np.ndarray:
         """alpha[end]: log of the summed weights of all segmentations of the first `end` bytes of n words of t bytes."""
+        logs = self.logs if logs is None else logs
         alpha = np.full((t + 1, n), -np.inf)
         alpha[0] = 0
         for end, row in enumerate(edges, 1):
-            terms = [np.where(ids >= 0, self.logs[ids], -np.inf) + alpha[end - 1 - k] for k, ids in enumerate(row) if ids is not None]
+            terms = [np.where(ids >= 0, logs[ids], -np.inf) + alpha[end - 1 - k] for k, ids in enumerate(row) if ids is not None]
             top = np.maximum.reduce(terms)
             total = np.zeros(n)
             for x in terms:
@@ -111,11 +115,15 @@ class Lattice:
             alpha[end] = top + np.log(total)
         return alpha
 
-    def marginals(self, words: list[bytes]) -> np.ndarray:
-        """Natural-log marginal of each word, its leading space added."""
-        out = np.zeros(len(words))
+    def marginals(self, words: list[bytes], weights: list[np.ndarray] | None = None) -> np.ndarray:
+        """Natural-log marginal of each word, its leading space added; a row for each of the weights (log probabilities of the pieces)."""
+        weights = weights or [self.logs]
+        out = np.zeros((len(weights), len(words)))
         for at, grid in by_length(words):
-            out[at] = self.forward(self.edges(grid), grid.shape[1], grid.shape[0])[-1]
+            n, t = grid.shape
+            edges = list(self.edges(grid)) if t <= 1024 else None
+            for k, logs in enumerate(weights):  # the lattice of a very long word is built anew each time, not kept
+                out[k, at] = self.forward(edges or self.edges(grid), t, n, logs)[-1]
         return out
 
     def expected(self, words: list[bytes]) -> np.ndarray:
@@ -159,9 +167,14 @@ def _tokens(batch_column) -> tuple[np.ndarray, pa.Array]:
     return rows, pa.array([w for x in lists for w in x], pa.binary())
 
 
-def learn(docs: DataFrame, vocab_path: str, held_out) -> tuple[DataFrame, int, int]:
-    """(words with their count c and log10 probabilities base and p, N, V) of all texts; counts come from rows where held_out is false."""
-    rows = docs.select(held_out.alias("out"), F.col("text").cast("binary").alias("t"))
+def learn(docs: DataFrame, vocab_path: str, classes: list[int]) -> tuple[DataFrame, int, np.ndarray]:
+    """docs: columns class (its number, -1 for rows not learned from) and text. classes: documents learned from, by class.
+
+    Returns all texts' words with `known`, `base` and, by class, log10 probabilities p0, p1, ...; N; log10 of the classes' shares.
+    """
+    n_classes = len(classes)
+    names, logs = vocabulary(vocab_path)
+    sums = [f"c{k}" for k in range(n_classes)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,59 +182,80 @@ def learn(docs: DataFrame, vocab_path: str, held_out) -> tuple[DataFrame, int, i
                 part = b.slice(s, 2048)
                 at, tokens = _tokens(part.column(1))
                 coded = tokens.dictionary_encode()
-                ids = coded.indices.to_numpy(zero_copy_only=False)
-                trained = ~np.asarray(part.column(0))[at]
-                c = np.bincount(ids[trained], minlength=len(coded.dictionary))
-                yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(c, pa.int64())], names=["word", "c"])
-
-    counts = materialize(rows.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
-    total, distinct, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), *[F.count_if(x) for x in (F.col("c") > 0, F.col("c") == 1, F.col("c") == 2)]).first()
-    discount = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
-    names, logs = vocabulary(vocab_path)
+                ids, width, kind = coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary), np.asarray(part.column(0))[at]
+                yield pa.RecordBatch.from_arrays([coded.dictionary, *(pa.array(np.bincount(ids[kind == k], minlength=width), pa.int64()) for k in range(n_classes))], names=["word", *sums])
+
+    rows = docs.select("class", F.col("text").cast("binary").alias("t"))
+    counts = rows.mapInArrow(count, ", ".join(["word binary", *(f"{c} long" for c in sums)])).groupBy("word").agg(*[F.sum(c).alias(c) for c in sums])
+    counts = materialize(counts, "counts")
+    whole = sum((F.col(c) for c in sums[1:]), F.col(sums[0]))
+    facts = [x for c in (whole, *map(F.col, sums)) for x in (F.coalesce(F.sum(c), F.lit(0)), F.count_if(c > 0), F.count_if(c == 1), F.count_if(c == 2))]
+    facts = np.array(counts.agg(*[x.alias(f"x{i}") for i, x in enumerate(facts)]).first(), np.float64).reshape(-1, 4)
+    total, distinct = int(facts[0, 0]), int(facts[0, 1])
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, sums = Lattice(*vocabulary(vocab_path)), np.zeros(len(names))
+        lattice, found = Lattice(names, logs), np.zeros((n_classes, len(names)))
         for b in batches:
-            sums += lattice.expected(b.column(0).to_pylist())
-        some = np.nonzero(sums)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["piece", "n"])
-
-    # at most one row a piece of the vocabulary
-    seen = counts.where((F.col("c") > 0) & (F.col("word") != F.lit(END))).select("word")
-    learned = np.zeros(len(names))
-    for r in seen.mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
-        learned[r["piece"]] = r["n"]
+            words = np.array(b.column(0).to_pylist(), object)
+            for k in range(n_classes):
+                found[k] += lattice.expected(words[np.asarray(b.column(1 + k)) > 0].tolist())
+        k, piece = np.nonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(piece), pa.array(found[k, piece])], names=["class", "piece", "n"])
+
+    # at most one row for each class and piece of the vocabulary
+    learned = np.zeros((n_classes, len(names)))
+    for r in counts.where(F.col("word") != F.lit(END)).mapInArrow(expect, "class long, piece long, n double").groupBy("class", "piece").agg(F.sum("n").alias("n")).collect():
+        learned[r["class"], r["piece"]] = r["n"]
     learned = np.round(learned, 6) + 0.01
-    logs = np.log(learned / learned.sum())
+    weights = list(np.log(learned / learned.sum(axis=1, keepdims=True)))
+    discounts = [min(0.95, max(0.05, f[2] / max(1, f[2] + 2 * f[3]))) for f in facts[1:]]
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(names, logs)
         for b in batches:
-            words, c = b.column(0).to_pylist(), np.asarray(b.column(1)).astype(np.float64)
-            base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
+            words = b.column(0).to_pylist()
+            c = np.array([np.asarray(b.column(1 + k)) for k in range(n_classes)], np.float64)
+            every = c.sum(axis=0)
             ends = np.array([w == END for w in words], bool)
-            spelled = np.exp(lattice.marginals(words))
-            n = max(total, 1)
-            p = np.maximum(c - discount, 0) / n + (discount * distinct / n if total else 1.0) * np.where(ends, 0.5 if not total else 0.0, spelled)
-            tiny = p <= 0  # an end never seen, or a word too long for a double
-            p = np.log10(np.where(tiny, 1, p))
-            if tiny.any():
-                p[tiny] = np.where(ends[tiny], base[tiny], lattice.marginals([w for w, x in zip(words, tiny, strict=True) if x]) / np.log(10))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c > 0), pa.array(base), pa.array(p)], names=["word", "known", "base", "p"])
-
-    return counts.mapInArrow(price, "word binary, known boolean, base double, p double"), total, distinct
-
-
-def score(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
+            spelled = lattice.marginals(words, weights) / np.log(10)
+            out = []
+            for k in range(n_classes):
+                n, seen = facts[1 + k, 0], facts[1 + k, 1]
+                if not n:  # nothing learned: each text ends with a probability of one half at each word
+                    out.append(np.where(ends, np.log10(0.5), np.log10(0.5) + spelled[k]))
+                    continue
+                rest = np.where(ends, -np.inf, np.log10(discounts[k] * seen / n) + spelled[k])
+                with np.errstate(divide="ignore"):
+                    out.append(np.logaddexp2(np.log2(np.maximum(c[k] - discounts[k], 0) / n), rest * np.log2(10)) * np.log10(2))
+            base = np.log10((every + 0.1) / (total + 0.1 * (distinct + 1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(every > 0), pa.array(base), *map(pa.array, out)], names=["word", "known", "base", *(f"p{k}" for k in range(n_classes))])
+
+    priced = counts.mapInArrow(price, ", ".join(["word binary", "known boolean", "base double", *(f"p{k} double" for k in range(n_classes))]))
+    share = np.array(classes, np.float64)
+    return priced, total, np.log10(share / share.sum())
+
+
+def score(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang", folds: int = 10, most: int = 8) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs.
 
-    Null and empty texts are one end token. Rows with a null id are held out of nothing: they are learned from. Repeated
-    rows count as often as they come. Words of all texts meet their counts in one shuffle, by word; no table of words is
-    ever held by a task whole or sent to the driver.
+    class_col sorts the texts learned from into classes: each of the `most` most frequent values is one, all others and
+    null together another. It is read of those texts alone and is no input of a score. Null and empty texts are one end
+    token. Rows with a null id are held out of nothing: they are learned from. Repeated rows count as often as they
+    come. Words of all texts meet their counts in one shuffle, by word; no table of words is ever held whole by a task
+    or sent to the driver.
     """
     held_out = F.coalesce(fold(id_col, folds) == 0, F.lit(False))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out.alias("out"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    priced, total, _ = learn(rows, vocab_path, F.col("out"))
+    label = F.lit(None).cast("string") if class_col is None else F.col(class_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out.alias("out"), label.alias("label"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    sizes = rows.where(~F.col("out")).groupBy("label").count()
+    named = sizes.where("label IS NOT NULL").orderBy(F.desc("count"), "label").limit(most).collect()
+    others = (sizes.agg(F.sum("count")).first()[0] or 0) - sum(r["count"] for r in named)
+    classes = [*(r["count"] for r in named), *([others] if others or not named else [])]
+    number = F.lit(len(named))
+    for k, r in enumerate(named):
+        number = F.when(F.col("label").eqNullSafe(F.lit(r["label"])), k).otherwise(number)
+    number = F.when(F.col("out"), -1).otherwise(number).cast("int")
+    priced, total, shares = learn(rows.select(number.alias("class"), "text"), vocab_path, [c or 1 for c in classes])
     priced = materialize(priced, "priced")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +266,7 @@ def score(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: st
                 coded = tokens.dictionary_encode()
                 width = len(coded.dictionary)
                 both, n = np.unique(at * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-                row, word = both // width, pa.array(both % width)
-                take = pa.array(row)
+                take, word = pa.array(both // width), pa.array(both % width)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), coded.dictionary.take(word), pa.array(n, pa.int32())], names=["row", "id", "out", "word", "n"])
 
     tokens = rows.select("row", "id", "out", F.col("text").cast("binary").alias("t")).mapInArrow(count, "row long, id long, out boolean, word binary, n int")
@@ -242,13 +275,15 @@ def score(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: st
         F.sum("n").cast("long").alias("n_tokens"),
         F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0)).cast("long").alias("n_known"),
         F.sum(F.col("n") * F.col("base")).alias("base_score"),
-        F.sum(F.col("n") * F.col("p")).alias("score"),
+        *[(F.sum(F.col("n") * F.col(f"p{k}")) + F.lit(float(x))).alias(f"s{k}") for k, x in enumerate(shares)],
     )
-    return sums.select("id", F.col("out").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    best = F.greatest(*[F.col(f"s{k}") for k in range(len(shares))], F.lit(float("-inf")))
+    total_p = sum((F.pow(F.lit(10.0), F.col(f"s{k}") - best) for k in range(len(shares))), F.lit(0.0))
+    return sums.select("id", F.col("out").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (best + F.log10(total_p)).alias("score"))
 
 
 def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = score(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    out = score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return out.withColumnRenamed("id", "doc_id")

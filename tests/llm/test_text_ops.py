@@ -140,7 +140,7 @@ def test_lattice_lm(spark):
     rng = random.Random(4)
     texts = [(i, " ".join(rng.choice(["The", "cat", "sat", "on", "a mat\n", "été", "word%d" % rng.randrange(80)]) for _ in range(rng.randrange(40)))) for i in range(200)]
     texts += [(None, "null id here"), (7, None), (7, ""), (900, "y" * 5000), (7, "The cat")]
-    frame = spark.createDataFrame([(i, t, 1.0, "w") for i, t in texts], "doc_id long, text string, score double, word string").repartition(3)
+    frame = spark.createDataFrame([(i, t, 1.0, "w", ["en", "fr", None][k % 3]) for k, (i, t) in enumerate(texts)], "doc_id long, text string, score double, word string, lang string").repartition(3)
     got = lattice_lm.score(frame, public_tokenizers.path("piece_bpe_32k.model")).collect()
     assert len(got) == len(texts)
 
@@ -154,8 +154,7 @@ def test_lattice_lm(spark):
     n, v = sum(c.values()), len(c)
     want = sorted((str(i), out(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t)), 6)) for i, t in texts)
     assert want == sorted((str(r.id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got)
-    held = [r for r in got if r.held_out]
-    assert all(r.score < 0 for r in got) and sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
     assert lattice_lm.score(frame.limit(0), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
@@ -252,3 +251,10 @@ def test_offered_phrases_cover_every_window(n):
     chosen = set(substrings.offered(p).tolist())
     for j in range(n - 49):
         assert min(p[j : j + 39].tolist()) in chosen
+
+
+def test_lattice_lm_beats_the_base_where_texts_are_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = lattice_lm.score(docs, public_tokenizers.path("piece_bpe_32k.model")).where("held_out").collect()
+    assert len(held) > 50 and sum(r.score for r in held) > sum(r.base_score for r in held)
+
