@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Maps A-Z to a-z and leaves every other byte alone.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,10 +35,17 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later plans start from files that outlive any executor."""
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df to the shared folder and reads it back: later plans start from files that outlive any executor, and the
+    shuffles that made them are deleted at once."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, tag)
+    before = spark.conf.get(CLEANUP, "false")
+    df = df.select("*")  # a plan of its own, made under the setting
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def row_splits(df: DataFrame) -> int:

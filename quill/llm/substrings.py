@@ -148,49 +148,64 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
         raise ValueError("a phrase must fit in a window")
     shards = 2 * row_splits(df)
     extra = [c for c in carry]
-    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_t"), F.pmod(F.xxhash64(id_col, F.octet_length(text_col)), F.lit(shards)).cast("int").alias("_shard"), F.struct(*extra, F.lit(0).alias("_")).alias("_rest"))
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    rows = df.select(
+        F.col(id_col).cast("long").alias("_id"), text.alias("_t"), F.pmod(F.xxhash64(id_col, F.octet_length(text)), F.lit(shards)).cast("int").alias("_shard"),
+        F.unhex(F.md5(text)).alias("_digest"), F.struct(*extra, F.lit(0).alias("_")).alias("_rest"),
+    )
+    firsts = rows.where("_id IS NOT NULL").groupBy("_digest").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last")
+    copies = rows.select("_id", "_shard", "_digest").join(firsts, "_digest").where("_id > _first").select("_shard", "_id", "_digest").distinct()
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, shard, hashes = [], [], []
+            shard, hashes, texts = [], [], []
             for i, t, s in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 if i is not None and t:
                     h = offered(phrase_hashes(t.split(), phrase), window, phrase)
                     hashes.append(h.view(np.int64))
-                    ids.append(np.full(len(h), i, np.int64))
                     shard.append(np.full(len(h), s, np.int32))
+                    texts.append(np.full(len(h), np.uint64(xxhash.xxh64_intdigest(t))).view(np.int64))
             if hashes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, shard, hashes)], names=["id", "shard", "h"])
-
-    offers = materialize(rows.select("_id", "_t", "_shard").mapInArrow(offer, "id long, shard int, h long"), "offers")
-    recurring = offers.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
-    wanted = offers.select("shard", "h").distinct().join(recurring, "h").select(F.col("shard").alias("_shard"), "h")
-
-    def stream(docs: pd.DataFrame, hashes: pd.DataFrame) -> pd.DataFrame:
-        texts = [(t or b"").split() for t in docs["_t"]]
-        found = locate(texts, set(hashes["h"].to_numpy(np.int64).view(np.uint64).tolist()), phrase)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (shard, hashes, texts)], names=["shard", "h", "text"])
+
+    offers = materialize(rows.select("_id", "_t", "_shard").mapInArrow(offer, "shard int, h long, text long"), "offers")
+    recurring = offers.groupBy("h").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo < hi").select("h")
+    wanted = offers.select("shard", "h").distinct().join(recurring, "h").select(F.col("shard").alias("_shard"), "h", F.lit(None).cast("long").alias("_id"), F.lit(None).cast("binary").alias("_digest"))
+    # what a shard is told: its recurring phrases, and which of its texts are copies
+    told = wanted.union(copies.select("_shard", F.lit(None).cast("long").alias("h"), "_id", "_digest"))
+
+    def stream(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        marks = told[told["_digest"].notna()]
+        whole = set(zip(marks["_id"].astype(int), map(bytes, marks["_digest"]), strict=True))
+        copy = [(None if pd.isna(i) else int(i), bytes(d)) in whole for i, d in zip(docs["_id"], docs["_digest"], strict=True)]
+        texts = [t.split() for t in docs["_t"]]
+        phrases = told["h"].dropna().astype("int64").to_numpy().view(np.uint64)
+        found = locate([[] if c else w for w, c in zip(texts, copy, strict=True)], set(phrases.tolist()), phrase)
         starts = [candidate_windows(len(w), at, window, phrase) for w, at in zip(texts, found, strict=True)]
+        gone = [len(w) if c and len(w) >= window else 0 for w, c in zip(texts, copy, strict=True)]
         return pd.DataFrame({
-            "id": docs["_id"].astype("Int64"), "rest": docs["_rest"], "n_words": [len(w) for w in texts],
-            "kept_sha256": [kept_digest(w) for w in texts],
-            "text": [t if with_text or len(s) else None for t, s in zip(docs["_t"], starts, strict=True)],
+            "id": docs["_id"].astype("Int64"), "rest": docs["_rest"], "n_words": [len(w) for w in texts], "n_removed": gone,
+            "kept_sha256": [kept_digest([] if n else w) for w, n in zip(texts, gone, strict=True)],
+            "text": [(b"" if n else t) if with_text or len(s) else None for t, s, n in zip(docs["_t"], starts, gone, strict=True)],
             "starts": [s.astype("<i4").tobytes() if len(s) else None for s in starts],
-            "hashes": [window_hashes(w, s, window) if len(s) else None for w, s in zip(texts, starts, strict=True)],
         })
 
     rest = rows.schema["_rest"].dataType.simpleString()
-    schema = f"id long, rest {rest}, n_words long, kept_sha256 string, text binary, starts binary, hashes binary"
-    streamed = rows.groupBy("_shard").cogroup(wanted.groupBy("_shard")).applyInPandas(stream, schema)
+    schema = f"id long, rest {rest}, n_words long, n_removed long, kept_sha256 string, text binary, starts binary"
+    # phrases and marks are told as h: a long with nulls would come as a double, so it goes as a string
+    told = told.withColumn("h", F.col("h").cast("string"))
+    streamed = rows.groupBy("_shard").cogroup(told.groupBy("_shard")).applyInPandas(stream, schema)
     located = materialize(streamed.select(F.monotonically_increasing_id().alias("uid"), "*"), "located")
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for uid, i, s, h in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                s, h = np.frombuffer(s, "<i4"), np.frombuffer(h, "<i8").reshape(-1, 2)
+            for uid, i, s, t in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                s = np.frombuffer(s, "<i4")
+                h = np.frombuffer(window_hashes(t.split(), s, window), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), uid, np.int64)), pa.array(np.full(len(s), i, np.int64)), pa.array(s), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], names=["uid", "id", "start", "h1", "h2"])
 
     hits = located.where("starts IS NOT NULL AND id IS NOT NULL")
-    windows = hits.select("uid", "id", "starts", "hashes").mapInArrow(flat, "uid long, id long, start int, h1 long, h2 long")
+    windows = hits.select("uid", "id", "starts", "text").mapInArrow(flat, "uid long, id long, start int, h1 long, h2 long")
     owners = windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
     covered = windows.join(owners, ["h1", "h2"]).where("id > lo").groupBy("uid").agg(F.collect_list("start").alias("covered"))  # of one document
     out = f"id long, rest {rest}, n_words long, n_removed long, kept_sha256 string, text binary"
@@ -207,7 +222,7 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.binary())], names=["id", "rest", "n_words", "n_removed", "kept_sha256", "text"])
 
     cut = hits.join(covered, "uid").select("id", "rest", "n_words", "text", "covered").mapInArrow(remove, out)
-    same = located.join(covered.select("uid"), "uid", "left_anti").select("id", "rest", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.col("text") if with_text else F.lit(None).cast("binary").alias("text"))
+    same = located.join(covered.select("uid"), "uid", "left_anti").select("id", "rest", "n_words", "n_removed", "kept_sha256", F.col("text") if with_text else F.lit(None).cast("binary").alias("text"))
     return same.union(cut).select("id", *[F.col("rest")[c].alias(c) for c in extra], "n_words", "n_removed", "kept_sha256", F.col("text").cast("string").alias("text"))
 
 
