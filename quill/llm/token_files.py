@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 from pyspark import TaskContext
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, row_splits, scratch, table
 
-END_ID, CACHE = 1, 250_000
+END_ID = 1
 SLOT = np.dtype([("fingerprint", "<u4"), ("start", "<u8"), ("n", "<u4")])
 
 
@@ -99,29 +100,73 @@ class Shard:
 
 
 class ChunkEncoder:
-    """Encodes with a tokenizers file; the ids of stretches between spaces and line feeds are kept in a bounded cache.
+    """Encodes with a tokenizers file; each different stretch between spaces and line feeds is encoded once a block of texts.
 
-    That is the same as encoding the whole text for tokenizers whose normaliser and pre-tokeniser drop white space and
-    never join what it separates; the query's file is one such, and the tests compare both.
+    That is the same as encoding the whole text for tokenizers whose normaliser and pre-tokeniser drop white space, never
+    join what it separates, take runs of letters by themselves and lower the case; the query's file is one such, and the
+    tests compare both. So a comma or full stop that ends a stretch after a Latin letter is a stretch of its own, and
+    texts all of ASCII are lower-cased at once, unless they may spell a special token. Stretches of Latin letters,
+    in lower case, are pre-tokens; with their bytes spelled as the vocabulary does, they go straight to the model.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer = Tokenizer.from_file(path)
+        spell = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {i: spell.pre_tokenize_str(chr(i))[0][0] for i in range(0x80, 0x250) if chr(i).isalpha()}
+        with open(path, encoding="utf-8") as f:
+            bare = json.load(f) | {"normalizer": None, "pre_tokenizer": None}
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_str(json.dumps(bare))
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
 
-    def encode(self, text: str, end_id: int = END_ID) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        new = list(set(parts).difference(cache))
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[p] = np.array(e.ids, self.kind).tobytes()
-        return b"".join([cache[p] for p in parts]) + np.array([end_id], self.kind).tobytes()
+    def stretches(self, texts: pa.Array) -> pa.ListArray:
+        plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
+        texts = pc.if_else(plain, pc.ascii_lower(texts), texts)
+        texts = pc.replace_substring_regex(texts, "([A-Za-zÀ-ÖØ-öø-įı-ɏ])([.,])([ \n])", r"\1 \2\3")
+        return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+
+    def ids_of(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all stretches one after another, how many each has)."""
+        # of these letters, each has one lower-case form, by itself and wherever it stands
+        low = [x.lower() if x.isalpha() and max(x) < "\u0250" else "" for x in stretches]
+        flags = [x.isalpha() and x.islower() for x in low]
+        letters = np.array(flags, bool)
+        counts, found = np.zeros(len(stretches), np.int64), []
+        bare = None
+        if letters.any():
+            words = [x if x.isascii() else x.translate(self.spelling) for x, y in zip(low, flags, strict=True) if y]
+            bare = self.bare.encode_batch([words], is_pretokenized=True, add_special_tokens=False)[0]
+        if bare is not None:
+            counts[letters] = np.bincount(np.array(bare.word_ids, np.int64), minlength=int(letters.sum()))
+        for i, e in zip(np.nonzero(~letters)[0].tolist(), self.tokenizer.encode_batch_fast([x for x, y in zip(stretches, flags, strict=True) if not y], add_special_tokens=False), strict=True):
+            found += e.ids
+            counts[i] = len(e.ids)
+        out, of_letters = np.zeros(counts.sum(), self.kind), np.repeat(letters, counts)
+        out[of_letters] = np.array(bare.ids if bare is not None else [], self.kind)
+        out[~of_letters] = np.array(found, self.kind)
+        return out, counts
+
+    def encode(self, texts: pa.Array, end_id: int = END_ID, block: int = 1 << 24) -> Iterator[np.ndarray]:
+        """The ids of each text and the end id; texts are taken in blocks of about `block` bytes, or one longer text."""
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + block, "right")))
+            lists = self.stretches(texts.slice(at, to - at))
+            coded = lists.flatten().dictionary_encode()
+            ids, counts = self.ids_of(coded.dictionary.to_pylist())
+            which = coded.indices.to_numpy(zero_copy_only=False)
+            n = counts[which]
+            ends = np.cumsum(n)
+            starts = (np.cumsum(counts) - counts)[which]
+            out = ids[np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+            ends = np.concatenate([[0], ends])
+            bounds = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])].tolist()
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                yield np.append(out[a:b], self.kind.type(end_id))
+            at = to
 
 
 @lru_cache(maxsize=2)
@@ -145,13 +190,13 @@ def write_token_files(df: DataFrame, out_uri: str, encode: Callable[[], ChunkEnc
         keys, listed, counts, last, nth = [], [], [], object(), 0
         with fs.open_output_stream(temp + ".ids") as f:
             for b in batches:
-                for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for key, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1)), strict=True):
                     nth = nth + 1 if key == last else 0
                     last = key
-                    f.write(ids := enc.encode(t))
+                    f.write(ids.tobytes())
                     keys.append(key_bytes(key, nth))
                     listed.append(key)
-                    counts.append(len(ids) // enc.kind.itemsize)
+                    counts.append(len(ids))
         shifts, at = build_mph(keys)
         slots = np.zeros(len(keys), SLOT)
         n = np.array(counts, np.int64)

@@ -10,6 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -168,3 +169,15 @@ def test_mph():
     keys = [b"%d" % i for i in range(1000)]
     _, slots = token_files.build_mph(keys)
     assert sorted(slots.tolist()) == list(range(1000))
+
+
+def test_stretches_encode_as_the_whole_text():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, enc = Tokenizer.from_file(path), token_files.ChunkEncoder(path)
+    rng = random.Random(8)
+    bits = ["The", "cat", "sat.", ",", ".", " ", "  ", "\n", "\t", "é", "e\u0301", "H\u0331", "İ,", "Σ.", "don't", "DON'T,", "12", "<|endoftext|>", "<|ENDOFTEXT|>", "|", "\u2003", "\x1c", "a.b,c", "ﬁ", "一,", "\u0301", "x\u0307."]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(30))) for _ in range(3000)] + [" ".join(rng.choices(bits, k=20)) for _ in range(2000)]
+    for t, ids in zip(texts, enc.encode(pa.array(texts), block=500), strict=True):
+        assert ids.tolist() == [*plain.encode(t, add_special_tokens=False).ids, 1], t
