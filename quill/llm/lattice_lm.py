@@ -21,7 +21,10 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ from .common import LOWER, materialize, table
 from .quality import fold
 
 LONGEST, BASE = 16, np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of different words, as batches bring them, after which a block of texts is full.
+BLOCK_BYTES = 1 << 24
 #: Stands for the end of a text; no word holds white space.
 END = b"\n"
 
@@ -160,6 +165,19 @@ def by_length(words: list[bytes], most: int = 1 << 19) -> Iterator[tuple[np.ndar
             yield part, grid
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Fewer and larger batches: lattices are built for words of one length at a time."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _tokens(batch_column) -> tuple[np.ndarray, pa.Array]:
     """(row of each token, tokens) of a column of binary texts, lower-cased, with an end token a text."""
     lists = [(*t.translate(LOWER).split(), END) if t else (END,) for t in batch_column.to_pylist()]
@@ -167,10 +185,11 @@ def _tokens(batch_column) -> tuple[np.ndarray, pa.Array]:
     return rows, pa.array([w for x in lists for w in x], pa.binary())
 
 
-def learn(docs: DataFrame, vocab_path: str, classes: list[int]) -> tuple[DataFrame, int, np.ndarray]:
+def learn(docs: DataFrame, vocab_path: str, classes: list[int]) -> tuple[DataFrame, int, int, np.ndarray]:
     """docs: columns class (its number, -1 for rows not learned from) and text. classes: documents learned from, by class.
 
-    Returns all texts' words with `known`, `base` and, by class, log10 probabilities p0, p1, ...; N; log10 of the classes' shares.
+    Returns all texts' words with their count c and, by class, log10 probabilities p0, p1, ... (to float precision); N; V;
+    log10 of the classes' shares.
     """
     n_classes = len(classes)
     names, logs = vocabulary(vocab_path)
@@ -195,7 +214,7 @@ def learn(docs: DataFrame, vocab_path: str, classes: list[int]) -> tuple[DataFra
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, found = Lattice(names, logs), np.zeros((n_classes, len(names)))
-        for b in batches:
+        for b in gathered(batches):
             words = np.array(b.column(0).to_pylist(), object)
             for k in range(n_classes):
                 found[k] += lattice.expected(words[np.asarray(b.column(1 + k)) > 0].tolist())
@@ -212,7 +231,7 @@ def learn(docs: DataFrame, vocab_path: str, classes: list[int]) -> tuple[DataFra
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(names, logs)
-        for b in batches:
+        for b in gathered(batches):
             words = b.column(0).to_pylist()
             c = np.array([np.asarray(b.column(1 + k)) for k in range(n_classes)], np.float64)
             every = c.sum(axis=0)
@@ -227,12 +246,11 @@ def learn(docs: DataFrame, vocab_path: str, classes: list[int]) -> tuple[DataFra
                 rest = np.where(ends, -np.inf, np.log10(discounts[k] * seen / n) + spelled[k])
                 with np.errstate(divide="ignore"):
                     out.append(np.logaddexp2(np.log2(np.maximum(c[k] - discounts[k], 0) / n), rest * np.log2(10)) * np.log10(2))
-            base = np.log10((every + 0.1) / (total + 0.1 * (distinct + 1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(every > 0), pa.array(base), *map(pa.array, out)], names=["word", "known", "base", *(f"p{k}" for k in range(n_classes))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(every.astype(np.int64)), *(pa.array(x.astype(np.float32)) for x in out)], names=["word", "c", *(f"p{k}" for k in range(n_classes))])
 
-    priced = counts.mapInArrow(price, ", ".join(["word binary", "known boolean", "base double", *(f"p{k} double" for k in range(n_classes))]))
+    priced = counts.mapInArrow(price, ", ".join(["word binary", "c long", *(f"p{k} float" for k in range(n_classes))]))
     share = np.array(classes, np.float64)
-    return priced, total, np.log10(share / share.sum())
+    return priced, total, distinct, np.log10(share / share.sum())
 
 
 def score(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang", folds: int = 10, most: int = 8) -> DataFrame:
@@ -241,12 +259,13 @@ def score(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: st
     class_col sorts the texts learned from into classes: each of the `most` most frequent values is one, all others and
     null together another. It is read of those texts alone and is no input of a score. Null and empty texts are one end
     token. Rows with a null id are held out of nothing: they are learned from. Repeated rows count as often as they
-    come. Words of all texts meet their counts in one shuffle, by word; no table of words is ever held whole by a task
-    or sent to the driver.
+    come. Texts are indexed in blocks of bounded size, and each block's list of words meets the counts of all words in one
+    shuffle, by word; what a block gathers is as large whatever the size of the corpus. No table of all words is ever held
+    by a task or sent to the driver.
     """
     held_out = F.coalesce(fold(id_col, folds) == 0, F.lit(False))
     label = F.lit(None).cast("string") if class_col is None else F.col(class_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out.alias("out"), label.alias("label"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out.alias("out"), label.alias("label"), F.col(text_col).alias("text"))
     sizes = rows.where(~F.col("out")).groupBy("label").count()
     named = sizes.where("label IS NOT NULL").orderBy(F.desc("count"), "label").limit(most).collect()
     others = (sizes.agg(F.sum("count")).first()[0] or 0) - sum(r["count"] for r in named)
@@ -255,31 +274,81 @@ def score(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: st
     for k, r in enumerate(named):
         number = F.when(F.col("label").eqNullSafe(F.lit(r["label"])), k).otherwise(number)
     number = F.when(F.col("out"), -1).otherwise(number).cast("int")
-    priced, total, shares = learn(rows.select(number.alias("class"), "text"), vocab_path, [c or 1 for c in classes])
+    priced, total, distinct, shares = learn(rows.select(number.alias("class"), "text"), vocab_path, [c or 1 for c in classes])
     priced = materialize(priced, "priced")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of texts, each with a list of its words: a row a text (which words, how often) and a row a word."""
+        task = TaskContext.get().partitionId() << 24
+        place, held = {}, 0
+
+        def listed(first: int) -> Iterator[pa.RecordBatch]:
+            names = list(place)
+            for s in range(0, len(names), 1 << 16):
+                part = names[s : s + (1 << 16)]
+                n = len(part)
+                yield block(np.full(n, task + first), [None] * n, [None] * n, [None] * n, [None] * n, np.arange(s, s + n), part)
+
+        def block(at, ids, out, which, n, at_word, words) -> pa.RecordBatch:
+            cols = [pa.array(at, pa.int64()), pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), pa.array(which, pa.binary()), pa.array(n, pa.binary()), pa.array(at_word, pa.int32()), pa.array(words, pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["block", "id", "out", "which", "n", "place", "word"])
+
+        first = 0
         for b in batches:
             for s in range(0, b.num_rows, 1024):
                 part = b.slice(s, 1024)
-                at, tokens = _tokens(part.column(3))
+                at, tokens = _tokens(part.column(2))
                 coded = tokens.dictionary_encode()
-                width = len(coded.dictionary)
-                both, n = np.unique(at * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-                take, word = pa.array(both // width), pa.array(both % width)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), coded.dictionary.take(word), pa.array(n, pa.int32())], names=["row", "id", "out", "word", "n"])
-
-    tokens = rows.select("row", "id", "out", F.col("text").cast("binary").alias("t")).mapInArrow(count, "row long, id long, out boolean, word binary, n int")
-    met = tokens.join(priced.hint("shuffle_hash"), "word")
-    sums = met.groupBy("row", "id", "out").agg(
-        F.sum("n").cast("long").alias("n_tokens"),
-        F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0)).cast("long").alias("n_known"),
-        F.sum(F.col("n") * F.col("base")).alias("base_score"),
-        *[(F.sum(F.col("n") * F.col(f"p{k}")) + F.lit(float(x))).alias(f"s{k}") for k, x in enumerate(shares)],
+                names = coded.dictionary.to_pylist()
+                own = np.fromiter((place.setdefault(w, len(place)) for w in names), np.int64, len(names))
+                both, n = np.unique(at * (1 << 40) + own[coded.indices.to_numpy(zero_copy_only=False)], return_counts=True)
+                cut = np.searchsorted(both >> 40, np.arange(part.num_rows + 1))
+                which = [packed(both[x:y] & ((1 << 40) - 1)) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                often = [packed(n[x:y], False) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                k = part.num_rows
+                yield block(np.full(k, task + first), part.column(0), part.column(1), which, often, [None] * k, [None] * k)
+                held += sum(map(len, names))
+                if held > BLOCK_BYTES:
+                    yield from listed(first)
+                    place, held, first = {}, 0, first + 1
+        if place:
+            yield from listed(first)
+
+    indexed = materialize(
+        rows.select("id", "out", F.col("text").cast("binary").alias("t")).mapInArrow(index, "block long, id long, out boolean, which binary, n binary, place int, word binary"), "indexed"
     )
-    best = F.greatest(*[F.col(f"s{k}") for k in range(len(shares))], F.lit(float("-inf")))
-    total_p = sum((F.pow(F.lit(10.0), F.col(f"s{k}") - best) for k in range(len(shares))), F.lit(0.0))
-    return sums.select("id", F.col("out").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (best + F.log10(total_p)).alias("score"))
+    pairs = indexed.where("word IS NOT NULL").select("block", "place", "word").join(priced.hint("shuffle_hash"), "word").drop("word")
+    texts = indexed.where("word IS NULL").select(F.col("block").alias("of_block"), "id", "out", "which", "n")
+    kinds = len(shares)
+
+    def add_up(texts: pd.DataFrame, prices: pd.DataFrame) -> pd.DataFrame:
+        c, p = np.zeros(len(prices)), np.zeros((kinds, len(prices)))
+        at = prices["place"].to_numpy()
+        c[at] = prices["c"]
+        for k in range(kinds):
+            p[k, at] = prices[f"p{k}"]
+        base, known = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1))), c > 0
+        out = []
+        for i, held, which, n in zip(texts["id"], texts["out"], texts["which"], texts["n"], strict=True):
+            which, n = unpacked(which), unpacked(n, False)
+            by_class = p[:, which] @ n + shares
+            best = by_class.max()
+            out.append((i, held, int(n.sum()), int(n[known[which]].sum()), total, float(base[which] @ n), float(best + np.log10((10.0 ** (by_class - best)).sum()))))
+        return pd.DataFrame(out, columns=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]).astype({"id": "Int64"})
+
+    schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return texts.groupBy("of_block").cogroup(pairs.groupBy("block")).applyInPandas(add_up, schema)
+
+
+def packed(x: np.ndarray, rising: bool = True) -> bytes:
+    """Whole numbers, as differences if they rise, by planes of bytes, compressed."""
+    x = np.diff(x, prepend=0) if rising else x
+    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(b: bytes, rising: bool = True) -> np.ndarray:
+    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+    return np.cumsum(x) if rising else x
 
 
 def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
