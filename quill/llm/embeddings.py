@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import Forest, components, materialize, table
 
 BLOCKS, CELL_AXES, TILE = 4, 2, 512
+#: Rows of the table of large cells (five numbers each) up to which it is broadcast.
+BROADCAST_CELLS = 100_000
 
 
 def rotation(dims: int, seed: int = 9) -> np.ndarray:
@@ -43,8 +45,15 @@ def _neighbours(axes: int) -> list[tuple[int, ...]]:
     return [o for o in product((-1, 0, 1), repeat=axes) if o >= (0,) * axes]
 
 
-def cells(batches: Iterator[pa.RecordBatch], cosine: float, blocks: int, axes: int) -> Iterator[pa.RecordBatch]:
-    """For each class: a row in its own cell (home) and one in half of its neighbours, so that a cell's homes meet what comes to it."""
+def units(v: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision; scaled first, so that squares neither overflow nor vanish."""
+    v = v.astype(np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def cells(batches: Iterator[pa.RecordBatch], cosine: float, blocks: int, axes: int, kind: str | None) -> Iterator[pa.RecordBatch]:
+    """kind: type of the components that go along ("<f4" or "<f8"), or None for places alone. For each class: a row in its own cell (home) and one in half of its neighbours, so that a cell's homes meet what comes to it."""
     slack = 1e-6
     for b in batches:
         ids, labels, copies = (np.asarray(b.column(k)) for k in range(3))
@@ -53,10 +62,9 @@ def cells(batches: Iterator[pa.RecordBatch], cosine: float, blocks: int, axes: i
         for k, v in enumerate(vectors):
             by_dims.setdefault(len(v), []).append(k)
         for dims, at in by_dims.items():
-            raw = np.array([vectors[k] for k in at], np.float64)
-            unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-            turned = unit @ rotation(dims)
-            packed = [v.astype("<f8").tobytes() for v in raw]
+            raw = np.array([vectors[k] for k in at], kind or "<f8")
+            turned = units(raw) @ rotation(dims)
+            packed = [v.tobytes() if kind else None for v in raw]
             for block, (lo, hi) in enumerate(spans(dims, blocks)):
                 used = min(axes, hi - lo)
                 width = np.sqrt((2 - 2 * cosine) * (hi - lo) / dims) + slack
@@ -74,7 +82,7 @@ def cells(batches: Iterator[pa.RecordBatch], cosine: float, blocks: int, axes: i
 def join_cell(block: int, dims: int, blocks: int, cosine: float, a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Verified links (positions in a, positions in b) of the pairs that `block` is the first to have in range. same: b is a, each pair once."""
     turn, parts, budget = rotation(dims), spans(dims, blocks), 2 - 2 * cosine
-    an, bn = a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
+    an, bn = units(a), units(b)
     at, bt = an @ turn, bn @ turn
     left, right = [], []
     lo, hi = parts[block]
@@ -96,10 +104,10 @@ def join_cell(block: int, dims: int, blocks: int, cosine: float, a: np.ndarray,
     return np.concatenate(left), np.concatenate(right)
 
 
-def join_group(group: pa.Table, block: int, dims: int, blocks: int, cosine: float) -> pa.RecordBatch | None:
+def join_group(group: pa.Table, block: int, dims: int, blocks: int, cosine: float, kind: str) -> pa.RecordBatch | None:
     """Links of one part of a cell: among its own homes, with the homes of other parts (from the side of the smaller id), with visitors."""
     home, mine, ids, copies = (np.asarray(group.column(k)) for k in range(5, 9))
-    v = np.frombuffer(b"".join(group.column(9).to_pylist()), "<f8").reshape(-1, dims)
+    v = np.frombuffer(b"".join(group.column(9).to_pylist()), kind).reshape(-1, dims)
     own, others, visitors = np.nonzero(home & mine)[0], np.nonzero(home & ~mine)[0], np.nonzero(~home)[0]
     if not len(own):
         return None
@@ -123,7 +131,7 @@ def join_group(group: pa.Table, block: int, dims: int, blocks: int, cosine: floa
     return pa.RecordBatch.from_arrays([pa.array([False] * len(some) + [True] * len(forest.kept)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["edge", "a", "b"])
 
 
-def join_cells(batches: Iterator[pa.RecordBatch], cosine: float, blocks: int) -> Iterator[pa.RecordBatch]:
+def join_cells(batches: Iterator[pa.RecordBatch], cosine: float, blocks: int, kind: str) -> Iterator[pa.RecordBatch]:
     """Rows sorted by cell and part: joins each part as soon as it is complete. Returns counts of links (a: id) and edges."""
 
     def groups() -> Iterator[pa.Table]:
@@ -140,7 +148,7 @@ def join_cells(batches: Iterator[pa.RecordBatch], cosine: float, blocks: int) ->
             yield held
 
     for g in groups():
-        if g.num_rows > 1 and (out := join_group(g, g.column(2)[0].as_py(), g.column(1)[0].as_py(), blocks, cosine)):
+        if g.num_rows > 1 and (out := join_group(g, g.column(2)[0].as_py(), g.column(1)[0].as_py(), blocks, cosine, kind)):
             yield out
 
 
@@ -153,27 +161,30 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     """
     if not 0 < cosine < 1:
         raise ValueError("the threshold is a cosine between 0 and 1")
+    single = df.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"
     label = F.lit(0) if label_col is None else F.col(label_col)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), label.cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), label.cast("long").alias("label"), F.col(vector_col).cast(f"array<{'float' if single else 'double'}>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
-    # squares must neither overflow nor vanish; the cosine stays the same
-    scaled = F.transform("v", lambda x: x / F.array_max(F.transform("v", lambda y: F.abs(y))))
     good = rows.where(usable)
     classes = materialize(good.groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
-    dealt = classes.select("id", "label", "copies", scaled.alias("v")).mapInArrow(
-        lambda batches: cells(batches, cosine, blocks, axes), "label long, dims int, block int, cell long, home boolean, id long, copies long, v binary"
-    )
+    named = "label long, dims int, block int, cell long, home boolean, id long, copies long, v binary"
     key = ["label", "dims", "block", "cell"]
-    dealt = materialize(dealt, "cells")
-    # a cell's homes are dealt to parts, and everything in the cell comes to each part
-    sizes = dealt.groupBy(*key).agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("n")).where("homes > 0 AND n > 1")
-    parts = F.ceil(F.col("n") / F.lit(limit)).cast("int")
-    whole = dealt.join(sizes, key).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("mine", F.pmod(F.xxhash64("id"), parts) == F.col("part"))
+
+    def dealt(with_vectors: bool) -> DataFrame:
+        return classes.select("id", "label", "copies", "v").mapInArrow(lambda batches: cells(batches, cosine, blocks, axes, kind if with_vectors else None), named)
+
+    # cells over the limit are dealt out in parts: a part has its own share of the homes, and everything in the cell comes to each part
+    large = materialize(dealt(False).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit), "large")
+    few = large.count() <= BROADCAST_CELLS
+    parts = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(limit)).cast("int")
+    whole = dealt(True).join(F.broadcast(large) if few else large, key, "left")
+    whole = whole.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("mine", F.pmod(F.xxhash64("id"), parts) == F.col("part"))
     key = [*key, "part"]
     order = [*key, "home", "mine", "id", "copies", "v"]
     found = materialize(
-        whole.select(*order).repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda batches: join_cells(batches, cosine, blocks), "edge boolean, a long, b long"), "found"
+        whole.select(*order).repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda batches: join_cells(batches, cosine, blocks, kind), "edge boolean, a long, b long"), "found"
     )
     counts = found.where("NOT edge").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("others"))
     roots = components(found.where("edge"))
