@@ -114,9 +114,11 @@ items AS (SELECT search_id, doc_id, issuer, role, title, bm25, least(1.0, CAST(0
 
 def _items(spark, sf_dir):
     d, s = docs(spark, sf_dir), searches(spark, sf_dir)
-    hits = se.bm25(ix.build(d), s).withColumn("bm25", F.round("bm25", 6)).join(d.select("doc_id", "title", "text", "issuer", "role"), "doc_id").join(F.broadcast(s.select("search_id", "query")), "search_id")
-    qt = t.tokens(F.col("query"))
-    lexical = scoring.lexical_support(t.overlap_score(qt, t.tokens(F.col("title"))), t.overlap_score(qt, t.tokens(F.substring("text", 1, 1000))), F.lit(0))
+    read = d.select("doc_id", "title", "text", "issuer", "role", t.tokens(F.col("title")).alias("title_terms"), t.tokens(F.substring("text", 1, 1000)).alias("text_terms"))  # once a document, not once a hit
+    asked = s.select("search_id", t.tokens(F.col("query")).alias("query_terms"))
+    hits = se.bm25(ix.build(d), s).withColumn("bm25", F.round("bm25", 6)).join(read, "doc_id").join(F.broadcast(asked), "search_id")
+    qt = F.col("query_terms")
+    lexical = scoring.lexical_support(t.overlap_score(qt, F.col("title_terms")), t.overlap_score(qt, F.col("text_terms")), F.lit(0))
     return hits.withColumn("lexical", lexical)
 
 
@@ -288,7 +290,7 @@ def summary_delta(spark, sf_dir):
 
 
 MENTIONS = f"""{DOCS}, m AS (SELECT title AS phrase, issuer, role, 'title' AS origin FROM docs UNION ALL SELECT string_split(text, chr(10))[2], issuer, role, 'heading' FROM docs WHERE len(string_split(text, chr(10))) > 1),
-v AS (SELECT * FROM m WHERE length(phrase) BETWEEN 3 AND 160 AND NOT regexp_matches(phrase, '[|#!]|---') AND len({sql_tokens('phrase')}) BETWEEN 1 AND 10),
+v AS (SELECT * FROM m WHERE length(phrase) BETWEEN 3 AND 160 AND NOT regexp_matches(phrase, '[|#!]|---|\\*\\*|\\*\\)|\\[\\]\\(') AND len({sql_tokens('phrase')}) BETWEEN 1 AND 10),
 g AS (SELECT lower(phrase) AS key, sum(CASE origin WHEN 'title' THEN 8.0 ELSE 2.0 END) AS s, count(*) AS support, count(DISTINCT issuer) AS ni, max(CASE WHEN role = 'primary_regulation' THEN 1 ELSE 0 END) AS p, min(CASE WHEN origin = 'heading' THEN 1 ELSE 0 END) AS h FROM v GROUP BY lower(phrase)),
 c AS (SELECT key, round(CAST(s * CASE WHEN h = 1 THEN 0.1 ELSE 1.0 END + 2.0 * p + least(2.0, ni) AS DOUBLE), 6) AS score, support, h = 1 AS heading_only FROM g)"""
 

@@ -55,7 +55,7 @@ META = (
 def metadata_normalise(spark, sf_dir):
     r = _records(spark, sf_dir)
     payload = F.to_json(F.struct("title", F.col("kind").alias("regulation_type"), "number", F.col("day").alias("issued_date"), "status"))
-    out = r.select("id", *md.normalized(F.col("source"), payload, F.lit("x/y.json")))
+    out = md.normalize_records(r.select("id", "source", F.lit("x/y.json").alias("path"), payload.alias("payload")), keep=("id",))
     return out.select("id", "issuer", F.col("hosting_source_issuer").alias("host"), "regulation_type", "number", "issued_date", F.col("lifecycle_status").alias("status"), "is_current", md.parse_year(F.col("title")).alias("year"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import first_value, normalize_space, slugify
@@ -55,8 +55,9 @@ def first_payload_value(*values: Column) -> Column:
 
 
 def relation_values(c: Column) -> Column:
-    """Parts between semicolons, bars or line ends, without the empty ones."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), r"\s*(?:;|\||\n)\s*"), normalize_space)
+    """Elements of a JSON array, else parts between semicolons, bars or line ends; the empty ones are left out."""
+    listed = F.when(c.startswith("["), F.from_json(c, "array<string>"))
+    parts = F.transform(F.coalesce(listed, F.split(F.coalesce(c, F.lit("")), r"\s*(?:;|\||\n)\s*")), normalize_space)
     return F.filter(parts, lambda x: x != "")
 
 
@@ -144,12 +145,6 @@ def file_role(source: Column, kind: Column, label: Column) -> Column:
     )
 
 
-def source_identity(payload: Column, path: Column) -> Column:
-    keys = ("record_id", "law_id", "header_id", "source_url", "detail_url")
-    stem = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
-    return F.coalesce(*[nullable(F.get_json_object(payload, f"$.{k}")) for k in keys], stem)
-
-
 # Names a payload may give to one field, in order.
 ALIASES = {
     "issued_date": ("issued_date", "issuance_date", "publication_date", "date_issued", "tanggal_terbit", "tanggal_penetapan", "date"),
@@ -161,43 +156,39 @@ ALIASES = {
 }
 
 
-def normalized(source: Column, payload: Column, path: Column) -> list[Column]:
-    """The canonical fields of a source record; payload is a JSON object."""
-
-    def get(*names: str) -> Column:
-        return F.coalesce(*[nullable(F.get_json_object(payload, f"$.{n}")) for n in names])
-
-    title = normalize_space(get("title"))
-    kind = regulation_type(get("regulation_type"), title)
-    number = regulation_number(get("number"), title)
-    issued, effective = normalize_date(get(*ALIASES["issued_date"])), normalize_date(get(*ALIASES["effective_date"]))
-    year = F.coalesce(get("year"), parse_year(issued, effective, number, title))
-    who, host = issuer(source, kind), host_issuer(source)
-    status = lifecycle_status(get(*ALIASES["lifecycle_status"]))
-    version = canonical_id(who, kind, number, year, title)
-    return [
-        version.alias("canonical_id"),
-        version.alias("regulation_version_key"),
-        series_key(who, kind, number).alias("regulation_series_key"),
-        who.alias("issuer"),
-        host.alias("hosting_source_issuer"),
-        F.when(kind.isin(*ISSUER_OF_TYPE), "regulation_type").otherwise("hosting_source").alias("issuer_resolution_basis"),
-        (who != host).alias("issuer_differs_from_host"),
-        source.alias("source"),
-        source_identity(payload, path).alias("source_id"),
-        title.alias("title"),
-        kind.alias("regulation_type"),
-        number.alias("number"),
-        year.alias("year"),
-        issued.alias("issued_date"),
-        effective.alias("effective_date"),
-        normalize_date(get(*ALIASES["repeal_date"])).alias("repeal_date"),
-        status.alias("lifecycle_status"),
-        is_current(get("is_current", "current").try_cast("boolean"), status).alias("is_current"),
-        relation_values(get(*ALIASES["supersedes"])).alias("supersedes"),
-        relation_values(get(*ALIASES["amends"])).alias("amends"),
-        *[get(n).alias(n) for n in ("sector", "sub_sector", "bank_slug", "bank_name")],
-        F.coalesce(get("group_path"), nullable(F.get_json_object(payload, "$.list_item.group_path"))).alias("group_path"),
-        F.coalesce(get("detail_url", "source_url"), nullable(F.get_json_object(payload, "$.list_item.full_text_url"))).alias("source_url"),
-        get("fetched_at").alias("fetched_at"),
-    ]
+IDENTITY = ("record_id", "law_id", "header_id", "source_url", "detail_url")
+PLAIN = ("title", "regulation_type", "number", "year", "is_current", "current", "sector", "sub_sector", "bank_slug", "bank_name", "group_path", "fetched_at")
+
+
+def normalize_records(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """records (source, path, payload: a JSON object) to canonical fields. A payload is parsed once; a value that isn't
+    text comes as its JSON text. Fields that a payload lacks, or has empty, are null."""
+    names = dict.fromkeys([*PLAIN, *IDENTITY, *(n for group in ALIASES.values() for n in group)])
+    schema = ", ".join(f"{n} string" for n in names) + ", list_item struct<group_path:string, full_text_url:string>"
+    p = records.select(*keep, "source", "path", F.from_json("payload", schema).alias("p")).select(*keep, "source", "path", "p.*")
+
+    def get(*options: str) -> Column:
+        return F.coalesce(*[nullable(F.col(n)) for n in options])
+
+    source = F.col("source")
+    first = p.select(
+        *keep, "source", "list_item", *[n for n in ("sector", "sub_sector", "bank_slug", "bank_name", "group_path", "fetched_at")],
+        F.coalesce(*[nullable(F.col(n)) for n in IDENTITY], F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)).alias("source_id"), get("detail_url", "source_url").alias("url"),
+        normalize_space(get("title")).alias("title"), get("regulation_type").alias("kind"), get("number").alias("stated_number"), get("year").alias("stated_year"),
+        *[normalize_date(get(*ALIASES[n])).alias(n) for n in ("issued_date", "effective_date", "repeal_date")],
+        lifecycle_status(get(*ALIASES["lifecycle_status"])).alias("lifecycle_status"), get("is_current", "current").try_cast("boolean").alias("explicit"),
+        *[relation_values(get(*ALIASES[n])).alias(n) for n in ("supersedes", "amends")],
+    )
+    second = first.withColumns({"regulation_type": regulation_type(F.col("kind"), F.col("title")), "number": regulation_number(F.col("stated_number"), F.col("title"))})
+    third = second.withColumns({
+        "year": F.coalesce("stated_year", parse_year(F.col("issued_date"), F.col("effective_date"), F.col("number"), F.col("title"))),
+        "issuer": issuer(source, F.col("regulation_type")), "hosting_source_issuer": host_issuer(source),
+    })
+    version = canonical_id(F.col("issuer"), F.col("regulation_type"), F.col("number"), F.col("year"), F.col("title"))
+    return third.select(
+        *keep, version.alias("canonical_id"), version.alias("regulation_version_key"), series_key(F.col("issuer"), F.col("regulation_type"), F.col("number")).alias("regulation_series_key"),
+        "issuer", "hosting_source_issuer", F.when(F.col("regulation_type").isin(*ISSUER_OF_TYPE), "regulation_type").otherwise("hosting_source").alias("issuer_resolution_basis"),
+        (F.col("issuer") != F.col("hosting_source_issuer")).alias("issuer_differs_from_host"), "source", "source_id", "title", "regulation_type", "number", "year", "issued_date", "effective_date", "repeal_date",
+        "lifecycle_status", is_current(F.col("explicit"), F.col("lifecycle_status")).alias("is_current"), "supersedes", "amends", "sector", "sub_sector", "bank_slug", "bank_name",
+        F.coalesce(nullable(F.col("group_path")), nullable(F.col("list_item.group_path"))).alias("group_path"), F.coalesce("url", nullable(F.col("list_item.full_text_url"))).alias("source_url"), "fetched_at",
+    )

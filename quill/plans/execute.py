@@ -32,17 +32,18 @@ def execute(index: Index, searches: DataFrame, questions: DataFrame, limit: int
     """
     s = keyed(searches)
     hits = se.bm25(index, s, filters=("issuer", "role"), stopwords=stopwords, scope=scope, limit=max(4 * limit, 16))
-    rows = hits.join(s.select("search_id", "query_id", "search_rank", "query", "reason", "include_secondary"), "search_id").join(index.docs, "doc_id")
-    rows = rows.where(F.col("include_secondary") | ~F.col("role").isin(*se.SECONDARY)).join(questions, "query_id")
+    asked_for = s.select("search_id", "query_id", "search_rank", tokens(F.col("query"), stopwords).alias("search_terms"), "reason", "include_secondary")
+    asking = questions.withColumn("raw_terms", tokens(F.col("raw_query"), stopwords))
+    read = index.docs.withColumn("title_terms", tokens(F.col("title"), stopwords))
+    rows = hits.join(asked_for, "search_id").join(read, "doc_id").where(F.col("include_secondary") | ~F.col("role").isin(*se.SECONDARY)).join(asking, "query_id")
     asked = F.struct(*[F.col(f"asked_{c}").alias(c) if f"asked_{c}" in questions.columns else F.lit(None).cast("string").alias(c) for c in ("pasal", "ayat", "huruf")])
     anchored = asked["pasal"].isNotNull() | asked["ayat"].isNotNull() | asked["huruf"].isNotNull()
     deeper = sum(((F.col(c).isNotNull() & asked[c].isNull()).cast("int") for c in ("pasal", "ayat", "huruf")), F.lit(0))
-    title = tokens(F.col("title"), stopwords)
     score = (
         scoring.rank_score(F.col("rank") - 1)
         * scoring.reason_boost(F.col("reason"))
         * scoring.order_decay(F.col("search_rank"))
-        * scoring.overlap_boost(overlap_score(tokens(F.col("raw_query"), stopwords), title), overlap_score(tokens(F.col("query"), stopwords), title))
+        * scoring.overlap_boost(overlap_score(F.col("raw_terms"), F.col("title_terms")), overlap_score(F.col("search_terms"), F.col("title_terms")))
         * scoring.lookup(F.col("role"), scoring.PLAN_ROLE)
         * scoring.anchor_multiplier(anchored, legal.path_match(asked, F.col("pasal"), F.col("ayat"), F.col("huruf")), deeper)
     )
