@@ -14,7 +14,7 @@ from ..operators import lexicon as lx
 from ..operators import search as se
 from ..plans import execute as ex
 from ..plans import planner as pl
-from .base import BM25, DOCS, SEARCHES, UNITS, docs, query, searches, sql_tokens, table, units
+from .base import BM25, DOCS, SEARCHES, UNITS, docs, index, query, searches, sql_tokens, table, units
 
 QUESTIONS = """q AS (SELECT o_orderkey AS id, 'Apa isi ' || CASE o_orderkey % 4 WHEN 0 THEN 'Pasal ' || o_custkey || ' ayat (' || (o_orderkey % 9) || ')' WHEN 1 THEN 'pasal ' || o_custkey || 'A (2) huruf ' || chr(97 + CAST(o_orderkey % 26 AS INTEGER))
   WHEN 2 THEN 'POJK Nomor ' || o_custkey || ' Tahun ' || year(o_orderdate) ELSE 'seojk ' || o_custkey || '/SEOJK.03/' || year(o_orderdate) END || '?' AS question FROM orders)"""
@@ -116,7 +116,7 @@ def _items(spark, sf_dir):
     d, s = docs(spark, sf_dir), searches(spark, sf_dir)
     read = d.select("doc_id", "title", "text", "issuer", "role", t.tokens(F.col("title")).alias("title_terms"), t.tokens(F.substring("text", 1, 1000)).alias("text_terms"))  # once a document, not once a hit
     asked = s.select("search_id", t.tokens(F.col("query")).alias("query_terms"))
-    hits = se.bm25(ix.build(d), s).withColumn("bm25", F.round("bm25", 6)).join(read, "doc_id").join(F.broadcast(asked), "search_id")
+    hits = se.bm25(index(spark, sf_dir), s).withColumn("bm25", F.round("bm25", 6)).join(read, "doc_id").join(F.broadcast(asked), "search_id")
     qt = F.col("query_terms")
     lexical = scoring.lexical_support(t.overlap_score(qt, F.col("title_terms")), t.overlap_score(qt, F.col("text_terms")), F.lit(0))
     return hits.withColumn("lexical", lexical)
@@ -262,7 +262,7 @@ SELECT search_id, round(coalesce(h, 0) / n, 6) AS recall, round(coalesce(1.0 / f
 def eval_recall_mrr_ndcg(spark, sf_dir):
     """Search by a test item's first words; relevant are the documents that have the whole item."""
     d, s = docs(spark, sf_dir), searches(spark, sf_dir)
-    found = se.bm25(ix.build(d), s, limit=10)
+    found = se.bm25(index(spark, sf_dir), s, limit=10)
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("search_id"), F.col("text").alias("needle"))
     rel = d.join(F.broadcast(items), F.contains("text", F.col("needle"))).select("search_id", "doc_id")
     out = ev.ranked(found, rel, "search_id", "doc_id", "rank")
@@ -364,5 +364,6 @@ def execute_plans(spark, sf_dir):
     plans, s = _plans(spark, sf_dir)
     q = spark.createDataFrame([(k, p.raw_query) for k, p in plans.items()], "query_id long, raw_query string")
     none = F.lit(None).cast("string")
-    d = docs(spark, sf_dir).select("doc_id", F.col("doc_id").alias("file_id"), "title", "text", F.col("source").alias("number"), "issuer", "role", none.alias("pasal"), none.alias("ayat"), none.alias("huruf"))
-    return ex.execute(ix.build(d), s, q)
+    base = index(spark, sf_dir)
+    d = base.docs.withColumns({"file_id": F.col("doc_id"), "number": F.col("source"), "pasal": none, "ayat": none, "huruf": none})
+    return ex.execute(ix.Index(d, base.postings, base.terms, base.stats), s, q)

@@ -48,6 +48,19 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INDEXES = {}
+
+
+def index(spark: SparkSession, sf_dir: str):
+    """The index of the documents' texts, built once a session: searches find it there, as they would a stored one."""
+    from ..operators.index import build
+
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        _INDEXES[key] = build(docs(spark, sf_dir), keep=True)
+    return _INDEXES[key]
+
+
 UNITS = (
     DOCS
     + """, units AS (

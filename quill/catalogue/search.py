@@ -9,11 +9,11 @@ from ..functions import scoring
 from ..functions import text as t
 from ..operators import index as ix
 from ..operators import search as se
-from .base import BM25, DOCS, INDEX, SEARCHES, UNITS, docs, query, searches, sql_tokens, table, units
+from .base import BM25, DOCS, INDEX, SEARCHES, UNITS, docs, index, query, searches, sql_tokens, table, units
 
 
 def _index(spark, sf_dir):
-    return ix.build(docs(spark, sf_dir))
+    return index(spark, sf_dir)
 
 
 @query(f"WITH {INDEX} SELECT tok.doc_id, CAST(len(ts) AS INTEGER) AS n_tokens, CAST(len(list_distinct(ts)) AS INTEGER) AS n_distinct, coalesce(ts[1], '') AS first_token FROM tok")
@@ -24,7 +24,7 @@ def tokenize_stats(spark, sf_dir):
 
 @query(f"WITH {INDEX} SELECT term, doc_id, tf FROM postings")
 def postings_build(spark, sf_dir):
-    return _index(spark, sf_dir).postings
+    return ix.build(docs(spark, sf_dir)).postings
 
 
 @query(f"WITH {INDEX} SELECT term, df FROM terms")
@@ -65,10 +65,9 @@ SCOPE = "NOT (search_id % 2 = 0 AND d.lang <> 'en')"
 def bm25_scope_table(spark, sf_dir):
     """A scope of files for every other search; the others look everywhere."""
     d = docs(spark, sf_dir)
-    index = ix.build(d)
     every = searches(spark, sf_dir)
     scope = every.where("search_id % 2 = 0").select("search_id").crossJoin(F.broadcast(d.select("lang").distinct().where("lang = 'en'")))
-    return se.bm25(index, every, scope=scope, scope_key="lang").select("search_id", "doc_id", F.round("bm25", 6).alias("bm25"))
+    return se.bm25(_index(spark, sf_dir), every, scope=scope, scope_key="lang").select("search_id", "doc_id", F.round("bm25", 6).alias("bm25"))
 
 
 FIELDS = (
@@ -92,7 +91,7 @@ SELECT search_id, doc_id, round(bm25
 )
 def lexical_boosts(spark, sf_dir):
     d, s = docs(spark, sf_dir).withColumn("number", F.col("source")), searches(spark, sf_dir)
-    return se.boosted(se.bm25(ix.build(d), s), d, s).select("search_id", "doc_id", F.round("score", 5).alias("score"))
+    return se.boosted(se.bm25(_index(spark, sf_dir), s), d, s).select("search_id", "doc_id", F.round("score", 5).alias("score"))
 
 
 TITLE = f"""q AS (SELECT search_id, query, {sql_tokens("query")} AS qt FROM (SELECT item_id AS search_id, lower(trim(regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g'))) AS query FROM benchmark)),
@@ -165,7 +164,7 @@ DEDUPE = f"WITH {BM25.format(filter='true')}, h AS (SELECT search_id, h.doc_id,
 
 def _deduped(spark, sf_dir):
     d = docs(spark, sf_dir)
-    hits = se.bm25(ix.build(d), searches(spark, sf_dir)).withColumn("bm25", F.round("bm25", 6)).join(d.select("doc_id", "title", "issuer", F.substring("text", 1, 120).alias("head")), "doc_id")
+    hits = se.bm25(_index(spark, sf_dir), searches(spark, sf_dir)).withColumn("bm25", F.round("bm25", 6)).join(d.select("doc_id", "title", "issuer", F.substring("text", 1, 120).alias("head")), "doc_id")
     return se.dedupe_ranked(hits, [F.col("title"), F.col("head")], [F.desc("bm25"), F.col("doc_id")])
 
 
@@ -237,7 +236,7 @@ SELECT search_id, doc_id, round(100.0 / (rk + 5) * CASE search_id % 2 WHEN 0 THE
 def planned_score_batch(spark, sf_dir):
     """All searches of all plans at once: place in its search, reason, order in the plan, overlap, role."""
     d, s = docs(spark, sf_dir), searches(spark, sf_dir)
-    found = se.bm25(ix.build(d), s, limit=16).join(d.select("doc_id", "title", "role"), "doc_id").join(F.broadcast(s), "search_id")
+    found = se.bm25(_index(spark, sf_dir), s, limit=16).join(d.select("doc_id", "title", "role"), "doc_id").join(F.broadcast(s), "search_id")
     overlap = F.size(F.array_intersect(t.tokens(F.col("query")), t.tokens(F.col("title"))))
     reason = F.when(F.col("search_id") % 2 == 0, "topic:x").otherwise("predicate:y")
     score = scoring.rank_score(F.col("rank") - 1) * scoring.reason_boost(reason) * scoring.order_decay(F.col("search_id") % 4) * scoring.overlap_boost(overlap, F.lit(0)) * scoring.lookup(F.col("role"), scoring.PLAN_ROLE)

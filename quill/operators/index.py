@@ -30,12 +30,15 @@ def weighted_tokens(weights: Mapping[str, int], stopwords: Sequence[str] = ()) -
     return F.flatten(F.array(*[F.flatten(F.array_repeat(tokens(F.col(f), stopwords), n)) for f, n in weights.items()]))
 
 
-def build(docs: DataFrame, key: str = "doc_id", weights: Mapping[str, int] | None = None, stopwords: Sequence[str] = ()) -> Index:
+def build(docs: DataFrame, key: str = "doc_id", weights: Mapping[str, int] | None = None, stopwords: Sequence[str] = (), keep: bool = False) -> Index:
     """docs has the fields of weights. One pass makes the postings (partial counts before the shuffle); a document's
-    length is its number of tokens and needs no shuffle."""
+    length is its number of tokens and needs no shuffle. keep: documents and postings are kept by the session, for an
+    index that several searches use and that isn't worth writing; large ones are written by write() and read back."""
     counted = docs.withColumn("_tokens", weighted_tokens(weights or {"text": 1}, stopwords))
     with_len = counted.withColumn("doc_len", F.size("_tokens").cast("long")).drop("_tokens")
     postings = counted.select(key, F.explode("_tokens").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")).select("term", key, "tf")
+    if keep:
+        with_len, postings = with_len.persist(), postings.persist()
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = with_len.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
     return Index(with_len, postings, terms, stats)
