@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, row_splits, table
+from .common import discard, materialize, row_splits, table
 
 WINDOW, PHRASE = 50, 12
 #: Characters of phrases that one automaton may hold; about a hundred bytes of memory each.
@@ -196,6 +196,7 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     told = told.withColumn("h", F.col("h").cast("string"))
     streamed = rows.groupBy("_shard").cogroup(told.groupBy("_shard")).applyInPandas(stream, schema)
     located = materialize(streamed.select(F.monotonically_increasing_id().alias("uid"), "*"), "located")
+    discard(offers)
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,8 +222,10 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
                 texts.append(cut_words(t, gone) if with_text else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.binary())], names=["id", "rest", "n_words", "n_removed", "kept_sha256", "text"])
 
-    cut = hits.join(covered, "uid").select("id", "rest", "n_words", "text", "covered").mapInArrow(remove, out)
-    same = located.join(covered.select("uid"), "uid", "left_anti").select("id", "rest", "n_words", "n_removed", "kept_sha256", F.col("text") if with_text else F.lit(None).cast("binary").alias("text"))
+    # texts without candidates are done; only the others meet what is covered in them
+    none = F.array().cast("array<int>")
+    cut = hits.join(covered, "uid", "left").select("id", "rest", "n_words", "text", F.coalesce("covered", none).alias("covered")).mapInArrow(remove, out)
+    same = located.where("starts IS NULL OR id IS NULL").select("id", "rest", "n_words", "n_removed", "kept_sha256", F.col("text") if with_text else F.lit(None).cast("binary").alias("text"))
     return same.union(cut).select("id", *[F.col("rest")[c].alias(c) for c in extra], "n_words", "n_removed", "kept_sha256", F.col("text").cast("string").alias("text"))
 
 
