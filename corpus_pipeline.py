@@ -13,7 +13,7 @@ from quill.llm.byte_bpe import encode_digests
 from quill.llm.common import materialize
 from quill.llm.decontamination import contaminated
 from quill.llm.quality import score, train
-from quill.llm.simhash import near_duplicates
+from quill.llm.simhash import representatives
 from quill.llm.substrings import dedupe
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,11 +26,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; of rows that repeat its id, one."""
-    groups = near_duplicates(docs)
-    stay = groups.where("id = component_id").select("id").distinct()
-    kept = docs.join(stay, docs["doc_id"] == stay["id"], "left_semi").select(COLUMNS)
-    return kept.dropDuplicates(["doc_id"])
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays;
+    of rows that repeat its id, one. Rows without an id aren't told apart and go with their copies."""
+    return docs.join(representatives(docs), docs["doc_id"] == F.col("id"), "left_semi").select(COLUMNS).dropDuplicates(["doc_id"])
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ tree that is already joined are pruned with their node. Components come from rou
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +135,37 @@ def link_group(left: np.ndarray, right: np.ndarray | None, most: int, forest: Fo
             forest.join(q_signed[a], signed[b])
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted batches, cut between groups of equal first `keys` columns."""
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        cols = [np.asarray(c) for c in b.columns]
+        held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        if len(held[0]):
+            last = np.all([c == c[-1] for c in held[:keys]], axis=0)
+            if not last[0]:  # all but the group that may go on in the next batch
+                yield [x[~last] for x in held]
+                held = [x[last] for x in held]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def group_bounds(keys: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Where groups of equal keys begin, and the end."""
+    new = np.nonzero(np.any([np.diff(k) != 0 for k in keys], axis=0))[0] + 1
+    return np.concatenate([[0], new, [len(keys[0])]])
+
+
+def compare_small(codes: np.ndarray, group: np.ndarray, small: np.ndarray, most: int) -> tuple[list[int], list[int]]:
+    """Positions of the pairs within `most` bits of all groups marked small, which have at most FANOUT codes."""
+    left, right = [], []
+    for s in range(1, min(FANOUT, len(codes))):
+        hit = np.nonzero((group[s:] == group[:-s]) & small[s:] & (np.bitwise_count(codes[s:] ^ codes[:-s]) <= most))[0]
+        left += hit.tolist()
+        right += (hit + s).tolist()
+    return left, right
+
+
 def links(codes: DataFrame, most: int = 3, limit: int = 4096) -> DataFrame:
     """codes: column fp, distinct. Returns (a, b) pairs whose components are those of all pairs within `most` (up to 3) bits."""
     if not 0 <= most < BLOCKS:
@@ -152,24 +184,16 @@ def links(codes: DataFrame, most: int = 3, limit: int = 4096) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-        def flush(rows: list[np.ndarray]) -> pa.RecordBatch:
-            block, value, i, j, own, fp = rows
+        for block, value, i, j, own, fp in whole_groups(batches, 4):
             forest = Forest()
-            new = np.nonzero((np.diff(block) != 0) | (np.diff(value) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0))[0] + 1
-            starts = np.concatenate([[0], new])
-            sizes = np.diff(np.concatenate([starts, [len(fp)]]))
+            bounds = group_bounds((block, value, i, j))
             codes = fp.view(np.uint64)
+            sizes = np.diff(bounds)
             # groups that one node of the index would hold: its leaves are compared at once, over all such groups
-            small = np.repeat((sizes <= FANOUT), sizes) & (i == j)
-            gid = np.repeat(np.arange(len(starts)), sizes)
-            for s in range(1, FANOUT):
-                if s < len(fp):
-                    hit = (gid[s:] == gid[:-s]) & small[s:] & (np.bitwise_count(codes[s:] ^ codes[:-s]) <= most)
-                    for k in np.nonzero(hit)[0].tolist():
-                        forest.join(int(fp[k]), int(fp[k + s]))
-            for at, n in zip(starts.tolist(), sizes.tolist(), strict=True):
+            small = np.repeat(sizes <= FANOUT, sizes) & (i == j)
+            for x, y in zip(*compare_small(codes, np.repeat(np.arange(len(sizes)), sizes), small, most), strict=True):
+                forest.join(int(fp[x]), int(fp[y]))
+            for at, n in zip(bounds[:-1].tolist(), sizes.tolist(), strict=True):
                 if small[at] or n < 2:
                     continue
                 part = codes[at : at + n]
@@ -179,18 +203,7 @@ def links(codes: DataFrame, most: int = 3, limit: int = 4096) -> DataFrame:
                     mine = own[at : at + n] == i[at]
                     if mine.any() and not mine.all():
                         link_group(part[mine], part[~mine], most, forest)
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in forest.kept], pa.int64()), pa.array([y for _, y in forest.kept], pa.int64())], schema=out)
-
-        held: list[np.ndarray] | None = None
-        for b in batches:
-            cols = [np.asarray(b.column(c)) for c in range(6)]
-            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            last = (held[0] == held[0][-1]) & (held[1] == held[1][-1]) & (held[2] == held[2][-1]) & (held[3] == held[3][-1]) if len(held[0]) else np.zeros(0, bool)
-            if len(last) and not last[0]:  # all but the group that may go on in the next batch
-                yield flush([x[~last] for x in held])
-                held = [x[last] for x in held]
-        if held is not None and len(held[0]):
-            yield flush(held)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in forest.kept], pa.int64()), pa.array([y for _, y in forest.kept], pa.int64())], names=["a", "b"])
 
     key = ["block", "value", "i", "j"]
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
@@ -212,6 +225,77 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(named, "fp").select("id", "fp", "component_id")
 
 
+def masks(most: int, agree: int) -> list[int]:
+    """Masks of 64 bits, as signed numbers: `agree` of most + agree even blocks. Codes within `most` bits are equal under one."""
+    at = np.linspace(0, 64, most + agree + 1).astype(int).tolist()
+    blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(at, at[1:], strict=False)]
+    return [m - (1 << 64) if m >> 63 else m for m in (sum(c) for c in combinations(blocks, agree))]
+
+
+def near_pairs(codes: DataFrame, most: int, agree: int = 3) -> DataFrame:
+    """codes: column fp, distinct. All pairs (a, b), a < b, within `most` bits, each once, by the same index: codes meet in
+    groups that share `agree` of most + agree blocks."""
+    every = masks(most, agree)
+    table = F.array(*map(F.lit, every))
+    keyed = codes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(every) - 1))).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.element_at(table, F.col("mask") + 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for mask, value, fp in whole_groups(batches, 2):
+            bounds = group_bounds((mask, value))
+            sizes, codes = np.diff(bounds), fp.view(np.uint64)
+            small = np.repeat(sizes <= FANOUT, sizes)
+            left, right = compare_small(codes, np.repeat(np.arange(len(sizes)), sizes), small, most)
+            found = {(min(int(fp[x]), int(fp[y])), max(int(fp[x]), int(fp[y]))) for x, y in zip(left, right, strict=True)}
+            for k in np.nonzero(sizes > FANOUT)[0].tolist():
+                index = GrayIndex(codes[bounds[k] : bounds[k + 1]])
+                signed = index.codes.view(np.int64).tolist()
+                for at in range(0, len(signed), 256):
+                    q, node = index.pairs(index.codes[at : at + 256], most)
+                    found.update((min(signed[at + x], signed[y]), max(signed[at + x], signed[y])) for x, y in zip(q.tolist(), node.tolist(), strict=True) if at + x < y)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return keyed.select("mask", "value", "fp").repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float, k: int) -> DataFrame:
+    """pairs (x, y) of ids whose texts (id, t: binary) have that Jaccard similarity of k-word shingles or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for t, u in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                s, v = np.unique(shingle_hashes(t or b"", k)), np.unique(shingle_hashes(u or b"", k))
+                both = len(np.intersect1d(s, v, assume_unique=True))
+                keep.append(both >= similarity * (len(s) + len(v) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    first = texts.select(F.col("id").alias("x"), F.col("t").alias("t"))
+    second = texts.select(F.col("id").alias("y"), F.col("t").alias("u"))
+    return pairs.join(first, "x").join(second, "y").select("x", "y", "t", "u").mapInArrow(run, "x long, y long")
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 5, steps: tuple[int, ...] = (5, 9)) -> DataFrame:
+    """(id) of one text of each group of near copies: the smallest id of each class.
+
+    Classes come from links of at most 3 bits first. Then the classes' representatives are paired within each of `steps`
+    bits in turn, and pairs of that similarity of k-word shingles merge their classes; so a dense group of copies has
+    shrunk before its wider pairs are listed. Rows with a null id are nobody's representative, unless all are.
+    """
+    groups = near_duplicates(df, id_col, text_col)
+    left = materialize(groups.where("id = component_id").groupBy("id").agg(F.min("fp").alias("fp")), "representatives")
+    every = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
+    for most in steps:
+        near = near_pairs(left.select("fp").distinct(), most)
+        of = left.groupBy("fp").agg(F.min("id").alias("id"))
+        ids = materialize(near.join(of.select(F.col("fp").alias("a"), F.col("id").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("id").alias("y")), "b").select("x", "y"), "pairs")
+        needed = ids.select(F.col("x").alias("id")).union(ids.select("y")).distinct()
+        texts = every.join(needed, "id").groupBy("id").agg(F.min("t").alias("t"))
+        roots = components(similar(ids, texts, similarity, k).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        gone = roots.where("node <> root").select(F.col("node").alias("id"))
+        left = materialize(left.join(gone, "id", "left_anti"), "representatives")
+    return left.select("id")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -181,3 +181,29 @@ def test_stretches_encode_as_the_whole_text():
     texts = ["".join(rng.choices(bits, k=rng.randrange(30))) for _ in range(3000)] + [" ".join(rng.choices(bits, k=20)) for _ in range(2000)]
     for t, ids in zip(texts, enc.encode(pa.array(texts), block=500), strict=True):
         assert ids.tolist() == [*plain.encode(t, add_special_tokens=False).ids, 1], t
+
+
+def test_near_pairs_are_all_pairs(spark):
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    codes = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(9))) & (2**64 - 1) for b in base for _ in range(20)})
+    frame = spark.createDataFrame([(c - (1 << 64) if c >> 63 else c,) for c in codes], "fp long")
+    for most in (5, 9):
+        got = {frozenset((r.a % 2**64, r.b % 2**64)) for r in simhash.near_pairs(frame, most).collect()}
+        assert got == {frozenset(x) for x in combinations(codes, 2) if (x[0] ^ x[1]).bit_count() <= most}
+
+
+def test_representatives(spark):
+    rng = random.Random(10)
+    texts, kept = [], []
+    for g in range(40):
+        w = [f"w{rng.randrange(3000)}" for _ in range(150)]
+        kept.append(len(texts))
+        for c in range(4):
+            v = list(w)
+            if c:
+                v[10 * c] = "changed"
+            texts.append((len(texts), " ".join(v)))
+    texts += [(None, texts[0][1]), (0, texts[0][1])]
+    got = [r.id for r in simhash.representatives(spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, fp int")).collect()]
+    assert len(got) == len(set(got)) and set(kept) <= set(got) and len(got) < 1.1 * len(kept)
