@@ -31,6 +31,9 @@ NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|alert|pager|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: Reader comments; an article inside them is no article of the page's. Names that say what an element has or lacks count for nothing.
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond)(?:$|[\s_-])", re.I)
+HAS = re.compile(r"(?:^|(?<=\s))(?:no|not|has|have|with|without|is)[-_]\S+", re.I)
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: A start tag of the first kind ends an open element of the second, as browsers do.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {t: {"p"} for t in BLOCK - {"p", "li", "dt", "dd", "tr", "option"}}
@@ -41,7 +44,7 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container number, marked
+        self.open: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, container number, mark: 0, 1 by name, 2 for good
         self.above = [-1]  # of each container, the one around it
         self.lines: list[tuple[str, int, int, bool]] = []
         self.text: list[str] = []
@@ -53,7 +56,7 @@ class Lines(HTMLParser):
             self.text = []
             if line:
                 _, box, marked = self.open[-1]
-                self.lines.append((line, self.tags, box, marked))
+                self.lines.append((line, self.tags, box, bool(marked)))
                 self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -73,18 +76,25 @@ class Lines(HTMLParser):
                 if self.open[k][0] in BLOCK or self.open[k][0] == "td":
                     break
         _, box, marked = self.open[-1]
-        if not marked and tag != "body" and tag != "html":
-            marked = tag in DROPPED
-            if not marked and attrs:
-                for name, value in attrs:
-                    if name in ("class", "id") and value and NAMES.search(value) and tag not in ("article", "main") or name == "role" and (value or "").lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-                        marked = True
-                        break
+        if marked < 2 and tag not in ("body", "html"):
+            marked = max(marked, 2 * (tag in DROPPED), self.named(attrs))
+            if tag in ("article", "main") and marked == 1:
+                marked = 0
         if tag in CONTAINER:
             self.above.append(box)
             box = len(self.above) - 1
         self.open.append((tag, box, marked))
 
+    def named(self, attrs: list[tuple[str, str | None]]) -> int:
+        mark = 0
+        for name, value in attrs:
+            if name in ("class", "id") and value:
+                value = HAS.sub("", value)
+                mark = max(mark, 2 if COMMENTS.search(value) else int(bool(NAMES.search(value))))
+            elif name == "role" and (value or "").lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+                mark = max(mark, 1)
+        return mark
+
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCK:

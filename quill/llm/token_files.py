@@ -66,6 +66,16 @@ def build_mph(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return shifts, slots
 
 
+def publish(fs: pyarrow.fs.FileSystem, temp: str, name: str) -> None:
+    """Renames; where a file system won't replace what an earlier attempt of the task left, that equal file stays."""
+    try:
+        fs.move(temp, name)
+    except OSError:
+        if fs.get_file_info(name).type != pyarrow.fs.FileType.File:
+            raise
+        fs.delete_file(temp)
+
+
 class Shard:
     """Reader of one shard: get(key) in constant time, from the index and one slice of the payload."""
 
@@ -205,7 +215,7 @@ def write_token_files(df: DataFrame, out_uri: str, encode: Callable[[], ChunkEnc
         with fs.open_output_stream(temp + ".mph") as f:
             f.write(json.dumps({"keys": len(keys), "buckets": len(shifts), "nulls": listed.count(None), "kind": enc.kind.str}).encode() + b"\n" + shifts.tobytes() + slots.tobytes() + np.array([k for k in listed if k is not None], "<i8").tobytes())
         for end in (".ids", ".mph"):
-            fs.move(temp + end, name + end)
+            publish(fs, temp + end, name + end)
         yield pa.RecordBatch.from_pydict({"shard": [number], "uri": [f"{out_uri}/shard-{number:05d}"], "n_docs": [len(keys)], "n_tokens": [int(n.sum())]})
 
     ordered = rows.repartitionByRange(shards, "id").sortWithinPartitions("id")

@@ -69,6 +69,8 @@ def test_html(spark):
     assert html_text.main_text(PAGE[: PAGE.index("</article>")]) == want
     long = "<body><div class=x><p>" + "word " * 40 + "</p><p>a</p></div><div><a>m</a><a>n</a></div></body>"
     assert html_text.main_text(long) == ("word " * 40).strip() + "\na"
+    named = '<body class="with-sidebar"><div class="page no-sidebar has-comments"><div class=banner><article><p>Text of the article, long enough.</p></article></div><section id=comments><article class=comment><p>A reader says something long here, too.</p></article></section></div></body>'
+    assert html_text.main_text(named) == "Text of the article, long enough."
     for junk in (None, "", "<", "<p", "<p>", "&amp", "plain text", "<script>x", "<!--", "<nav>only</nav>", "</p></div>"):
         assert isinstance(html_text.main_text(junk), str)
     assert html_text.main_text("plain text") == "plain text"
