@@ -18,7 +18,6 @@ REASON = {"title": 1.40, "topic": 1.25, "intent": 1.08, "predicate": 1.80, "lega
 REASON_DEFAULT = 0.90
 MAX_CANDIDATE_TERMS, MIN_MATCH, MIN_MATCH_FROM_TERMS = 6, 2, 3
 TITLE_MIN_SCORE = 65.0
-NOISE_PENALTY_DEFAULT = 0.0
 
 
 def lookup(c: Column, table: Mapping[str, float], default: float = 1.0) -> Column:
@@ -140,6 +139,11 @@ def aggregate_multiplier(query: Column, is_aggregate: Column) -> Column:
     return compound * F.when(is_aggregate & listed, 2.5).otherwise(1.0)
 
 
+def list_multiplier(reason: Column, is_aggregate: Column, unit_type: Column, factor: float = 5.0) -> Column:
+    """A search for a list finds the list of a governing ayat: that counts five times."""
+    return F.when(reason.startswith("direct_enumeration") & is_aggregate & (unit_type == "ayat"), factor).otherwise(1.0)
+
+
 def anchor_multiplier(asked: Column, matches: Column, extra_depth: Column) -> Column:
     """0 where asked anchors don't match; else more for exact depth than for deeper units."""
     deep = F.greatest(F.lit(0.65), 1.25 - 0.25 * extra_depth)
