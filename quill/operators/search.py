@@ -17,6 +17,8 @@ from .index import Index
 SECONDARY = ("secondary_faq", "secondary_summary")
 #: Search terms up to which they are broadcast to the postings.
 BROADCAST_TERMS = 100_000
+#: Different search terms up to which the postings' scan gets them as a filter.
+PUSHED_TERMS = 1000
 
 
 def search_terms(searches: DataFrame, stopwords: Sequence[str] = ()) -> DataFrame:
@@ -40,8 +42,11 @@ def bm25(index: Index, searches: DataFrame, filters: Sequence[str] = (), stopwor
     scope_key) rows; a search with any there looks only at those. limit: top rows a search, ties by doc_id.
     """
     terms = candidates(search_terms(searches, stopwords), index)
-    small = _small(terms)
-    hits = index.postings.join(F.broadcast(terms) if small else terms, "term")
+    names = [r[0] for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    small = len(names) <= PUSHED_TERMS or _small(terms)
+    # few terms go to the scan as a filter: postings lie sorted by term, so other row groups aren't read
+    postings = index.postings.where(F.col("term").isin(names)) if len(names) <= PUSHED_TERMS else index.postings
+    hits = postings.join(F.broadcast(terms) if small else terms, "term")
     cols = [*filters, *([scope_key] if scope is not None else [])]
     joined = hits.join(index.docs.select("doc_id", "doc_len", *cols), "doc_id")
     if filters:
