@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from .byte_bpe import op7_byte_bpe
 from .decontamination import OP1_SQL, op1_decontamination
-from .embeddings import op9_embeddings
+from .embeddings import OP9_SQL, op9_embeddings
 from .html_text import op2_html
 from .lattice_lm import op4_lattice_lm
 from .quality import op3_quality
 from .sharding import op10_sharding
 from .simhash import op8_simhash
-from .substrings import op6_substrings
+from .substrings import OP6_SQL, op6_substrings
 from .token_files import op5_token_files
 
 QUERIES = {
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 #: The others hash, fit or encode in ways that SQL has no functions for; tests/llm holds them against brute force.
-ORACLE_SQL = {"op1_decontamination": OP1_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op6_substrings": OP6_SQL, "op9_embeddings": OP9_SQL}

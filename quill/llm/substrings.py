@@ -232,3 +232,14 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedupe(table(spark, sf_dir, "documents"), with_text=False)
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, doc_id, j, array_to_string(w[j : j + 49], ' ') AS k FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS j FROM d WHERE len(w) >= 50)),
+m AS (SELECT k, min(doc_id) AS lo FROM x GROUP BY k),
+g AS (SELECT DISTINCT r, unnest(range(j, j + 50)) AS i FROM x JOIN m USING (k) WHERE doc_id > lo),
+n AS (SELECT r, count(*) AS gone FROM g GROUP BY r),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) t ANTI JOIN g USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)
+"""
