@@ -98,7 +98,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 class Forest:
-    """Union-find over hashable items; keeps the edges that joined two trees, so all pairs are never emitted."""
+    """Union-find over hashable items; keeps the pairs that joined two trees, so all pairs are never emitted."""
 
     def __init__(self):
         self.parent = {}
@@ -118,4 +118,4 @@ class Forest:
         if a != b:
             lo, hi = (a, b) if a < b else (b, a)
             self.parent[hi] = lo
-            self.kept.append((lo, hi))
+            self.kept.append((x, y) if x < y else (y, x))

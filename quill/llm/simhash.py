@@ -232,13 +232,20 @@ def masks(most: int, agree: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in (sum(c) for c in combinations(blocks, agree))]
 
 
-def near_pairs(codes: DataFrame, most: int, agree: int = 3) -> DataFrame:
+def near_pairs(codes: DataFrame, most: int, agree: int = 3, forest: bool = False) -> DataFrame:
     """codes: column fp, distinct. All pairs (a, b), a < b, within `most` bits, each once, by the same index: codes meet in
-    groups that share `agree` of most + agree blocks."""
+    groups that share `agree` of most + agree blocks. forest: of each group, pairs enough to join what its pairs join."""
     every = masks(most, agree)
     table = F.array(*map(F.lit, every))
     keyed = codes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(every) - 1))).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.element_at(table, F.col("mask") + 1)))
 
+    def listed(part: np.ndarray, found: set) -> None:
+        index = GrayIndex(part)
+        signed = index.codes.view(np.int64).tolist()
+        for at in range(0, len(signed), 256):
+            q, node = index.pairs(index.codes[at : at + 256], most)
+            found.update((min(signed[at + x], signed[y]), max(signed[at + x], signed[y])) for x, y in zip(q.tolist(), node.tolist(), strict=True) if at + x < y)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for mask, value, fp in whole_groups(batches, 2):
             bounds = group_bounds((mask, value))
@@ -247,11 +254,12 @@ def near_pairs(codes: DataFrame, most: int, agree: int = 3) -> DataFrame:
             left, right = compare_small(codes, np.repeat(np.arange(len(sizes)), sizes), small, most)
             found = {(min(int(fp[x]), int(fp[y])), max(int(fp[x]), int(fp[y]))) for x, y in zip(left, right, strict=True)}
             for k in np.nonzero(sizes > FANOUT)[0].tolist():
-                index = GrayIndex(codes[bounds[k] : bounds[k + 1]])
-                signed = index.codes.view(np.int64).tolist()
-                for at in range(0, len(signed), 256):
-                    q, node = index.pairs(index.codes[at : at + 256], most)
-                    found.update((min(signed[at + x], signed[y]), max(signed[at + x], signed[y])) for x, y in zip(q.tolist(), node.tolist(), strict=True) if at + x < y)
+                part = codes[bounds[k] : bounds[k + 1]]
+                if forest:
+                    link_group(part, None, most, joined := Forest())
+                    found.update(joined.kept)
+                else:
+                    listed(part, found)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     return keyed.select("mask", "value", "fp").repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, "a long, b long").distinct()
@@ -274,18 +282,19 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float, k: int) -> Da
     return pairs.join(first, "x").join(second, "y").select("x", "y", "t", "u").mapInArrow(run, "x long, y long")
 
 
-def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 5, steps: tuple[int, ...] = (5, 9)) -> DataFrame:
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 5, steps: tuple[tuple[int, bool], ...] = ((5, True), (9, True), (9, False))) -> DataFrame:
     """(id) of one text of each group of near copies: the smallest id of each class.
 
-    Classes come from links of at most 3 bits first. Then the classes' representatives are paired within each of `steps`
-    bits in turn, and pairs of that similarity of k-word shingles merge their classes; so a dense group of copies has
-    shrunk before its wider pairs are listed. Rows with a null id are nobody's representative, unless all are.
+    Classes come from links of at most 3 bits first. Then the classes' representatives are paired within the bits of each
+    of `steps` in turn, and pairs of that similarity of k-word shingles merge their classes. The first steps list pairs
+    enough to join the codes of a group (True), so that a dense group of copies has shrunk to few classes before all
+    pairs of representatives are listed (False). Rows with a null id are nobody's representative, unless all are.
     """
     groups = near_duplicates(df, id_col, text_col)
     left = materialize(groups.where("id = component_id").groupBy("id").agg(F.min("fp").alias("fp")), "representatives")
     every = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    for most in steps:
-        near = near_pairs(left.select("fp").distinct(), most)
+    for most, forest in steps:
+        near = near_pairs(left.select("fp").distinct(), most, forest=forest)
         of = left.groupBy("fp").agg(F.min("id").alias("id"))
         ids = materialize(near.join(of.select(F.col("fp").alias("a"), F.col("id").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("id").alias("y")), "b").select("x", "y"), "pairs")
         needed = ids.select(F.col("x").alias("id")).union(ids.select("y")).distinct()
