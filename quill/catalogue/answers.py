@@ -43,16 +43,16 @@ def parse_constraints(spark, sf_dir):
 
 
 @query(
-    "WITH " + QUESTIONS + """ SELECT id FROM q JOIN orders ON id = o_orderkey WHERE id % 4 IN (0, 2) AND CASE WHEN id % 4 = 0 THEN o_custkey % 5 <> 0 AND id % 9 = 3 ELSE o_custkey % 2 = 0 END"""
+    "WITH " + QUESTIONS + """ SELECT id FROM q JOIN orders ON id = o_orderkey WHERE CASE id % 4 WHEN 0 THEN o_custkey % 5 <> 0 AND id % 9 = 3 WHEN 2 THEN o_custkey % 2 = 0 ELSE false END"""
 )
 def constraint_filter(spark, sf_dir):
     """Questions against a row that has their article (but for every fifth customer) and ayat (3), or their instrument (even customers)."""
-    q = _questions(spark, sf_dir).where("id % 4 IN (0, 2)").withColumn("c", legal.constraints(F.col("question")))
+    q = _questions(spark, sf_dir).withColumn("c", legal.constraints(F.col("question")))
     cust = F.col("o_custkey")
     pasal = F.when(cust % 5 != 0, F.concat(F.lit(" pasal  "), cust.cast("string")))
     rows = legal.path_match(F.col("c"), pasal, F.lit("(3)"), F.lit(None).cast("string"))
     docs_ok = legal.document_match(F.col("c"), F.when(cust % 2 == 0, "Peraturan OJK").otherwise("Peraturan Bank Indonesia"), cust.cast("string"), F.lit("x"), F.col("c.year"))
-    return q.where(F.when(F.col("id") % 4 == 0, rows).otherwise(docs_ok)).select("id")
+    return q.where(F.when(F.col("c.pasal").isNotNull(), rows).otherwise(docs_ok)).select("id")
 
 
 @query(
@@ -64,22 +64,24 @@ def sector_scope(spark, sf_dir):
 
 
 ALIGN = (
-    f"{DOCS}, q AS (SELECT item_id, array_to_string({sql_tokens('text')}[1:5], ' ') || CASE item_id % 3 WHEN 0 THEN ' berapa batas' WHEN 1 THEN ' wajib' ELSE '' END AS question FROM benchmark), "
-    f"w AS (SELECT item_id, question, list_distinct(list_filter({sql_tokens('question')}, lambda x: NOT list_contains(['berapa', 'batas', 'wajib', 'apa', 'saja', 'bi', 'status', 'current', 'latest', 'minimum'], x) AND NOT regexp_matches(x, '^[0-9]+([/.][0-9]+)*$'))) AS want FROM q), "
-    f"e AS (SELECT doc_id, text, list_distinct({sql_tokens('text')}) AS ev FROM docs WHERE doc_id < 100), "
-    "x AS (SELECT item_id, doc_id, len(want) AS n, len(list_intersect(want, ev)) AS h, item_id % 3 AS k, lower(text) AS c FROM w, e), "
-    r"y AS (SELECT *, n = 0 OR h >= greatest(1, ceil(n * 0.75)) AS terms_ok, k <> 1 OR regexp_matches(c, 'wajib|harus|dilarang|berkewajiban|dengan memperhatikan ketentuan') AS predicate_ok, "
-    r"k <> 0 OR (regexp_matches(c, '(^|[^a-z0-9])[0-9]+([.,][0-9]+)*([^a-z0-9]|$)') AND regexp_matches(c, '\b(rp|usd|persen|hari|bulan|tahun|jam|menit|sebesar|setara)\b|%')) AS value_ok FROM x)"
+    BM25.format(filter="true")
+    + f""", h AS (SELECT h.search_id, h.doc_id, query || CASE search_id % 3 WHEN 1 THEN ' wajib' ELSE '' END AS question, text, search_id % 3 AS k FROM hits h JOIN docs USING (doc_id) JOIN searches USING (search_id) WHERE matched >= min_match),
+w AS (SELECT *, list_distinct(list_filter({sql_tokens("question")}, lambda x: NOT list_contains(['berapa', 'batas', 'wajib', 'apa', 'saja', 'bi', 'status', 'current', 'latest', 'minimum'], x) AND NOT regexp_matches(x, '^[0-9]+([/.][0-9]+)*$'))) AS want, list_distinct({sql_tokens("text")}) AS ev FROM h),
+x AS (SELECT search_id, doc_id, len(want) AS n, len(list_intersect(want, ev)) AS h, k, lower(text) AS c FROM w)"""
 )
 
 
-@query(f"WITH {ALIGN} SELECT item_id, doc_id, round(CASE WHEN n = 0 THEN 1.0 ELSE h / n END, 3) AS ratio, terms_ok AND predicate_ok AS accepted FROM y WHERE k > 0")
+@query(
+    f"WITH {ALIGN} SELECT search_id, doc_id, round(CASE WHEN n = 0 THEN 1.0 ELSE h / n END, 3) AS ratio, (n = 0 OR h >= greatest(1, ceil(n * 0.75))) AND (k <> 1 OR regexp_matches(c, 'wajib|harus|dilarang|berkewajiban|dengan memperhatikan ketentuan')) AS accepted FROM x"
+)
 def alignment_gate(spark, sf_dir):
-    """Test items' beginnings as questions against the first documents as claims."""
-    q = table(spark, sf_dir, "benchmark").where("item_id % 3 > 0").select("item_id", F.concat(F.array_join(F.slice(t.tokens(F.col("text")), 1, 5), " "), F.when(F.col("item_id") % 3 == 1, " wajib").otherwise("")).alias("question"))
-    pairs = docs(spark, sf_dir).where("doc_id < 100").select("doc_id", "text").crossJoin(F.broadcast(q))  # as many questions as test items
+    """Every hit of every search against its question; every third question asks for an obligation."""
+    s = searches(spark, sf_dir)
+    hits = se.bm25(index(spark, sf_dir), s).join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    q = s.select("search_id", F.concat("query", F.when(F.col("search_id") % 3 == 1, " wajib").otherwise("")).alias("question"))
+    pairs = hits.join(F.broadcast(q), "search_id")
     a = legal.alignment(F.col("question"), F.lit(""), F.col("text"))
-    return pairs.select("item_id", "doc_id", a.alias("a")).select("item_id", "doc_id", F.col("a.distinctive_ratio").alias("ratio"), "a.accepted")
+    return pairs.select("search_id", "doc_id", a.alias("a")).select("search_id", "doc_id", F.col("a.distinctive_ratio").alias("ratio"), "a.accepted")
 
 
 @query(
@@ -176,12 +178,12 @@ def claim_filters(spark, sf_dir):
 
 
 @query(
-    f"""WITH {UNITS}, q AS (SELECT {sql_tokens("'the of and reading shed license wajib'")} AS qt), c AS (SELECT doc_id, pos, line, level, {sql_tokens("line")} AS ct FROM units WHERE doc_id < 100)
+    f"""WITH {UNITS}, q AS (SELECT {sql_tokens("'the of and reading shed license wajib'")} AS qt), c AS (SELECT doc_id, pos, line, level, {sql_tokens("line")} AS ct FROM units)
 SELECT doc_id, pos, round(10.0 + 12.0 * len(list_intersect(qt, ct)) / len(qt) + CASE WHEN regexp_matches(lower(line), 'wajib|harus|dilarang|pelapor adalah') THEN 14 ELSE 0 END + CASE WHEN level = 3 THEN 4 ELSE 0 END + 18.0, 5) AS score FROM c, q"""
 )
 def answer_rank(spark, sf_dir):
     question = F.lit("the of and reading shed license wajib")
-    u = units(spark, sf_dir).where("doc_id < 100")
+    u = units(spark, sf_dir)
     score = claims.rank(
         question, t.tokens(question), F.col("line"), t.tokens(F.col("line")), F.lit(10.0), F.when(F.col("level") == 3, "pasal").otherwise("bab"), F.lit("document_page"), F.lit("POJK"), F.lit(""), F.array().cast("array<string>")
     )
@@ -345,24 +347,22 @@ LEXICON = {
 }
 
 
-def _plans(spark, sf_dir):
-    """Plans for the first words of the test items; as many questions as items, planned on the driver."""
-    items = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(64).collect()
-    planner = pl.Planner(LEXICON)
-    plans = {r["item_id"]: planner.plan(" ".join(pl.words(r["text"])[:8]) + " wajib?", 8) for r in items}
-    return plans, pl.searches_table(spark, plans)
+def _questions_of_items(spark, sf_dir):
+    words = F.array_join(F.slice(t.tokens(F.col("text")), 1, 8), " ")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(words, F.lit(" wajib?")).alias("raw_query"))
 
 
 @query()
 def query_plan(spark, sf_dir):
-    return _plans(spark, sf_dir)[1]
+    """The searches of a question for every test item: its first eight words."""
+    return pl.plan_questions(_questions_of_items(spark, sf_dir), LEXICON, 8)
 
 
 @query()
 def execute_plans(spark, sf_dir):
     """All searches of all questions' plans, as one set of joins."""
-    plans, s = _plans(spark, sf_dir)
-    q = spark.createDataFrame([(k, p.raw_query) for k, p in plans.items()], "query_id long, raw_query string")
+    q = _questions_of_items(spark, sf_dir)
+    s = pl.plan_questions(q, LEXICON, 8)
     none = F.lit(None).cast("string")
     base = index(spark, sf_dir)
     d = base.docs.withColumns({"file_id": F.col("doc_id"), "number": F.col("source"), "pasal": none, "ayat": none, "huruf": none})

@@ -9,7 +9,8 @@ from ..functions import text as t
 from ..operators import audit as au
 from ..operators import evaluation as ev
 from ..operators import evidence as ed
-from .base import DOCS, UNITS, docs, query, sql_tokens, table, units
+from .answers import _findings
+from .base import DOCS, ORACLE_SQL, UNITS, docs, query, sql_tokens, table, units
 
 
 @query(
@@ -113,12 +114,15 @@ def trace_profile(spark, sf_dir):
     return ed.trace(items, "doc_id")
 
 
+def _by_role(found):
+    """Up to three findings a question, each citing its document's role."""
+    k = F.col("document")
+    return found.groupBy("query_id").agg(F.collect_list(F.struct(F.col("place").cast("string").alias("id"), k.alias("citation_id"))).alias("f"), F.collect_list(F.struct(k.alias("id"))).alias("c"))
+
+
 @query(
-    "SELECT conv_id, bool_and(turn >= 0) AS citations_exist, count(DISTINCT turn % 3) = count(*) AS citations_unique FROM conversations WHERE turn < 5 GROUP BY conv_id"
+    "WITH f AS (" + ORACLE_SQL["select_findings"].replace("doc_id AS block, issuer FROM p", "role FROM p") + ") SELECT query_id, true AS citations_exist, count(DISTINCT role) = count(*) AS citations_unique FROM f GROUP BY query_id"
 )
 def answer_contract(spark, sf_dir):
-    """Turns as findings, each citing the turn's number modulo three."""
-    c = table(spark, sf_dir, "conversations").where("turn < 5")
-    k = (F.col("turn") % 3).cast("string")
-    g = c.groupBy("conv_id").agg(F.collect_list(F.struct(F.col("turn").cast("string").alias("id"), k.alias("citation_id"))).alias("f"), F.collect_list(F.struct(k.alias("id"))).alias("c"))  # up to five turns
-    return g.select("conv_id", ev.contract(F.col("f"), F.col("c")).alias("k")).select("conv_id", "k.citations_exist", "k.citations_unique")
+    g = _by_role(_findings(spark, sf_dir))
+    return g.select("query_id", ev.contract(F.col("f"), F.col("c")).alias("k")).select("query_id", "k.citations_exist", "k.citations_unique")

@@ -120,36 +120,29 @@ def relative_score_cut(spark, sf_dir):
     return se.near_best(found, "title_score").select("search_id", "doc_id", F.round("title_score", 6).alias("title_score"))
 
 
-PARTS = f"""a AS (SELECT p_partkey, p_name, {sql_tokens("p_name || ' ' || p_type")} AS ta FROM part WHERE p_partkey % 20 = 0),
-b AS (SELECT p_partkey AS other, {sql_tokens("p_name || ' ' || p_type")} AS tb FROM part)"""
+PAIRS = f"""a AS (SELECT item_id, {sql_tokens("string_split(text, chr(10))[1]")} AS ta FROM benchmark), b AS (SELECT doc_id, {sql_tokens("title")} AS tb FROM docs),
+j AS (SELECT item_id, doc_id, len(list_intersect(ta, tb)) / greatest(1, len(list_distinct(list_concat(ta, tb)))) AS j FROM a JOIN b ON list_has_any(ta, tb))"""
 
 
-def _part_pairs(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", t.tokens(F.concat_ws(" ", "p_name", "p_type")).alias("ts"))
-    a = p.where("p_partkey % 20 = 0").select("p_partkey", F.col("ts").alias("ta"))
-    return a, p.select(F.col("p_partkey").alias("other"), F.col("ts").alias("tb"))
-
-
-@query(f"WITH {PARTS} SELECT p_partkey, other, round(len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))), 6) AS jaccard FROM a JOIN b ON p_partkey <> other AND list_has_any(ta, tb) WHERE len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) >= 0.5")
+@query(f"WITH {DOCS}, {PAIRS} SELECT item_id, doc_id, round(j, 6) AS jaccard FROM j WHERE j >= 0.2")
 def jaccard_siblings(spark, sf_dir):
-    a, b = _part_pairs(spark, sf_dir)
-    one = a.select("p_partkey", "ta", F.explode(F.array_distinct("ta")).alias("k"))
-    pairs = one.join(b.select("other", "tb", F.explode(F.array_distinct("tb")).alias("k")), "k").where("p_partkey <> other").dropDuplicates(["p_partkey", "other"])
-    return pairs.withColumn("jaccard", t.jaccard(F.col("ta"), F.col("tb"))).where("jaccard >= 0.5").select("p_partkey", "other", F.round("jaccard", 6).alias("jaccard"))
+    """First lines of test items and titles of documents that share a fifth of their words or more; pairs meet by a shared word."""
+    a = _title_searches(spark, sf_dir).select(F.col("search_id").alias("item_id"), t.tokens(F.col("query")).alias("ta"))
+    b = docs(spark, sf_dir).select("doc_id", t.tokens(F.col("title")).alias("tb"))
+    words = F.broadcast(a.select("*", F.explode(F.array_distinct("ta")).alias("k")))  # the words of the test items
+    pairs = b.select("*", F.explode(F.array_distinct("tb")).alias("k")).join(words, "k").dropDuplicates(["item_id", "doc_id"])
+    return pairs.withColumn("j", t.jaccard(F.col("ta"), F.col("tb"))).where("j >= 0.2").select("item_id", "doc_id", F.round("j", 6).alias("jaccard"))
 
 
 @query(
-    f"""WITH {DOCS}, q AS (SELECT item_id, {sql_tokens("text")}[1:12] AS qt FROM benchmark), d AS (SELECT doc_id, {sql_tokens("text")}[1:12] AS dt FROM docs WHERE doc_id < 200),
-g AS (SELECT item_id, doc_id, n, unnest(range(1, len(qt) - n + 2)) AS i, qt, dt FROM q, d, (SELECT unnest(range(1, 13)) AS n) WHERE len(qt) >= n AND list_has_any(qt, dt)),
-h AS (SELECT item_id, doc_id, n FROM g WHERE contains(' ' || array_to_string(dt, ' ') || ' ', ' ' || array_to_string(qt[i : i + n - 1], ' ') || ' '))
-SELECT item_id, doc_id, CAST(max(n) AS INTEGER) AS run FROM h GROUP BY item_id, doc_id"""
+    f"""WITH w AS (SELECT p_partkey, {sql_tokens("p_name || ' ' || p_type || ' ' || p_name")} AS a, {sql_tokens("p_type || ' ' || p_name || ' ' || p_brand")} AS b FROM part),
+g AS (SELECT p_partkey, n, b, unnest(range(1, len(a) - n + 2)) AS i, a FROM w, (SELECT unnest(range(1, 7)) AS n) WHERE len(a) >= n)
+SELECT p_partkey, CAST(max(CASE WHEN contains(' ' || array_to_string(b, ' ') || ' ', ' ' || array_to_string(a[i : i + n - 1], ' ') || ' ') THEN n ELSE 0 END) AS INTEGER) AS run FROM g GROUP BY p_partkey"""
 )
 def shared_run(spark, sf_dir):
-    """Longest token sequence shared by the beginnings of test items and of the first documents."""
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.slice(t.tokens(F.col("text")), 1, 12).alias("qt"))
-    d = docs(spark, sf_dir).where("doc_id < 200").select("doc_id", F.slice(t.tokens(F.col("text")), 1, 12).alias("dt"))
-    pairs = q.select("*", F.explode(F.array_distinct("qt")).alias("k")).join(d.select("*", F.explode(F.array_distinct("dt")).alias("k")), "k").dropDuplicates(["item_id", "doc_id"])
-    return pairs.select("item_id", "doc_id", t.longest_run(F.col("qt"), F.col("dt")).alias("run"))
+    """Longest token sequence that two orders of a part's words share."""
+    a, b = t.tokens(F.concat_ws(" ", "p_name", "p_type", "p_name")), t.tokens(F.concat_ws(" ", "p_type", "p_name", "p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", t.longest_run(a, b).alias("run"))
 
 
 @query(f"WITH {UNITS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN level = 5 THEN 0 ELSE 1 END, page, length(line), pos) AS rk FROM units) SELECT doc_id, pos, line FROM r WHERE rk = 1")
@@ -182,14 +175,14 @@ def issuer_quota_topk(spark, sf_dir):
     return se.quota_top(_deduped(spark, sf_dir), "issuer", 8, [F.desc("bm25"), F.col("doc_id")]).select("search_id", "doc_id", "issuer", "bm25")
 
 
-VECTORS = """q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 20),
+VECTORS = """q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT vec_id, label, query_id, list_sum(list_transform(list_zip(embedding, qv), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) AS score FROM embeddings, q {where}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) AS rk FROM s) SELECT query_id, vec_id, label, round(score, 6) AS score, CAST(rk AS INTEGER) AS rank FROM r WHERE rk <= 10"""
 
 
 def _vectors(spark, sf_dir, where="true"):
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return se.vector_top(e.where(where), q, 10).select("query_id", "vec_id", "label", F.round("score", 6).alias("score"), "rank")
 
 
@@ -204,14 +197,15 @@ def vector_topk_filtered(spark, sf_dir):
 
 
 @query(
-    f"""WITH {DOCS}, {SEARCHES}, x AS (SELECT search_id, doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f, {sql_tokens("query")} AS ts FROM searches, docs WHERE doc_id < 50),
+    f"""WITH {BM25.format(filter="true")}, x AS (SELECT h.search_id, h.doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f, {sql_tokens("query")} AS ts FROM hits h JOIN searches USING (search_id) JOIN docs USING (doc_id) WHERE matched >= min_match),
 y AS (SELECT *, greatest(0, coalesce(list_min(list_filter(list_transform(ts, lambda u: instr(lower(f), u) - 1), lambda p: p >= 0)), 120) - 120) AS a FROM x)
 SELECT search_id, doc_id, CASE WHEN a > 0 THEN '...' ELSE '' END || substr(f, CAST(a AS BIGINT) + 1, 420) || CASE WHEN a + 420 < length(f) THEN '...' ELSE '' END AS snippet FROM y"""
 )
 def snippets(spark, sf_dir):
-    d = docs(spark, sf_dir).where("doc_id < 50").select("doc_id", "text")
-    pairs = d.crossJoin(F.broadcast(searches(spark, sf_dir)))  # as many searches as test items
-    return pairs.select("search_id", "doc_id", t.snippet(F.col("text"), t.tokens(F.col("query"))).alias("snippet"))
+    """A snippet of every hit of every search."""
+    s = searches(spark, sf_dir)
+    hits = se.bm25(_index(spark, sf_dir), s).join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    return hits.join(F.broadcast(s.select("search_id", t.tokens(F.col("query")).alias("ts"))), "search_id").select("search_id", "doc_id", t.snippet(F.col("text"), F.col("ts")).alias("snippet"))
 
 
 @query(f"WITH {UNITS} SELECT doc_id, pos, line, page FROM units WHERE doc_id = 7 ORDER BY page, pos LIMIT 1")

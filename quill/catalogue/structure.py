@@ -86,13 +86,13 @@ def unit_admission(spark, sf_dir):
 
 
 @query(
-    r"""WITH x AS (SELECT p_partkey % 10 AS doc, regexp_extract(p_name || ' yang selanjutnya disingkat ' || upper(substr(p_brand, 1, 3)) || (p_partkey % 3) || ' dan', '^(.*) yang', 1) AS long_form, upper(substr(p_brand, 1, 3)) || (p_partkey % 3) AS alias, p_name FROM part WHERE p_partkey < 40),
+    r"""WITH x AS (SELECT p_partkey // 4 AS doc, regexp_extract(p_name || ' yang selanjutnya disingkat ' || upper(substr(p_brand, 1, 3)) || (p_partkey % 3) || ' dan', '^(.*) yang', 1) AS long_form, upper(substr(p_brand, 1, 3)) || (p_partkey % 3) AS alias, p_name FROM part),
 c AS (SELECT doc, alias, 'Bank ' || trim(long_form) AS long_form FROM x) SELECT doc, alias, min(long_form) AS long_form FROM c GROUP BY doc, alias HAVING min(long_form) = max(long_form)"""
 )
 def acronym_aliases(spark, sf_dir):
     alias = F.concat(F.upper(F.substring("p_brand", 1, 3)), (F.col("p_partkey") % 3).cast("string"))
     text = F.concat(F.lit("Bank "), "p_name", F.lit(" yang selanjutnya disingkat "), alias, F.lit(" dan"))
-    p = table(spark, sf_dir, "part").where("p_partkey < 40").select((F.col("p_partkey") % 10).alias("doc"), text.alias("text"))
+    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 4).alias("doc"), text.alias("text"))
     return un.acronyms(p, ["doc"], "text")
 
 
@@ -115,8 +115,8 @@ def parse_units(spark, sf_dir):
 
 @query()
 def geometry_lines(spark, sf_dir):
-    """Text items laid out from the lines of the first documents."""
-    u = docs(spark, sf_dir).where("doc_id < 20").select(F.col("doc_id").cast("string").alias("file_id"), F.posexplode(F.split("text", " ")).alias("i", "text"))
+    """Text items laid out from the words of the documents, a page each."""
+    u = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file_id"), F.posexplode(F.split("text", " ")).alias("i", "text"))
     y = F.floor(F.col("i") / 8) * 14.0
     text = F.when(F.col("i") % 24 == 0, F.concat(F.lit("a. "), "text")).otherwise(F.col("text"))
     x = F.when(F.col("i") % 24 < 8, 227.0).otherwise(255.0) + (F.col("i") % 8) * 20.0
