@@ -280,7 +280,7 @@ DELTA = "SELECT event_type AS metric, count(*) AS value FROM events WHERE {0} GR
 
 
 @query(
-    f"WITH c AS ({DELTA.format('event_id % 2 = 0')}), p AS ({DELTA.format('event_id % 3 = 0 AND event_type <> ' + chr(39) + 'click' + chr(39))}) SELECT metric, c.value AS current, p.value AS prior, coalesce(c.value, 0) - coalesce(p.value, 0) AS delta FROM c FULL OUTER JOIN p USING (metric)"
+    f"WITH c AS ({DELTA.format('value > 50')}), p AS ({DELTA.format('value <= 50 AND event_type <> ' + chr(39) + 'click' + chr(39))}) SELECT metric, c.value AS current, p.value AS prior, coalesce(c.value, 0) - coalesce(p.value, 0) AS delta FROM c FULL OUTER JOIN p USING (metric)"
 )
 def summary_delta(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("metric", F.col("event_type"))
@@ -288,7 +288,7 @@ def summary_delta(spark, sf_dir):
     def counted(where):
         return e.where(where).groupBy("metric").agg(F.count(F.lit(1)).alias("value"))
 
-    return ev.deltas(counted("event_id % 2 = 0"), counted("event_id % 3 = 0 AND event_type <> 'click'"))
+    return ev.deltas(counted("value > 50"), counted("value <= 50 AND event_type <> 'click'"))
 
 
 MENTIONS = f"""{DOCS}, m AS (SELECT title AS phrase, issuer, role, 'title' AS origin FROM docs UNION ALL SELECT string_split(text, chr(10))[2], issuer, role, 'heading' FROM docs WHERE len(string_split(text, chr(10))) > 1),
@@ -316,13 +316,13 @@ def lexicon_generated(spark, sf_dir):
 
 
 @query(
-    "WITH b AS (SELECT DISTINCT p_brand AS name FROM part WHERE p_partkey % 2 = 0), r AS (SELECT DISTINCT p_brand AS name, lower(p_brand) AS pat FROM part WHERE p_size > 40) "
+    "WITH b AS (SELECT DISTINCT p_brand AS name FROM part WHERE p_size <= 10), r AS (SELECT DISTINCT p_brand AS name, lower(p_brand) AS pat FROM part WHERE p_size > 40) "
     "SELECT name FROM b UNION ALL SELECT name FROM r WHERE name NOT IN (SELECT name FROM b)"
 )
 def lexicon_merge(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     entry = [F.lit("entities").alias("section"), F.col("p_brand").alias("name"), F.array(F.lower("p_brand")).alias("patterns")]
-    base = p.where("p_partkey % 2 = 0").select(*entry).distinct()
+    base = p.where("p_size <= 10").select(*entry).distinct()
     reviewed = p.where("p_size > 40").select(*entry, F.lit(True).alias("approved")).distinct()
     return lx.merge(base, reviewed).select("name")
 

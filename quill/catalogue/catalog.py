@@ -105,21 +105,21 @@ def lazy_hash_groups(spark, sf_dir):
 
 @query(
     "SELECT count(*) FILTER (c.k IS NOT NULL AND o.k IS NOT NULL) AS matched, count(*) FILTER (o.k IS NULL) AS left_only, count(*) FILTER (c.k IS NULL) AS right_only "
-    "FROM (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 4 < 3) c FULL OUTER JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON c.k = o.k"
+    "FROM (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal > 0) c FULL OUTER JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON c.k = o.k"
 )
 def coverage_full_outer(spark, sf_dir):
-    left = table(spark, sf_dir, "customer").where("c_custkey % 4 < 3").select(F.col("c_custkey").alias("k"))
+    left = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
     return ca.coverage(left, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
 
 
 @query(
     "SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') "
-    "UNION ALL SELECT o_orderkey, round(o_totalprice * 2, 2) FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 2 = 0"
+    "UNION ALL SELECT o_orderkey, round(o_totalprice * 2, 2) FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT'"
 )
 def replace_by_key(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
     gone = o.where("o_orderstatus = 'F'")
-    new = gone.where("o_custkey % 2 = 0").withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    new = gone.where("o_orderpriority <> '1-URGENT'").withColumn("o_totalprice", F.col("o_totalprice") * 2)
     return ca.replace_by_key(o, new, gone, "o_orderkey").select("o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"))
 
 
