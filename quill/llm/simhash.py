@@ -239,30 +239,38 @@ def near_pairs(codes: DataFrame, most: int, agree: int = 3, forest: bool = False
     table = F.array(*map(F.lit, every))
     keyed = codes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(every) - 1))).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.element_at(table, F.col("mask") + 1)))
 
-    def listed(part: np.ndarray, found: set) -> None:
-        index = GrayIndex(part)
-        signed = index.codes.view(np.int64).tolist()
-        for at in range(0, len(signed), 256):
-            q, node = index.pairs(index.codes[at : at + 256], most)
-            found.update((min(signed[at + x], signed[y]), max(signed[at + x], signed[y])) for x, y in zip(q.tolist(), node.tolist(), strict=True) if at + x < y)
+    bits = np.array(every, np.int64).view(np.uint64)
+
+    def first(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether mask `at` is the first that both codes are equal under: a pair is taken up there and nowhere else."""
+        out = [np.argmax(((x[i : i + 8192] ^ y[i : i + 8192])[:, None] & bits) == 0, axis=1) for i in range(0, len(x), 8192)]
+        return np.concatenate(out) == at if out else np.zeros(0, bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for mask, value, fp in whole_groups(batches, 2):
             bounds = group_bounds((mask, value))
             sizes, codes = np.diff(bounds), fp.view(np.uint64)
             small = np.repeat(sizes <= FANOUT, sizes)
-            left, right = compare_small(codes, np.repeat(np.arange(len(sizes)), sizes), small, most)
-            found = {(min(int(fp[x]), int(fp[y])), max(int(fp[x]), int(fp[y]))) for x, y in zip(left, right, strict=True)}
+            left, right = (np.array(x, np.int64) for x in compare_small(codes, np.repeat(np.arange(len(sizes)), sizes), small, most))
+            own = first(codes[left], codes[right], mask[left])
+            found = list(zip(fp[left[own]].tolist(), fp[right[own]].tolist(), strict=True))
             for k in np.nonzero(sizes > FANOUT)[0].tolist():
-                part = codes[bounds[k] : bounds[k + 1]]
-                if forest:
-                    link_group(part, None, most, joined := Forest())
-                    found.update(joined.kept)
-                else:
-                    listed(part, found)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-
-    return keyed.select("mask", "value", "fp").repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, "a long, b long").distinct()
+                index, joined = GrayIndex(codes[bounds[k] : bounds[k + 1]]), Forest()
+                signed = index.codes.view(np.int64)
+                for at in range(0, len(signed), 256):
+                    q, node = index.pairs(index.codes[at : at + 256], most)
+                    q, node = (q + at)[q + at < node], node[q + at < node]
+                    own = first(index.codes[q], index.codes[node], mask[bounds[k]])
+                    pairs = zip(signed[q[own]].tolist(), signed[node[own]].tolist(), strict=True)
+                    if forest:
+                        for x, y in pairs:
+                            joined.join(x, y)
+                    else:
+                        found += pairs
+                found += joined.kept
+            yield pa.RecordBatch.from_arrays([pa.array([min(x, y) for x, y in found], pa.int64()), pa.array([max(x, y) for x, y in found], pa.int64())], names=["a", "b"])
+
+    return keyed.select("mask", "value", "fp").repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, "a long, b long")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float, k: int) -> DataFrame:

@@ -189,7 +189,9 @@ def test_near_pairs_are_all_pairs(spark):
     codes = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(9))) & (2**64 - 1) for b in base for _ in range(20)})
     frame = spark.createDataFrame([(c - (1 << 64) if c >> 63 else c,) for c in codes], "fp long")
     for most in (5, 9):
-        got = {frozenset((r.a % 2**64, r.b % 2**64)) for r in simhash.near_pairs(frame, most).collect()}
+        rows = [frozenset((r.a % 2**64, r.b % 2**64)) for r in simhash.near_pairs(frame, most).collect()]
+        got = set(rows)
+        assert len(got) == len(rows)  # each once
         assert got == {frozenset(x) for x in combinations(codes, 2) if (x[0] ^ x[1]).bit_count() <= most}
 
 
