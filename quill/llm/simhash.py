@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, Forest, components, materialize, table
@@ -51,13 +51,18 @@ def simhash(text: bytes | None, k: int = 3, seed: int = 42) -> int:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
     """(id, fp as a signed 64-bit long) of every row; a null or empty text has fingerprint 0."""
+    return prints(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")), k)
+
+
+def prints(rows: DataFrame, k: int = 3) -> DataFrame:
+    """rows: long columns, then the text t as binary; with fp in its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([simhash(t, k) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["id", "fp"])
+            fp = np.array([simhash(t, k) for t in b.column(b.num_columns - 1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp, pa.int64())], names=[*b.schema.names[:-1], "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "id long, fp long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*rows.columns[:-1], "fp"]))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -290,27 +295,210 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float, k: int) -> Da
     return pairs.join(first, "x").join(second, "y").select("x", "y", "t", "u").mapInArrow(run, "x long, y long")
 
 
-def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 5, steps: tuple[tuple[int, bool], ...] = ((5, True), (9, True), (9, False))) -> DataFrame:
-    """(id) of one text of each group of near copies: the smallest id of each class.
+#: Texts sampled, and shingles named at most, for the order of shared_shingles(): common ones come last. It bears on cost alone.
+ORDER_TEXTS, ORDER_SHINGLES, ORDER_LEAST = 8000, 200_000, 5
+
+
+def text_key(text: Column) -> Column:
+    """A 64-bit hash that stands for a text; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(text.cast("binary"), F.lit(b"")))
+
+
+def common_shingles(texts: DataFrame, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the shingles that several of about ORDER_TEXTS out of n texts (node, t) have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if node not in seen:
+                    seen.add(node)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t or b"", k)).view(np.int64))], names=["h"])
+
+    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // ORDER_TEXTS))) == 0).mapInArrow(run, "h long")
+    counts = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ORDER_LEAST).orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).collect()
+    h, c = np.array([r["h"] for r in counts], np.int64).view(np.uint64), np.array([r["n"] for r in counts], np.int64)
+    at = np.argsort(h)
+    return h[at], c[at]
+
+
+def prefix(text: bytes, similarity: float, k: int, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """(the first shingle hashes of the text in the order of commonness, then hash; how many it has). Two texts of that
+    similarity s share at least ceil(s n) of either's n shingles, so n - ceil(s n) + 1 of each can't all be others."""
+    h = np.unique(shingle_hashes(text, k))
+    n = len(h)
+    if not n:
+        return h, 0
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        h = h[np.argsort(np.where(common[at] == h, counts[at], 0), kind="stable")]
+    return h[: n - int(np.ceil(similarity * n - 1e-9)) + 1], n
+
+
+def shared_shingles(texts: DataFrame, similarity: float, k: int, n: int) -> DataFrame:
+    """texts: (node, t). (h, node, n, before) of the prefix shingles that several of the texts have: n is the text's count
+    of shingles, before the shingle ahead of h in its prefix (the node's own number at the first)."""
+    common, counts = common_shingles(texts, k, n)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            rows = []
+            for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if node not in seen:
+                    seen.add(node)
+                    h, size = prefix(t or b"", similarity, k, common, counts)
+                    h = h.view(np.int64)
+                    rows.append((h, np.full(len(h), node, np.int64), np.full(len(h), size, np.int32), np.concatenate([[node], h[:-1]]).astype(np.int64)[: len(h)]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=["h", "node", "n", "before"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, node, size, before in whole_groups(batches, 1):
+            bounds = group_bounds((h,))
+            keep = np.repeat(np.minimum.reduceat(node, bounds[:-1]) < np.maximum.reduceat(node, bounds[:-1]), np.diff(bounds))
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, node, size, before)], names=["h", "node", "n", "before"])
+
+    schema = "h long, node long, n int, before long"
+    return texts.mapInArrow(take, schema).repartition("h").sortWithinPartitions("h").mapInArrow(several, schema)
+
+
+#: Bits of a text's sketch, in words of 64.
+SKETCH = [f"b{i}" for i in range(8)]
 
-    Classes come from links of at most 3 bits first. Then the classes' representatives are paired within the bits of each
-    of `steps` in turn, and pairs of that similarity of k-word shingles merge their classes. The first steps list pairs
-    enough to join the codes of a group (True), so that a dense group of copies has shrunk to few classes before all
-    pairs of representatives are listed (False). Rows with a null id are nobody's representative, unless all are.
+
+def sketched(texts: DataFrame, k: int) -> DataFrame:
+    """texts: (node, t). (node, words of SKETCH, size, wide), each text once: bits tell whether an odd number of its
+    shingles falls on them, so two texts' sketches differ in no more bits than their sets of shingles in shingles. wide
+    has about two bits a shingle, a power of two of them; folded, it is the sketch of fewer bits. size counts shingles."""
+    bits = 64 * len(SKETCH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, wide, narrow = [], [], [np.zeros((0, bits), np.uint8)]
+            for t in b.column(1).to_pylist():
+                h = np.unique(shingle_hashes(t or b"", k)) >> np.uint64(40)
+                odd = (np.bincount(h.astype(np.int64) & ((most := max(bits, 1 << min(20, (2 * len(h)).bit_length()))) - 1), minlength=most) & 1).astype(np.uint8)
+                sizes.append(len(h))
+                wide.append(np.packbits(odd, bitorder="little").tobytes())
+                narrow.append(np.bitwise_xor.reduce(odd.reshape(-1, bits), axis=0)[None])
+            words = np.packbits(np.concatenate(narrow), axis=1, bitorder="little").view("<i8")
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(words[:, i]) for i in range(len(SKETCH))), pa.array(sizes, pa.int32()), pa.array(wide, pa.binary())], names=["node", *SKETCH, "size", "wide"])
+
+    schema = ", ".join(f"{c} long" for c in ["node", *SKETCH]) + ", size int, wide binary"
+    return texts.mapInArrow(run, schema).groupBy("node").agg(*(F.min(c).alias(c) for c in [*SKETCH, "size", "wide"]))
+
+
+def allowed(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (x, y) whose wide sketches allow the similarity: the rest differ in too many shingles for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for n, m, u, v in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
+                u, v = np.frombuffer(u, np.uint8), np.frombuffer(v, np.uint8)
+                while len(u) != len(v):
+                    u, v = (u, v) if len(u) > len(v) else (v, u)
+                    u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+                keep.append(int(np.bitwise_count(u ^ v).sum(dtype=np.int64)) <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    first = sketches.select(F.col("node").alias("x"), F.col("size").alias("n"), F.col("wide").alias("u"))
+    second = sketches.select(F.col("node").alias("y"), F.col("size").alias("m"), F.col("wide").alias("v"))
+    return pairs.join(first, "x").join(second, "y").select("x", "y", "n", "m", "u", "v").mapInArrow(run, "x long, y long")
+
+
+def shared_pairs(shared: DataFrame, similarity: float, forest: bool = False) -> DataFrame:
+    """shared: (h, node, n, before, head, words of SKETCH). All pairs (x, y), x < y, of nodes of different heads that share
+    a prefix shingle, and whose counts and sketches allow the similarity. Where the shingle before is the same as well,
+    the pair is met there. forest: of those a task holds at once, pairs enough to join the heads that its pairs join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, head, node, n, before, *words in whole_groups(batches, 1):
+            bounds = group_bounds((h,))
+            sketch = np.stack(words, axis=1).view(np.uint64)
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+            def fits(i: np.ndarray, j: np.ndarray, head=head, n=n, before=before) -> np.ndarray:
+                return (head[i] != head[j]) & (before[i] != before[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+
+            def take(i: np.ndarray, j: np.ndarray, n=n, sketch=sketch, left=left, right=right) -> None:
+                for at in range(0, len(i), 1 << 17):
+                    x, y = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
+                    near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64) <= (n[x] + n[y]) * (1 - similarity) / (1 + similarity) + 1e-9
+                    left.append(x[near])
+                    right.append(y[near])
+
+            sizes = np.diff(bounds)
+            group, small = np.repeat(np.arange(len(sizes)), sizes), np.repeat(sizes <= FANOUT, sizes)
+            for s in range(1, min(FANOUT, len(h))):
+                i = np.nonzero((group[s:] == group[:-s]) & small[s:])[0]
+                i = i[fits(i, i + s)]
+                take(i, i + s)
+            for g in np.nonzero(sizes > FANOUT)[0].tolist():
+                at, end = int(bounds[g]), int(bounds[g + 1])
+                while at < end:
+                    first = at + int(np.searchsorted(head[at:end], head[at], "right"))  # rows of one head lie together and aren't compared
+                    if first == end:
+                        break
+                    stop = min(end, at + max(1, (1 << 20) // (end - first)))
+                    i, j = np.arange(at, stop)[:, None], np.arange(first, end)[None, :]
+                    q, r = np.nonzero(fits(i, j) & (i < j))
+                    take(at + q, first + r)
+                    at = stop
+            i, j = np.concatenate(left), np.concatenate(right)
+            if forest:
+                heads, one = np.unique(np.sort(np.stack([head[i], head[j]], axis=1), axis=1), axis=0, return_index=True)
+                joined = Forest()
+                one = [k for (x, y), k in zip(heads.tolist(), one.tolist(), strict=True) if joined.find(x) != joined.find(y) and joined.join(x, y) is None]
+                i, j = i[one], j[one]
+            pairs = np.unique(np.sort(np.stack([node[i], node[j]], axis=1), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["x", "y"])
+
+    return shared.select("h", "head", "node", "n", "before", *SKETCH).repartition("h").sortWithinPartitions("h", "head").mapInArrow(run, "x long, y long").distinct()
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 5, steps: tuple[int, ...] = (5, 9)) -> DataFrame:
+    """(id, node) of one row of each group of near copies: that with the smallest id, node being its text's text_key().
+
+    Groups are the components of all texts under two kinds of links: at most 3 bits between fingerprints, and that
+    similarity of k-word shingles or more. Classes come from the first kind. Then the classes' heads are paired within the
+    bits of each of `steps` in turn, pairs enough to join the codes of a group, so that a dense group of copies has
+    shrunk to few classes; this merges what is similar and leaves nothing out of what follows. Last, all texts of all
+    classes that share a shingle of their prefixes are compared, but for those of one class, again by few pairs first; by
+    the prefixes' lengths no pair of that similarity is missed. A row with a null id stays only in a group without ids.
     """
-    groups = near_duplicates(df, id_col, text_col)
-    left = materialize(groups.where("id = component_id").groupBy("id").agg(F.min("fp").alias("fp")), "representatives")
-    every = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    for most, forest in steps:
-        near = near_pairs(left.select("fp").distinct(), most, forest=forest)
-        of = left.groupBy("fp").agg(F.min("id").alias("id"))
-        ids = materialize(near.join(of.select(F.col("fp").alias("a"), F.col("id").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("id").alias("y")), "b").select("x", "y"), "pairs")
-        needed = ids.select(F.col("x").alias("id")).union(ids.select("y")).distinct()
-        texts = every.join(needed, "id").groupBy("id").agg(F.min("t").alias("t"))
-        roots = components(similar(ids, texts, similarity, k).select(F.col("x").alias("a"), F.col("y").alias("b")))
-        gone = roots.where("node <> root").select(F.col("node").alias("id"))
-        left = materialize(left.join(gone, "id", "left_anti"), "representatives")
-    return left.select("id")
+    texts = df.select(text_key(F.col(text_col)).alias("node"), F.col(text_col).cast("binary").alias("t"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("node"), F.col(text_col).cast("binary").alias("t"))
+    rows = materialize(prints(rows), "fingerprints")
+    nodes = rows.groupBy("node").agg(F.min("fp").alias("fp"))
+    roots = components(links(nodes.select("fp").distinct())).withColumnRenamed("node", "fp")
+    classes = nodes.join(roots, "fp", "left").select("node", "fp", F.coalesce("root", "fp").alias("class"))
+    heads = classes.groupBy("class").agg(F.min("node").alias("head"))
+    named = materialize(classes.join(heads, "class").select("node", "fp", "head"), "classes")
+    sketches = materialize(sketched(texts, k), "sketches")
+
+    def merged(pairs: DataFrame) -> DataFrame:
+        """named after the similar ones of pairs (x, y) of nodes have merged their classes."""
+        pairs = materialize(allowed(pairs, sketches, similarity), "pairs")
+        needed = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
+        found = texts.join(needed, "node").groupBy(F.col("node").alias("id")).agg(F.min("t").alias("t"))
+        same = similar(pairs, found, similarity, k)
+        of = named.select("node", "head")
+        edges = same.join(of.select(F.col("node").alias("x"), F.col("head").alias("a")), "x").join(of.select(F.col("node").alias("y"), F.col("head").alias("b")), "y").select("a", "b")
+        to = components(edges).select(F.col("node").alias("head"), "root")
+        return materialize(named.join(to, "head", "left").select("node", "fp", F.coalesce("root", "head").alias("head")), "classes")
+
+    for most in steps:
+        left = named.where("node = head").groupBy("fp").agg(F.min("node").alias("node"))
+        near = near_pairs(left.select("fp"), most, forest=True)
+        named = merged(materialize(near.join(left.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(left.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y"), "pairs"))
+    shared = materialize(shared_shingles(texts, similarity, k, named.count()), "shared")
+    for forest in (True, False):
+        held = shared.join(named.where("node = head").select("node", "head").join(sketches.select("node", *SKETCH), "node"), "node")
+        named = merged(materialize(shared_pairs(held, similarity, forest), "pairs"))
+    best = rows.join(named.select("node", "head"), "node").groupBy("head").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("row"))
+    return best.select("row.id", "row.node")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
