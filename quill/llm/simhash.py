@@ -495,7 +495,7 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         named = merged(materialize(near.join(left.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(left.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y"), "pairs"))
     shared = materialize(shared_shingles(texts, similarity, k, named.count()), "shared")
     for forest in (True, False):
-        held = shared.join(named.where("node = head").select("node", "head").join(sketches.select("node", *SKETCH), "node"), "node")
+        held = shared.join(named.select("node", "head").join(sketches.select("node", *SKETCH), "node"), "node")
         named = merged(materialize(shared_pairs(held, similarity, forest), "pairs"))
     best = rows.join(named.select("node", "head"), "node").groupBy("head").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("row"))
     return best.select("row.id", "row.node")

@@ -32,7 +32,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
 
 
-def test_every_similar_pair_links_beyond_any_bits(spark):
+def test_every_similar_pair_links_beyond_any_bits_and_through_merged_members(spark):
     rng = random.Random(8)
     vocab = ["w%d" % i for i in range(3000)]
     texts = []
@@ -40,6 +40,11 @@ def test_every_similar_pair_links_beyond_any_bits(spark):
         w = rng.choices(vocab, k=rng.randrange(30, 60))
         texts.append(" ".join(w))
         texts.append(" ".join([*rng.choices(vocab, k=rng.randrange(1, 6)), *w]))
+    for _ in range(12):  # copies edited a little at a time: the ends are far apart, each step is near
+        w = rng.choices(vocab, k=80)
+        for _ in range(12):
+            texts.append(" ".join(w))
+            w = w[rng.randrange(3, 7) :] + rng.choices(vocab, k=rng.randrange(3, 7))
     line = rng.choices(vocab, k=30)  # a line that many different texts have
     texts += [" ".join(line + rng.choices(vocab, k=60)) for _ in range(60)]
     rng.shuffle(texts)
