@@ -4,8 +4,9 @@ The standard library's parser streams events; block-level tags end a line, and e
 met since the line before, and the containers it is in. Lines inside elements that are boilerplate by their nature
 (menus, headers, footers, sidebars, forms, scripts, ...) or by their class, id or role are marked. The ratio of text to
 tags is smoothed over the lines by a Gaussian, lines at or over the threshold form the content cluster, and the deepest
-container that holds nearly all of the cluster's text is the content region: its unmarked lines are the text, short
-ones included, so that smoothing decides where the article is but drops nothing from it.
+container that holds nearly all of the cluster's text is the content region, or the article or main element around it:
+its unmarked lines are the text, short ones included, so that smoothing decides where the article is but drops nothing
+from it. A blockquote or details element is a part of a text and never the region.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, container number, mark: 0, 1 by name, 2 for good
         self.above = [-1]  # of each container, the one around it
+        self.kinds = [""]  # and its tag
         self.lines: list[tuple[str, int, int, bool]] = []
         self.text: list[str] = []
         self.tags = 0
@@ -82,6 +84,7 @@ class Lines(HTMLParser):
                 marked = 0
         if tag in CONTAINER:
             self.above.append(box)
+            self.kinds.append(tag)
             box = len(self.above) - 1
         self.open.append((tag, box, marked))
 
@@ -124,6 +127,18 @@ def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(x, kernel)[r:-r] / np.convolve(np.ones(len(x)), kernel)[r:-r]
 
 
+def whole(p: Lines, region: int) -> int:
+    """The outermost article around a container, itself included; or else the outermost main; or else the container, or what is around it if it is a quotation."""
+    around = [region]
+    while p.above[around[-1]] >= 0:
+        around.append(p.above[around[-1]])
+    for kind in ("article", "main"):
+        found = [b for b in around if p.kinds[b] == kind]
+        if found:
+            return found[-1]
+    return next(b for b in around if p.kinds[b] not in ("blockquote", "details"))
+
+
 def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
     """Blocks of the main text joined by line feeds; "" for null, empty or markup without text."""
     if not html:
@@ -149,6 +164,7 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
                 weight[box] = weight.get(box, 0) + len(t)
                 box = p.above[box]
     region = max(b for b, w in weight.items() if w >= share * total)  # a container's number is over those around it
+    region = whole(p, region)
     inside = {region}
     for b in range(region + 1, len(p.above)):
         if p.above[b] in inside:
