@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from .common import table
 
-#: Bounds of the training sample: labelled documents, and lines of each. Scoring has no bounds.
-SAMPLE_DOCS, SAMPLE_LINES = 4000, 200
+#: Bound of the training sample in labelled documents; their texts count whole. Scoring has no bound.
+SAMPLE_DOCS = 4000
 OWN, NEAR = 13, 6
 WIDTH = OWN + 3 * NEAR + 2
 
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [line_features(t)[0][:SAMPLE_LINES].astype("<f4").tobytes() for t in b.column(2).to_pylist()]
+            f = [line_features(t)[0].astype("<f4").tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.binary())], names=["id", "y", "f"])
 
     rows = docs.join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("long").alias("id"), F.col("_y").alias("y"), F.col(text_col).alias("t"))
