@@ -13,7 +13,7 @@ from quill.llm.byte_bpe import encode_digests
 from quill.llm.common import materialize
 from quill.llm.decontamination import contaminated
 from quill.llm.quality import score, train
-from quill.llm.simhash import representatives
+from quill.llm.simhash import representatives, text_key
 from quill.llm.substrings import dedupe
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,9 +26,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays;
-    of rows that repeat its id, one. Rows without an id aren't told apart and go with their copies."""
-    return docs.join(representatives(docs), docs["doc_id"] == F.col("id"), "left_semi").select(COLUMNS).dropDuplicates(["doc_id"])
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays.
+    A row without an id, or with an id that another text has as well, goes only if its own text has a copy that stays."""
+    kept = representatives(docs)
+    keyed = docs.select(*COLUMNS, text_key(F.col("text")).alias("_node"))
+    return keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["id"]) & (keyed["_node"] == kept["node"]), "left_semi").dropDuplicates(["doc_id", "_node"]).select(COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

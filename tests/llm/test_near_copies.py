@@ -51,3 +51,12 @@ def test_every_similar_pair_links_beyond_any_bits_and_through_merged_members(spa
     groups, far = brute_groups(texts)
     got = corpus_pipeline.near_dedup(spark, frame(spark, enumerate(texts)), "")
     assert [r.doc_id for r in got.orderBy("doc_id").collect()] == sorted(set(groups)) and far > 10
+
+
+def test_null_and_repeated_ids_go_only_with_a_copy(spark):
+    rng = random.Random(9)
+    a, b, c, d, e = (" ".join(rng.choices(["v%d" % i for i in range(500)], k=60)) for _ in range(5))
+    rows = [(1, a), (None, a), (None, b), (2, c), (2, d), (3, d + " more"), (None, e), (None, e), (1, a)]
+    got = corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, a), (None, b), (2, c), (2, d), (None, e)], key=str)
+    assert corpus_pipeline.near_dedup(spark, frame(spark, rows).limit(0), "").count() == 0
