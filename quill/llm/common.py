@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that a task holds few texts as Python objects at a time."""
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            yield b.slice(s, rows)
+
+
 def discard(table: DataFrame) -> None:
     """Deletes what materialize() wrote, once no later plan reads it."""
     spark = table.sparkSession
@@ -62,6 +71,16 @@ def row_splits(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+def join_hot(rows: DataFrame, per_key: DataFrame, key: str, share: int = 200) -> DataFrame:
+    """rows joined with per_key, which has one row a key and the number n of its rows. Keys with over one in `share` of all
+    rows, of which there are fewer than `share`, are broadcast, so that their rows meet them where they lie."""
+    total = per_key.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > total / share
+    few = F.broadcast(per_key.where(hot))
+    rest = rows.join(few.select(key), key, "left_anti").join(per_key.where(~hot), key)
+    return rows.join(few, key).select(rest.columns).union(rest)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 

@@ -1,10 +1,12 @@
 """SimHash near-dedup (8).
 
 Fingerprints: 64 bits, a bit set where over half of a text's shingle hashes have it. Linking: two fingerprints that
-differ in at most 3 bits agree on at least one of 4 blocks of 16 bits, so every fingerprint is dealt to its 4 (block,
-value) groups. Within a group a Gray-order hierarchical index finds the pairs: codes sorted by Gray rank lie next to
-codes that share long bit patterns; each node keeps the bits all its codes share (a mask and a pattern) less those of
-its parent, and a search adds up the differences on the way down and drops a whole node beyond the threshold.
+differ in at most 3 bits agree on at least one of 4 blocks of 16 bits (on 2 of 5 blocks, 3 of 6: more for more codes),
+so every fingerprint is dealt to the groups of its blocks' values. A task puts the blocks that its groups share into the
+highest bits, sorts the codes of all its groups by Gray rank and builds one hierarchical index over them: neighbours in
+Gray order share long bit patterns; each node keeps the bits that all its codes share (a mask and a pattern), less those
+of its parent. A search enters at the lowest nodes that span its group, adds up the differences on the way down, and
+drops a whole node beyond the threshold. Every pair of every group is found so, whatever the group's size.
 
 Groups over a limit are dealt out in pairs of chunks. Tasks return spanning forests, never all pairs, and codes of a
 tree that is already joined are pruned with their node. Components come from rounds of star joins over files.
@@ -21,9 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Forest, components, materialize, table
+from .common import LOWER, Forest, components, join_hot, materialize, sliced, table
 
-BLOCKS, BLOCK_BITS = 4, 16
 FANOUT = 8
 
 
@@ -58,7 +59,7 @@ def prints(rows: DataFrame, k: int = 3) -> DataFrame:
     """rows: long columns, then the text t as binary; with fp in its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fp = np.array([simhash(t, k) for t in b.column(b.num_columns - 1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp, pa.int64())], names=[*b.schema.names[:-1], "fp"])
 
@@ -76,68 +77,120 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 class GrayIndex:
     """Levels of nodes over codes in Gray order, from the leaves (the codes) up; FANOUT neighbours share a node.
 
-    own[l], pat[l]: at level l, the mask of the bits a node's codes share and its parent's do not, and their values.
+    full[l], pat[l]: at level l, the mask of the bits that all codes of a node share, and their values. own[l]: those of
+    the mask that the node's parent does not share. visited counts the nodes that searches have compared.
     """
 
     def __init__(self, codes: np.ndarray):
         self.order = np.argsort(gray_rank(codes), kind="stable")
         self.codes = codes[self.order].astype(np.uint64)
-        full = np.uint64(0xFFFFFFFFFFFFFFFF)
-        masks, pats = [np.full(len(codes), full, np.uint64)], [self.codes]
-        while len(masks[-1]) > FANOUT:
-            at = np.arange(0, len(masks[-1]), FANOUT)
-            ones, zeros = np.bitwise_and.reduceat(pats[-1] & masks[-1], at), np.bitwise_and.reduceat(~pats[-1] & masks[-1], at)
-            masks.append(ones | zeros)
-            pats.append(ones)
-        self.pat = pats
-        self.own = [m & ~masks[i + 1][np.arange(len(m)) // FANOUT] if i + 1 < len(masks) else m for i, m in enumerate(masks)]
-
-    def pairs(self, queries: np.ndarray, most: int, q_tree: np.ndarray | None = None, tree: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(query, position in codes) within `most` bits. With trees (a label per query and per code), pairs of one tree are left out, nodes of one tree whole."""
+        self.full, self.pat = [np.full(len(codes), 0xFFFFFFFFFFFFFFFF, np.uint64)], [self.codes]
+        while len(self.full[-1]) > FANOUT:
+            at = np.arange(0, len(self.full[-1]), FANOUT)
+            ones, zeros = np.bitwise_and.reduceat(self.pat[-1] & self.full[-1], at), np.bitwise_and.reduceat(~self.pat[-1] & self.full[-1], at)
+            self.full.append(ones | zeros)
+            self.pat.append(ones)
+        self.own = [m & ~self.full[i + 1][np.arange(len(m)) // FANOUT] if i + 1 < len(self.full) else m for i, m in enumerate(self.full)]
+        self.visited = 0
+
+    def search(self, queries: np.ndarray, first: np.ndarray, last: np.ndarray, most: int, q_tree: np.ndarray | None = None, tree: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, position) of the codes within `most` bits of each query, among positions first to last - 1.
+
+        A query enters at the lowest nodes that span its positions, adds up its differences from the shared patterns on
+        the way down, and drops a node with all below it once they exceed `most`. With trees (a label per query and per
+        code), pairs of one tree are left out, nodes of one tree whole.
+        """
         top = len(self.own) - 1
-        nq, nt = len(queries), len(self.own[top])
-        q, node, acc = np.repeat(np.arange(nq), nt), np.tile(np.arange(nt), nq), np.zeros(nq * nt, np.int64)
-        same = None
+        enter = np.zeros(len(queries), np.int64)
+        for level in range(top):
+            enter += last - first > FANOUT**level
+        spans = None
         if tree is not None:
-            lo, hi = [tree], [tree]
-            for level in range(1, top + 1):
-                at = np.arange(0, len(lo[-1]), FANOUT)
-                lo.append(np.minimum.reduceat(lo[-1], at))
-                hi.append(np.maximum.reduceat(hi[-1], at))
-            same = lo, hi
+            spans = [(tree, tree)]
+            for _ in range(top):
+                at = np.arange(0, len(spans[-1][0]), FANOUT)
+                spans.append((np.minimum.reduceat(spans[-1][0], at), np.maximum.reduceat(spans[-1][1], at)))
+        q = node = acc = np.zeros(0, np.int64)
         for level in range(top, -1, -1):
-            if same is not None:
-                keep = ~((same[0][level][node] == same[1][level][node]) & (same[0][level][node] == q_tree[q]))
-                q, node, acc = q[keep], node[keep], acc[keep]
-            acc = acc + np.bitwise_count((queries[q] ^ self.pat[level][node]) & self.own[level][node])
+            width = FANOUT**level
+            new = np.nonzero(enter == level)[0]
+            lo = first[new] // width
+            n = (last[new] - 1) // width - lo + 1
+            new_q = np.repeat(new, n)
+            new_node = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(new_q))
+            parts = ((q, node, acc, self.own), (new_q, new_node, np.zeros(len(new_q), np.int64), self.full))
+            acc = np.concatenate([a + np.bitwise_count((queries[x] ^ self.pat[level][y]) & mask[level][y]) for x, y, a, mask in parts])
+            q, node = np.concatenate([q, new_q]), np.concatenate([node, new_node])
+            self.visited += len(q)
             keep = acc <= most
+            if spans is not None:
+                low, high = spans[level]
+                keep &= ~((low[node] == high[node]) & (low[node] == q_tree[q]))
             q, node, acc = q[keep], node[keep], acc[keep]
             if level:
-                width = len(self.own[level - 1])
                 q, acc = np.repeat(q, FANOUT), np.repeat(acc, FANOUT)
                 node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                keep = node < width
+                keep = (node >= first[q] // (width // FANOUT)) & (node <= (last[q] - 1) // (width // FANOUT))
                 q, node, acc = q[keep], node[keep], acc[keep]
         return q, node
 
 
-def link_group(left: np.ndarray, right: np.ndarray | None, most: int, forest: Forest, batch: int = 256) -> None:
-    """Joins in forest every pair of codes of left, or of left and right, within `most` bits, by the Gray index of the right side."""
-    index = GrayIndex(left if right is None else right)
-    codes = index.codes
-    queries = codes if right is None else left[np.argsort(gray_rank(left), kind="stable")].astype(np.uint64)
-    signed = codes.view(np.int64).tolist()
-    q_signed = queries.view(np.int64).tolist()
-    near = np.bitwise_count(codes[1:] ^ codes[:-1]) <= most if right is None else np.zeros(0, bool)
-    for i in np.nonzero(near)[0].tolist():
-        forest.join(signed[i], signed[i + 1])
-    step = batch
-    for at in range(0, len(queries), step):
-        trees = np.array([forest.find(x) for x in signed], np.int64)
+class Trees:
+    """Labels of trees over numbered codes, and the pairs that joined two trees."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.kept: list[tuple[int, int]] = []
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        x, y = self.label[a], self.label[b]
+        some = np.nonzero(x != y)[0]
+        if not len(some):
+            return
+        _, one = np.unique(np.stack([np.minimum(x[some], y[some]), np.maximum(x[some], y[some])], axis=1), axis=0, return_index=True)
+        some, forest = some[one], Forest()
+        for i, u, v in zip(some.tolist(), x[some].tolist(), y[some].tolist(), strict=True):
+            if forest.find(u) != forest.find(v):
+                forest.join(u, v)
+                self.kept.append((int(a[i]), int(b[i])))
+        to = np.arange(len(self.label))
+        for u in list(forest.parent):
+            to[u] = forest.find(u)
+        self.label = to[self.label]
+
+
+def joined(index: GrayIndex, first: np.ndarray, last: np.ndarray, most: int, allow=None) -> list[tuple[int, int]]:
+    """Pairs of positions within `most` bits and within first to last - 1 of each, enough to join all that such pairs join. allow: which of some pairs count."""
+    codes, trees = index.codes, Trees(len(index.codes))
+
+    def take(a: np.ndarray, b: np.ndarray) -> None:
+        if allow is not None:
+            ok = allow(a, b)
+            a, b = a[ok], b[ok]
+        trees.join(a, b)
+
+    near = np.nonzero((np.bitwise_count(codes[1:] ^ codes[:-1]) <= most) & (first[1:] == first[:-1]))[0]
+    take(near, near + 1)
+    at, step = 0, 256
+    while at < len(codes):  # few queries at first, which join most of a dense group; then more at once
+        part = slice(at, at + step)
+        q, node = index.search(codes[part], first[part], last[part], most, trees.label[part], trees.label)
+        take(q + at, node)
+        at, step = at + step, min(2 * step, 4096)
+    return trees.kept
+
+
+def joined_across(left: np.ndarray, right: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """(code of left, code of right) pairs within `most` bits, enough to join all that such pairs join."""
+    index, trees = GrayIndex(right), Trees(len(left) + len(right))
+    queries, n = left[np.argsort(gray_rank(left), kind="stable")], len(right)
+    at, step = 0, 256
+    while at < len(queries):
         part = queries[at : at + step]
-        q, node = index.pairs(part, most, np.array([forest.find(x) for x in q_signed[at : at + step]], np.int64), trees)
-        for a, b in zip((q + at).tolist(), node.tolist(), strict=True):
-            forest.join(q_signed[a], signed[b])
+        q, node = index.search(part, np.zeros(len(part), np.int64), np.full(len(part), n), most, trees.label[n + at : n + at + step], trees.label[:n])
+        trees.join(q + at + n, node)
+        at, step = at + step, min(2 * step, 4096)
+    return [(queries[a - n], index.codes[b]) for a, b in trees.kept]
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
@@ -161,56 +214,81 @@ def group_bounds(keys: tuple[np.ndarray, ...]) -> np.ndarray:
     return np.concatenate([[0], new, [len(keys[0])]])
 
 
-def compare_small(codes: np.ndarray, group: np.ndarray, small: np.ndarray, most: int) -> tuple[list[int], list[int]]:
-    """Positions of the pairs within `most` bits of all groups marked small, which have at most FANOUT codes."""
-    left, right = [], []
-    for s in range(1, min(FANOUT, len(codes))):
-        hit = np.nonzero((group[s:] == group[:-s]) & small[s:] & (np.bitwise_count(codes[s:] ^ codes[:-s]) <= most))[0]
-        left += hit.tolist()
-        right += (hit + s).tolist()
-    return left, right
-
-
-def links(codes: DataFrame, most: int = 3, limit: int = 4096) -> DataFrame:
-    """codes: column fp, distinct. Returns (a, b) pairs whose components are those of all pairs within `most` (up to 3) bits."""
-    if not 0 <= most < BLOCKS:
-        raise ValueError(f"{BLOCKS} blocks serve thresholds below {BLOCKS}")
-    keyed = codes.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(b).alias("block"), F.shiftrightunsigned("fp", b * BLOCK_BITS).bitwiseAND((1 << BLOCK_BITS) - 1).cast("int").alias("value")) for b in range(BLOCKS)
-    ])).alias("g")).select("fp", "g.block", "g.value")
-    sizes = keyed.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / F.lit(limit)).cast("int")
+def choices(most: int, agree: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """The ways to choose `agree` of most + agree even blocks of 64 bits: (all blocks' bounds, the chosen ones first; their mask)."""
+    at = np.linspace(0, 64, most + agree + 1).astype(int).tolist()
+    blocks = list(zip(at, at[1:], strict=False))
+    return [([*c, *(b for b in blocks if b not in c)], sum(((1 << (hi - lo)) - 1) << lo for lo, hi in c)) for c in combinations(blocks, agree)]
+
+
+def arranged(codes: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
+    """The codes' blocks in another order, the first one in the highest bits."""
+    out = np.zeros(len(codes), np.uint64)
+    for lo, hi in blocks:
+        out = (out << np.uint64(hi - lo)) | ((codes >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1))
+    return out
+
+
+def keyed_by(codes: DataFrame, chosen: list[tuple[list[tuple[int, int]], int]]) -> DataFrame:
+    """(mask, value, fp): each code under the value of its chosen blocks, for every way to choose them."""
+    signed = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for _, m in chosen))
+    each = codes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(chosen) - 1))).alias("mask"))
+    return each.select("mask", F.col("fp").bitwiseAND(F.element_at(signed, F.col("mask") + 1)).alias("value"), "fp")
+
+
+def indexes(mask: np.ndarray, codes: np.ndarray, chosen: list[tuple[list[tuple[int, int]], int]]) -> Iterator[tuple[int, np.ndarray, GrayIndex, np.ndarray, np.ndarray]]:
+    """For each mask, one index over all its groups, whose values are the highest bits of the arranged codes: (mask, the
+    codes in the index's order, index, and for each code where its group begins and ends)."""
+    for m in np.unique(mask).tolist():
+        own = codes[mask == m]
+        blocks, bits = chosen[m]
+        index = GrayIndex(arranged(own, blocks))
+        shift = np.uint64(64 - bits.bit_count())
+        bounds = group_bounds((index.codes >> shift,))
+        sizes = np.diff(bounds)
+        yield m, own[index.order], index, np.repeat(bounds[:-1], sizes), np.repeat(bounds[1:], sizes)
+
+
+def edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def links(codes: DataFrame, most: int = 3, limit: int = 4096, agree: int | None = None) -> DataFrame:
+    """codes: column fp, distinct. Returns (a, b) pairs whose components are those of all pairs within `most` bits.
+    agree: so many of most + agree blocks are equal in a group; by default as many as keep groups small for that many codes."""
+    if agree is None:
+        n = codes.count()
+        agree = 1 + (n > 1 << 22) + (n > 1 << 30)
+    chosen = choices(most, agree)
+    keyed = keyed_by(codes, chosen)
+    sizes = keyed.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     dealt = (
-        keyed.join(sizes, ["block", "value"])
-        .withColumn("chunks", chunks)
+        keyed.join(sizes, ["mask", "value"])
+        .withColumn("chunks", F.ceil(F.col("n") / F.lit(limit)).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("block", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
+        .select("mask", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, value, i, j, own, fp in whole_groups(batches, 4):
-            forest = Forest()
-            bounds = group_bounds((block, value, i, j))
-            codes = fp.view(np.uint64)
-            sizes = np.diff(bounds)
-            # groups that one node of the index would hold: its leaves are compared at once, over all such groups
-            small = np.repeat(sizes <= FANOUT, sizes) & (i == j)
-            for x, y in zip(*compare_small(codes, np.repeat(np.arange(len(sizes)), sizes), small, most), strict=True):
-                forest.join(int(fp[x]), int(fp[y]))
-            for at, n in zip(bounds[:-1].tolist(), sizes.tolist(), strict=True):
-                if small[at] or n < 2:
-                    continue
-                part = codes[at : at + n]
-                if i[at] == j[at]:
-                    link_group(part, None, most, forest)
-                else:
-                    mine = own[at : at + n] == i[at]
-                    if mine.any() and not mine.all():
-                        link_group(part[mine], part[~mine], most, forest)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in forest.kept], pa.int64()), pa.array([y for _, y in forest.kept], pa.int64())], names=["a", "b"])
-
-    key = ["block", "value", "i", "j"]
+        for mask, value, i, j, own, fp in whole_groups(batches, 4):
+            codes, found = fp.view(np.uint64), Forest()
+            one = i == j
+            for _, names, index, first, last in indexes(mask[one], codes[one], chosen):
+                signed = names.view(np.int64)
+                for a, b in joined(index, first, last, most):
+                    found.join(int(signed[a]), int(signed[b]))
+            if not one.all():
+                bounds = group_bounds((mask, value, i, j))
+                for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    left = own[s:e] == i[s]
+                    if not one[s] and left.any() and not left.all():
+                        for a, b in joined_across(codes[s:e][left], codes[s:e][~left], most):
+                            found.join(int(a.view(np.int64)), int(b.view(np.int64)))
+            yield edges(found.kept)
+
+    key = ["mask", "value", "i", "j"]
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
 
 
@@ -221,68 +299,52 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the others (null if there is none). Repeated rows stay as often as they come; an empty table gives no rows.
     """
     docs = materialize(fingerprints(df, id_col, text_col, k), "fingerprints")
-    codes = docs.groupBy("fp").agg(F.min("id").alias("least"))
+    codes = materialize(docs.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "codes")
     roots = components(links(codes.select("fp"), most, limit))
     joined = codes.join(roots.withColumnRenamed("node", "fp"), "fp")
     best = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = joined.join(best, "root").select("fp", "component_id")
-    named = materialize(codes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
-    return docs.join(named, "fp").select("id", "fp", "component_id")
-
-
-def masks(most: int, agree: int) -> list[int]:
-    """Masks of 64 bits, as signed numbers: `agree` of most + agree even blocks. Codes within `most` bits are equal under one."""
-    at = np.linspace(0, 64, most + agree + 1).astype(int).tolist()
-    blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(at, at[1:], strict=False)]
-    return [m - (1 << 64) if m >> 63 else m for m in (sum(c) for c in combinations(blocks, agree))]
+    named = materialize(codes.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "named")
+    return join_hot(docs, named, "fp").select("id", "fp", "component_id")
 
 
 def near_pairs(codes: DataFrame, most: int, agree: int = 3, forest: bool = False) -> DataFrame:
     """codes: column fp, distinct. All pairs (a, b), a < b, within `most` bits, each once, by the same index: codes meet in
-    groups that share `agree` of most + agree blocks. forest: of each group, pairs enough to join what its pairs join."""
-    every = masks(most, agree)
-    table = F.array(*map(F.lit, every))
-    keyed = codes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(every) - 1))).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.element_at(table, F.col("mask") + 1)))
-
-    bits = np.array(every, np.int64).view(np.uint64)
-
-    def first(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Whether mask `at` is the first that both codes are equal under: a pair is taken up there and nowhere else."""
-        out = [np.argmax(((x[i : i + 8192] ^ y[i : i + 8192])[:, None] & bits) == 0, axis=1) for i in range(0, len(x), 8192)]
-        return np.concatenate(out) == at if out else np.zeros(0, bool)
+    groups that share `agree` of most + agree blocks. forest: pairs enough to join what the pairs of such groups join."""
+    chosen = choices(most, agree)
+    bits = np.array([m for _, m in chosen], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for mask, value, fp in whole_groups(batches, 2):
-            bounds = group_bounds((mask, value))
-            sizes, codes = np.diff(bounds), fp.view(np.uint64)
-            small = np.repeat(sizes <= FANOUT, sizes)
-            left, right = (np.array(x, np.int64) for x in compare_small(codes, np.repeat(np.arange(len(sizes)), sizes), small, most))
-            own = first(codes[left], codes[right], mask[left])
-            found = list(zip(fp[left[own]].tolist(), fp[right[own]].tolist(), strict=True))
-            for k in np.nonzero(sizes > FANOUT)[0].tolist():
-                index, joined = GrayIndex(codes[bounds[k] : bounds[k + 1]]), Forest()
-                signed = index.codes.view(np.int64)
-                for at in range(0, len(signed), 256):
-                    q, node = index.pairs(index.codes[at : at + 256], most)
-                    q, node = (q + at)[q + at < node], node[q + at < node]
-                    own = first(index.codes[q], index.codes[node], mask[bounds[k]])
-                    pairs = zip(signed[q[own]].tolist(), signed[node[own]].tolist(), strict=True)
-                    if forest:
-                        for x, y in pairs:
-                            joined.join(x, y)
-                    else:
-                        found += pairs
-                found += joined.kept
-            yield pa.RecordBatch.from_arrays([pa.array([min(x, y) for x, y in found], pa.int64()), pa.array([max(x, y) for x, y in found], pa.int64())], names=["a", "b"])
-
-    return keyed.select("mask", "value", "fp").repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, "a long, b long")
+        for mask, _, fp in whole_groups(batches, 2):
+            found: list[tuple[int, int]] = []
+            for m, names, index, first, last in indexes(mask, fp.view(np.uint64), chosen):
+
+                def is_first(a: np.ndarray, b: np.ndarray, m=m, names=names) -> np.ndarray:
+                    """Whether mask m is the first that both codes are equal under: a pair is taken up there and nowhere else."""
+                    out = [np.argmax(((names[a[i : i + 8192]] ^ names[b[i : i + 8192]])[:, None] & bits) == 0, axis=1) for i in range(0, len(a), 8192)]
+                    return np.concatenate(out) == m if out else np.zeros(0, bool)
+
+                signed = names.view(np.int64)
+                if forest:
+                    pairs = joined(index, first, last, most, is_first)
+                    found += [(int(signed[a]), int(signed[b])) for a, b in pairs]
+                    continue
+                for at in range(0, len(names), 1024):
+                    part = slice(at, at + 1024)
+                    q, node = index.search(index.codes[part], first[part], last[part], most)
+                    a, b = (q + at)[q + at < node], node[q + at < node]
+                    ok = is_first(a, b)
+                    found += zip(signed[a[ok]].tolist(), signed[b[ok]].tolist(), strict=True)
+            yield edges(found)
+
+    return keyed_by(codes, chosen).repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, "a long, b long")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float, k: int) -> DataFrame:
     """pairs (x, y) of ids whose texts (id, t: binary) have that Jaccard similarity of k-word shingles or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 64):
             keep = []
             for t, u in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 s, v = np.unique(shingle_hashes(t or b"", k)), np.unique(shingle_hashes(u or b"", k))
@@ -309,7 +371,7 @@ def common_shingles(texts: DataFrame, k: int, n: int) -> tuple[np.ndarray, np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in sliced(batches):
             for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if node not in seen:
                     seen.add(node)
@@ -342,7 +404,7 @@ def shared_shingles(texts: DataFrame, similarity: float, k: int, n: int) -> Data
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if node not in seen:
@@ -374,7 +436,7 @@ def sketched(texts: DataFrame, k: int) -> DataFrame:
     bits = 64 * len(SKETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             sizes, wide, narrow = [], [], [np.zeros((0, bits), np.uint8)]
             for t in b.column(1).to_pylist():
                 h = np.unique(shingle_hashes(t or b"", k)) >> np.uint64(40)
@@ -423,8 +485,8 @@ def shared_pairs(shared: DataFrame, similarity: float, forest: bool = False) ->
                 return (head[i] != head[j]) & (before[i] != before[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
 
             def take(i: np.ndarray, j: np.ndarray, n=n, sketch=sketch, left=left, right=right) -> None:
-                for at in range(0, len(i), 1 << 17):
-                    x, y = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
+                for at in range(0, len(i), 1 << 15):
+                    x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
                     near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64) <= (n[x] + n[y]) * (1 - similarity) / (1 + similarity) + 1e-9
                     left.append(x[near])
                     right.append(y[near])
@@ -441,7 +503,7 @@ def shared_pairs(shared: DataFrame, similarity: float, forest: bool = False) ->
                     first = at + int(np.searchsorted(head[at:end], head[at], "right"))  # rows of one head lie together and aren't compared
                     if first == end:
                         break
-                    stop = min(end, at + max(1, (1 << 20) // (end - first)))
+                    stop = min(end, at + max(1, (1 << 18) // (end - first)))
                     i, j = np.arange(at, stop)[:, None], np.arange(first, end)[None, :]
                     q, r = np.nonzero(fits(i, j) & (i < j))
                     take(at + q, first + r)

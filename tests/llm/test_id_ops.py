@@ -15,7 +15,7 @@ import pytest
 import xxhash
 
 from quill.llm import byte_bpe, sharding, simhash, token_files
-from quill.llm.common import scratch
+from quill.llm.common import join_hot, scratch
 
 TEXTS = [
     (1, "The Cat sat on the mat."), (2, "the cat sat on the mat."), (3, None), (4, ""), (5, "   \n\t "), (6, "naïve café é é <|endoftext|> it's 1234 !!??"),
@@ -209,3 +209,36 @@ def test_representatives(spark):
     texts += [(None, texts[0][1]), (0, texts[0][1])]
     got = [r.id for r in simhash.representatives(spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, fp int")).collect()]
     assert len(got) == len(set(got)) and set(kept) <= set(got) and len(got) < 1.1 * len(kept)
+
+
+def test_every_pair_goes_through_the_index():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    codes = np.unique(np.concatenate([base, *(b ^ (np.uint64(1) << rng.integers(0, 64, 30).astype(np.uint64)) for b in base[:20])]))
+    for most, agree in ((3, 1), (3, 2), (5, 3)):
+        chosen = simhash.choices(most, agree)
+        found = set()
+        for m, names, index, first, last in simhash.indexes(np.repeat(np.arange(len(chosen)), len(codes)), np.tile(codes, len(chosen)), chosen):
+            assert len(index.full) == 4 and (np.diff(simhash.gray_rank(index.codes).astype(float)) >= 0).all()
+            for level, (mask, pat) in enumerate(zip(index.full, index.pat, strict=True)):  # a node's pattern is what its codes share
+                for k in range(len(mask)):
+                    below = index.codes[k * 8**level : (k + 1) * 8**level]
+                    assert ((below & mask[k]) == pat[k]).all()
+            q, node = index.search(index.codes, first, last, most)
+            grouped = int(((last - first) > 1).sum())
+            assert index.visited >= grouped  # each code of each group, however small, has searched the index
+            found |= {frozenset((int(names[a]), int(names[b]))) for a, b in zip(q, node, strict=True) if a != b}
+        assert found == {frozenset((int(a), int(b))) for a, b in combinations(codes, 2) if (int(a) ^ int(b)).bit_count() <= most}
+
+
+def test_simhash_over_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_components([(r.doc_id, brute_fp(r.text)) for r in docs.select("doc_id", "text").collect()])
+    got = simhash.op8_simhash(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(((r.doc_id, int(r.fingerprint, 16), r.component_id) for r in got), key=str) == want and len({c for *_, c in want}) < len(want)
+
+
+def test_hot_keys_join_where_they_lie(spark):
+    rows = spark.createDataFrame([(k % 40 if k % 3 else 0, k) for k in range(3000)], "fp long, id long")
+    per_key = rows.groupBy("fp").count().withColumnRenamed("count", "n")
+    assert join_hot(rows, per_key, "fp").where("n IS NOT NULL").count() == 3000
