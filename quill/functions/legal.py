@@ -18,10 +18,12 @@ TYPE_ALIASES = {
     "PBI": ("pbi", "peraturan bank indonesia"),
     "PADG": ("padg", "peraturan anggota dewan gubernur"),
 }
-GENERIC_TERMS = (
-    "apa saja aturan peraturan ketentuan terkait tentang menurut berdasarkan nomor tahun pasal ayat huruf ojk bi pojk pbi padg seojk bank indonesia perusahaan wajib kewajiban diwajibkan harus dipatuhi "
-    "dipenuhi memenuhi penuhi sanksi denda tugas fungsi wewenang definisi pengertian berapa batas minimum maksimum jumlah terbaru berlaku status current latest bandingkan komparasi lembaga keuangan"
-).split()
+GENERIC_TERMS = [
+    "apa", "saja", "aturan", "peraturan", "ketentuan", "terkait", "tentang", "menurut", "berdasarkan", "nomor", "tahun", "pasal", "ayat", "huruf",
+    "ojk", "bi", "pojk", "pbi", "padg", "seojk", "bank", "indonesia", "perusahaan", "wajib", "kewajiban", "diwajibkan", "harus", "dipatuhi",
+    "dipenuhi", "memenuhi", "penuhi", "sanksi", "denda", "tugas", "fungsi", "wewenang", "definisi", "pengertian", "berapa", "batas", "minimum",
+    "maksimum", "jumlah", "terbaru", "berlaku", "status", "current", "latest", "bandingkan", "komparasi", "lembaga", "keuangan",
+]
 TOKEN_ALIASES = {
     "periklanan": "iklan",
     "mengiklankan": "iklan",
@@ -68,25 +70,45 @@ NUMBER = r"(?<![a-z])\d+(?:[.,]\d+)*(?![a-z])"
 VALUE_CONTEXT = r"\b(?:rp|usd|persen|hari|bulan|tahun|jam|menit|sebesar|setara|paling\s+sedikit|paling\s+banyak)\b|%"
 
 
+# What a question states, by field: the patterns that give it, in turn, and how it is written down.
+ASKED = {
+    "pasal": ((r"\bPasal\s+(\d+[A-Z]?)\b",), "Pasal {}", "upper"),
+    "ayat": ((r"\bAyat\s*\(?\s*(\d+[a-z]?)\s*\)?", r"\bPasal\s+\d+[A-Z]?\s*\(\s*(\d+[a-z]?)\s*\)"), "({})", "lower"),
+    "huruf": ((r"\bHuruf\s+([a-z])\b",), "huruf {}", "lower"),
+    "regulation_type": ((r"\b(PBI|POJK|PADG|SEOJK)\b",), "{}", "upper"),
+}
+#: The number and the year stand in the text after the first type; of several years the last one counts.
+AFTER_TYPE = r"\b(?:PBI|POJK|PADG|SEOJK)\b(.{0,80})"
+NUMBER_AFTER = (r"^\s*(?:Nomor|No\.?)\s*(\d+)", r"^\s*(\d+)(?=\s*(?:/|Tahun\b))")
+
+
 def constraints(query: Column) -> Column:
     """Struct of what a question states: pasal, ayat, huruf, regulation_type, regulation_number, year; null if it doesn't."""
 
-    def first(pattern: str, group: int = 1) -> Column:
-        return F.nullif(F.regexp_extract(query, pattern, group), F.lit(""))
+    def first(text: Column, patterns: Sequence[str]) -> Column:
+        return F.coalesce(*[F.nullif(F.regexp_extract(text, f"(?is){p}", 1), F.lit("")) for p in patterns])
 
-    kind = F.upper(first(r"(?i)\b(PBI|POJK|PADG|SEOJK)\b"))
-    tail = F.regexp_extract(query, r"(?i)\b(?:PBI|POJK|PADG|SEOJK)\b(.{0,80})", 1)
-    number = F.coalesce(*[F.nullif(F.regexp_extract(tail, p, 1), F.lit("")) for p in (r"(?i)^\s*(?:Nomor|No\.?)\s*(\d+)", r"(?i)^\s*(\d+)(?=\s*(?:/|Tahun\b))")])
+    cases = {"upper": F.upper, "lower": F.lower}
+    out = []
+    for name, (patterns, form, case) in ASKED.items():
+        before, after = form.split("{}")
+        out.append(F.concat(F.lit(before), cases[case](first(query, patterns)), F.lit(after)).alias(name))
+    tail = F.coalesce(first(query, [AFTER_TYPE]), F.lit(""))
     years = F.regexp_extract_all(tail, F.lit(YEAR), F.lit(0))
-    ayat = F.coalesce(first(r"(?i)\bAyat\s*\(?\s*(\d+[a-z]?)\s*\)?"), first(r"(?i)\bPasal\s+\d+[A-Z]?\s*\(\s*(\d+[a-z]?)\s*\)"))
-    return F.struct(
-        F.concat(F.lit("Pasal "), F.upper(first(r"(?i)\bPasal\s+(\d+[A-Z]?)\b"))).alias("pasal"),
-        F.concat(F.lit("("), F.lower(ayat), F.lit(")")).alias("ayat"),
-        F.concat(F.lit("huruf "), F.lower(first(r"(?i)\bHuruf\s+([a-z])\b"))).alias("huruf"),
-        kind.alias("regulation_type"),
-        F.when(kind.isNotNull(), number).alias("regulation_number"),
-        F.when(kind.isNotNull(), F.try_element_at(years, F.lit(-1))).alias("year"),
-    )
+    return F.struct(*out, first(tail, NUMBER_AFTER).alias("regulation_number"), F.try_element_at(years, F.lit(-1)).alias("year"))
+
+
+def constraints_of(query: str) -> dict[str, str]:
+    """constraints() of one question in plain Python: the fields that it states."""
+
+    def first(text: str, patterns: Sequence[str]) -> str | None:
+        found = (re.search(p, text, re.I | re.S) for p in patterns)
+        return next((m[1] for m in found if m), None)
+
+    tail = first(query, [AFTER_TYPE]) or ""
+    said = {name: (form, value and getattr(value, case)()) for name, (patterns, form, case) in ASKED.items() for value in [first(query, patterns)]}
+    said |= {"regulation_number": ("{}", first(tail, NUMBER_AFTER)), "year": ("{}", next(reversed(re.findall(YEAR, tail)), None))}
+    return {name: form.format(value) for name, (form, value) in said.items() if value}
 
 
 def anchor(c: Column) -> Column:
