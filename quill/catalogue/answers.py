@@ -9,12 +9,10 @@ from ..functions import claims, legal, scoring
 from ..functions import text as t
 from ..operators import evaluation as ev
 from ..operators import evidence as ed
-from ..operators import index as ix
 from ..operators import lexicon as lx
 from ..operators import search as se
-from ..plans import execute as ex
-from ..plans import planner as pl
-from .base import BM25, DOCS, SEARCHES, UNITS, docs, index, query, searches, sql_tokens, table, units
+from ..operators.contain import containing
+from .base import BM25, DOCS, ORACLE_SQL, SEARCHES, UNITS, docs, index, query, searches, sql_tokens, table, units
 
 QUESTIONS = """q AS (SELECT o_orderkey AS id, 'Apa isi ' || CASE o_orderkey % 4 WHEN 0 THEN 'Pasal ' || o_custkey || ' ayat (' || (o_orderkey % 9) || ')' WHEN 1 THEN 'pasal ' || o_custkey || 'A (2) huruf ' || chr(97 + CAST(o_orderkey % 26 AS INTEGER))
   WHEN 2 THEN 'POJK Nomor ' || o_custkey || ' Tahun ' || year(o_orderdate) ELSE 'seojk ' || o_custkey || '/SEOJK.03/' || year(o_orderdate) END || '?' AS question FROM orders)"""
@@ -79,7 +77,7 @@ def alignment_gate(spark, sf_dir):
     s = searches(spark, sf_dir)
     hits = se.bm25(index(spark, sf_dir), s).join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
     q = s.select("search_id", F.concat("query", F.when(F.col("search_id") % 3 == 1, " wajib").otherwise("")).alias("question"))
-    pairs = hits.join(F.broadcast(q), "search_id")
+    pairs = hits.join(se.side(q), "search_id")
     a = legal.alignment(F.col("question"), F.lit(""), F.col("text"))
     return pairs.select("search_id", "doc_id", a.alias("a")).select("search_id", "doc_id", F.col("a.distinctive_ratio").alias("ratio"), "a.accepted")
 
@@ -118,7 +116,7 @@ def _items(spark, sf_dir):
     d, s = docs(spark, sf_dir), searches(spark, sf_dir)
     read = d.select("doc_id", "title", "text", "issuer", "role", t.tokens(F.col("title")).alias("title_terms"), t.tokens(F.substring("text", 1, 1000)).alias("text_terms"))  # once a document, not once a hit
     asked = s.select("search_id", t.tokens(F.col("query")).alias("query_terms"))
-    hits = se.bm25(index(spark, sf_dir), s).withColumn("bm25", F.round("bm25", 6)).join(read, "doc_id").join(F.broadcast(asked), "search_id")
+    hits = se.bm25(index(spark, sf_dir), s).withColumn("bm25", F.round("bm25", 6)).join(read, "doc_id").join(se.side(asked), "search_id")
     qt = F.col("query_terms")
     lexical = scoring.lexical_support(t.overlap_score(qt, F.col("title_terms")), t.overlap_score(qt, F.col("text_terms")), F.lit(0))
     return hits.withColumn("lexical", lexical)
@@ -208,13 +206,31 @@ def select_findings(spark, sf_dir):
     return _findings(spark, sf_dir).select("query_id", "place", "block", "issuer")
 
 
-@query()
+CLAIM = r"""v AS (SELECT doc_id, trim(regexp_replace(replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^\.\.\.', ' ', 'g'), '\.\.\.$', ' ', 'g'), '!\[[^\]]*\]\([^)]+\)', ' ', 'g'), '\|[-:\s|]+\|', ' ', 'g'), '^#+\s*', ' ', 'g')), '|', '; '), '\s+', ' ', 'g')) AS v FROM docs),
+h AS (SELECT *, substr(v, 1, 420) AS h FROM v), c AS (SELECT *, regexp_extract(h, '^(.*[.;])\s', 1) AS s, regexp_extract(h, '^(.*)\s', 1) AS b FROM h),
+claims AS (SELECT doc_id, CASE WHEN length(v) <= 420 THEN v ELSE rtrim(CASE WHEN length(s) >= 180 THEN s WHEN length(b) >= 180 THEN b ELSE h END) END AS claim FROM c)"""
+
+
+@query(f"WITH {DOCS}, {CLAIM} SELECT doc_id, claim FROM claims")
+def claim_texts(spark, sf_dir):
+    """Documents' texts as claims: cleaned, and cut at the end of a sentence or at a blank."""
+    return docs(spark, sf_dir).select("doc_id", claims.claim_text(F.col("text"), F.lit(False)).alias("claim"))
+
+
+@query(
+    f"""WITH {DOCS}, {CLAIM}, f AS ({ORACLE_SQL["select_findings"].replace("doc_id AS block, issuer FROM p", "doc_id AS block, role FROM p")}), sure AS ({ORACLE_SQL["confidence_label"]}),
+g AS (SELECT query_id, string_agg('f' || place || ' c' || place || ' ' || block || ' ' || claim, chr(10) ORDER BY place) AS findings, arg_min(role, place) AS document FROM f JOIN claims ON doc_id = block GROUP BY query_id),
+q AS (SELECT item_id AS query_id, label FROM benchmark LEFT JOIN sure ON search_id = item_id),
+s AS (SELECT query_id, CASE WHEN findings IS NULL OR label IS NULL OR label = 'weak' THEN 'not_found' WHEN label = 'partial' THEN 'partial' ELSE 'answerable' END AS status, findings, document FROM q LEFT JOIN g USING (query_id))
+SELECT query_id, status, CASE WHEN status = 'not_found' THEN 'Tidak ditemukan dalam dokumen yang tersedia.' ELSE 'Ketentuan yang paling relevan ditemukan dalam ' || document || '.' END AS summary, CASE WHEN status = 'not_found' THEN '' ELSE findings END AS findings FROM s"""
+)
 def compose_answer(spark, sf_dir):
     """A template answer for each search, from its findings."""
     labels = confidence_label(spark, sf_dir).select(F.col("search_id").alias("query_id"), "label", (F.col("label") == "weak").alias("must_say_not_found"), F.lit(None).cast("string").alias("ambiguity"))
     every = searches(spark, sf_dir).select(F.col("search_id").alias("query_id")).join(labels, "query_id", "left").fillna({"label": "not_found", "must_say_not_found": True})
     out = ed.answers(_findings(spark, sf_dir), every)
-    return out.select("query_id", "status", "summary", F.to_json("findings").alias("findings"))
+    line = F.transform("findings", lambda x: F.concat_ws(" ", x["id"], x["citation_id"], x["block"].cast("string"), x["text"]))
+    return out.select("query_id", "status", "summary", F.array_join(line, "\n").alias("findings"))
 
 
 TARGETS = (
@@ -226,10 +242,13 @@ TARGETS = (
 
 
 def _targets(spark, sf_dir):
+    """A target variant for each test item and document that has its text, by the item's page range; a citation for each document."""
     i, d = F.col("item_id"), F.col("doc_id")
-    v = table(spark, sf_dir, "benchmark").select("item_id", (1 + i % 3).cast("int").alias("target_start"), (1 + i % 3 + i % 2).cast("int").alias("target_end"), F.array("text").alias("text_terms"), F.lit("x").alias("issuer"))
-    c = docs(spark, sf_dir).select("doc_id", "text", (1 + d % 4).cast("int").alias("page_start"), (1 + d % 4 + d % 2).cast("int").alias("page_end"), F.lit("x").alias("issuer"))
-    return v, ev.target_matches(c, F.broadcast(v), keys=("issuer",))
+    v = table(spark, sf_dir, "benchmark").select("item_id", (1 + i % 3).cast("int").alias("target_start"), (1 + i % 3 + i % 2).cast("int").alias("target_end"), F.col("text").alias("needle"))
+    c = docs(spark, sf_dir).select("doc_id", "issuer", "text", (1 + d % 4).cast("int").alias("page_start"), (1 + d % 4 + d % 2).cast("int").alias("page_end"))
+    held = containing(c, v, "doc_id", "item_id", fold_case=True)
+    variants = held.select("item_id", "doc_id", "target_start", "target_end", F.array("needle").alias("text_terms"))
+    return v, ev.target_matches(c, variants, keys=("doc_id",))
 
 
 @query(f"WITH {TARGETS} SELECT item_id, doc_id FROM m")
@@ -262,11 +281,11 @@ n AS (SELECT search_id, count(*) AS n FROM rel GROUP BY search_id), i AS (SELECT
 SELECT search_id, round(coalesce(h, 0) / n, 6) AS recall, round(coalesce(1.0 / f, 0), 6) AS rr, round(coalesce(dcg, 0) / idcg, 6) AS ndcg FROM i LEFT JOIN g USING (search_id)"""
 )
 def eval_recall_mrr_ndcg(spark, sf_dir):
-    """Search by a test item's first words; relevant are the documents that have the whole item."""
+    """Search by a test item's words; relevant are the documents that have the whole item."""
     d, s = docs(spark, sf_dir), searches(spark, sf_dir)
     found = se.bm25(index(spark, sf_dir), s, limit=10)
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("search_id"), F.col("text").alias("needle"))
-    rel = d.join(F.broadcast(items), F.contains("text", F.col("needle"))).select("search_id", "doc_id")
+    rel = containing(d, items, "doc_id", "search_id").select("search_id", "doc_id")
     out = ev.ranked(found, rel, "search_id", "doc_id", "rank")
     return out.select("search_id", F.round("recall", 6).alias("recall"), F.round("rr", 6).alias("rr"), F.round("ndcg", 6).alias("ndcg"))
 
@@ -291,7 +310,7 @@ def summary_delta(spark, sf_dir):
     return ev.deltas(counted("value > 50"), counted("value <= 50 AND event_type <> 'click'"))
 
 
-MENTIONS = f"""{DOCS}, m AS (SELECT title AS phrase, issuer, role, 'title' AS origin FROM docs UNION ALL SELECT string_split(text, chr(10))[2], issuer, role, 'heading' FROM docs WHERE len(string_split(text, chr(10))) > 1),
+MENTIONS = f"""{DOCS}, m AS (SELECT title AS phrase, issuer, role, 'title' AS origin FROM docs UNION ALL SELECT unnest(string_split(text, chr(10))[2:]), issuer, role, 'heading' FROM docs),
 v AS (SELECT * FROM m WHERE length(phrase) BETWEEN 3 AND 160 AND NOT regexp_matches(phrase, '[|#!]|---|\\*\\*|\\*\\)|\\[\\]\\(') AND len({sql_tokens('phrase')}) BETWEEN 1 AND 10),
 g AS (SELECT lower(phrase) AS key, sum(CASE origin WHEN 'title' THEN 8.0 ELSE 2.0 END) AS s, count(*) AS support, count(DISTINCT issuer) AS ni, max(CASE WHEN role = 'primary_regulation' THEN 1 ELSE 0 END) AS p, min(CASE WHEN origin = 'heading' THEN 1 ELSE 0 END) AS h FROM v GROUP BY lower(phrase)),
 c AS (SELECT key, round(CAST(s * CASE WHEN h = 1 THEN 0.1 ELSE 1.0 END + 2.0 * p + least(2.0, ni) AS DOUBLE), 6) AS score, support, h = 1 AS heading_only FROM g)"""
@@ -301,7 +320,7 @@ def _mentions(spark, sf_dir):
     d = docs(spark, sf_dir)
     lines = F.split("text", "\n")
     titles = d.select(F.col("title").alias("phrase"), "issuer", "role", F.lit("title").alias("origin"))
-    heads = d.where(F.size(lines) > 1).select(F.get(lines, F.lit(1)).alias("phrase"), "issuer", "role", F.lit("heading").alias("origin"))
+    heads = d.select(F.explode(F.slice(lines, 2, F.size(lines))).alias("phrase"), "issuer", "role", F.lit("heading").alias("origin"))
     return titles.union(heads).where(lx.valid_phrase(F.col("phrase"))).withColumn("type", F.lit("topic"))
 
 
@@ -323,7 +342,7 @@ def lexicon_merge(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     entry = [F.lit("entities").alias("section"), F.col("p_brand").alias("name"), F.array(F.lower("p_brand")).alias("patterns")]
     base = p.where("p_size <= 10").select(*entry).distinct()
-    reviewed = p.where("p_size > 40").select(*entry, F.lit(True).alias("approved")).distinct()
+    reviewed = p.where("p_size > 10").select(*entry, (F.col("p_size") > 40).alias("approved")).distinct()
     return lx.merge(base, reviewed).select("name")
 
 
@@ -345,25 +364,3 @@ LEXICON = {
     "entities": [{"name": "reader", "patterns": ["the"], "expansions": ["the reading of the"], "exact_phrases": []}],
     "topics": [{"name": "copies", "patterns": ["license", "ou"], "expansions": ["released under the license", "ouwhea the of rend"], "issuer": "BI"}],
 }
-
-
-def _questions_of_items(spark, sf_dir):
-    words = F.array_join(F.slice(t.tokens(F.col("text")), 1, 8), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(words, F.lit(" wajib?")).alias("raw_query"))
-
-
-@query()
-def query_plan(spark, sf_dir):
-    """The searches of a question for every test item: its first eight words."""
-    return pl.plan_questions(_questions_of_items(spark, sf_dir), LEXICON, 8)
-
-
-@query()
-def execute_plans(spark, sf_dir):
-    """All searches of all questions' plans, as one set of joins."""
-    q = _questions_of_items(spark, sf_dir)
-    s = pl.plan_questions(q, LEXICON, 8)
-    none = F.lit(None).cast("string")
-    base = index(spark, sf_dir)
-    d = base.docs.withColumns({"file_id": F.col("doc_id"), "number": F.col("source"), "pasal": none, "ayat": none, "huruf": none})
-    return ex.execute(ix.Index(d, base.postings, base.terms, base.stats), s, q)

@@ -79,17 +79,24 @@ def phrase_anchor(spark, sf_dir):
     return p.select("p_partkey", au.phrase_anchored(F.col("ph"), F.col("q")).alias("anchored"))
 
 
-@query()
-def title_acronyms(spark, sf_dir):
-    """Initials of the word runs that a document's title shares with the one before."""
-    from pyspark.sql import Window
+RUNS = "list_transform(range(1, len({0}) - {1} + 2), lambda i: array_to_string({0}[i : i + {1} - 1], ' '))"
+
 
-    d = docs(spark, sf_dir).select("doc_id", "lang", t.tokens(F.col("title")).alias("ts"))
-    before = d.withColumn("q", F.lag("ts").over(Window.partitionBy("lang").orderBy("doc_id")))
-    return before.where("q IS NOT NULL").select("doc_id", F.array_join(au.shared_acronyms(F.col("q"), F.col("ts")), " ").alias("acronyms"))
+@query(
+    f"""WITH {DOCS}, d AS (SELECT doc_id, text, {sql_tokens("title")} AS ts, {sql_tokens("text")} AS q FROM docs),
+r AS (SELECT doc_id, {RUNS.format("ts", 4)} AS t4, {RUNS.format("ts", 3)} AS t3, {RUNS.format("q", 4)} AS q4, {RUNS.format("q", 3)} AS q3 FROM (SELECT a.doc_id, a.ts, b.q FROM d a JOIN d b ON b.doc_id = a.doc_id - 1)),
+s AS (SELECT doc_id, list_concat(list_filter(t4, lambda x, i: list_contains(q4, x) AND list_position(t4, x) = i), list_filter(t3, lambda x, i: list_contains(q3, x) AND list_position(t3, x) = i)) AS runs FROM r),
+a AS (SELECT doc_id, list_filter(list_transform(runs, lambda x: regexp_replace(array_to_string(list_transform(string_split(x, ' '), lambda w: substr(w, 1, 1)), ''), '[^a-z]', '', 'g')), lambda x: length(x) >= 3) AS l FROM s)
+SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:4], ' ') AS acronyms FROM a"""
+)
+def title_acronyms(spark, sf_dir):
+    """Initials of the word runs that a document's title shares with the text of the document before it by number."""
+    d = docs(spark, sf_dir).select("doc_id", t.tokens(F.col("title")).alias("ts"), t.tokens(F.col("text")).alias("q"))
+    before = d.select((F.col("doc_id") + 1).alias("doc_id"), "q")
+    return d.select("doc_id", "ts").join(before, "doc_id").select("doc_id", F.array_join(au.shared_acronyms(F.col("q"), F.col("ts")), " ").alias("acronyms"))
 
 
-SCOPE = f"""{DOCS}, x AS (SELECT CAST(doc_id % 20 AS BIGINT) AS search_id, doc_id AS file_id, CAST(60 + doc_id % 41 AS DOUBLE) AS title_score, CASE doc_id % 3 WHEN 0 THEN 'POJK' WHEN 1 THEN 'SEOJK' ELSE 'PBI' END AS kind, list_distinct({sql_tokens("title")}) AS terms FROM docs WHERE doc_id % 20 <> 7 OR doc_id % 3 = 1),
+SCOPE = f"""{DOCS}, x AS (SELECT CAST(doc_id % 20 AS BIGINT) AS search_id, doc_id AS file_id, CAST(60 + doc_id % 41 AS DOUBLE) AS title_score, CASE WHEN doc_id % 20 = 7 THEN 'SEOJK' WHEN doc_id % 3 = 0 THEN 'POJK' WHEN doc_id % 3 = 1 THEN 'SEOJK' ELSE 'PBI' END AS kind, list_distinct({sql_tokens("title")}) AS terms FROM docs),
 m AS (SELECT *, title_score >= 0.75 * max(title_score) OVER (PARTITION BY search_id) AS near, kind <> 'SEOJK' AS gov FROM x), l AS (SELECT search_id, arg_min(terms, (-title_score, file_id)) AS lead FROM m WHERE near AND gov GROUP BY search_id)"""
 
 
@@ -98,8 +105,8 @@ m AS (SELECT *, title_score >= 0.75 * max(title_score) OVER (PARTITION BY search
 )
 def focused_scope(spark, sf_dir):
     d = F.col("doc_id")
-    x = docs(spark, sf_dir).where("doc_id % 20 <> 7 OR doc_id % 3 = 1").select(
-        (d % 20).alias("search_id"), d.alias("file_id"), (60 + d % 41).cast("double").alias("title_score"), F.when(d % 3 == 0, "POJK").when(d % 3 == 1, "SEOJK").otherwise("PBI").alias("regulation_type"), F.array_distinct(t.tokens(F.col("title"))).alias("terms")
+    x = docs(spark, sf_dir).select(
+        (d % 20).alias("search_id"), d.alias("file_id"), (60 + d % 41).cast("double").alias("title_score"), F.when(d % 20 == 7, "SEOJK").when(d % 3 == 0, "POJK").when(d % 3 == 1, "SEOJK").otherwise("PBI").alias("regulation_type"), F.array_distinct(t.tokens(F.col("title"))).alias("terms")
     )
     return au.title_scope(x)
 

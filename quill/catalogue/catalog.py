@@ -226,7 +226,41 @@ def table_readability(spark, sf_dir):
     return d.select("doc_id", tb.readability(F.col("text")).alias("r")).select("doc_id", "r.row_count", "r.nonempty_cell_count", F.array_contains("r.reasons", "insufficient_table_structure").alias("thin"))
 
 
-@query()
+def _flat(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+def _stripped(x: str, chars: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^[{chars}]+', ''), '[{chars}]+$', '')"
+
+
+def _cell(c: str) -> str:
+    image = rf"regexp_replace({_flat(c)}, '!\[[^\]]*\]\([^)]+\)', '', 'g')"
+    return _stripped(_flat(_stripped(image, r"\s|")), " ;")
+
+
+def _filled(cells: str) -> str:
+    return f"list_filter(list_transform({cells}, lambda c: {_cell('c')}), lambda f: f <> '')"
+
+
+SEPARATES = "regexp_matches({0}, '^:?-{{3,}}:?$')"
+TIDY = ((r"\s+([,.;:])", r"\1"), (r"(?i)([a-z])\.;\s+", r"\1. "), (r"(?i)\b([a-z])\.\s*;\s*", r"\1. "), (r":\s*;", r":"), (r"(?i);\s+(dan|atau);", r"; \1"), (r";\s*;", r";"))
+
+
+def _tidy(x: str) -> str:
+    x = _flat(x)
+    for pattern, to in TIDY:
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return _stripped(_flat(x), " ;")
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, text, list_transform(list_filter(string_split(text, chr(10)), lambda l: contains(l, '|')), lambda l: {_filled("string_split(" + _stripped("trim(l)", "|") + ", '|')")}) AS many,
+  list_transform(string_split(array_to_string(list_transform(string_split(text, '|'), lambda c: coalesce(nullif({_cell('c')}, ''), chr(1))), chr(2)), chr(1)), lambda r: list_filter(string_split(r, chr(2)), lambda y: y <> '')) AS one FROM documents WHERE contains(text, '|')),
+k AS (SELECT doc_id, text, list_filter(CASE WHEN contains(text, chr(10)) THEN many ELSE one END, lambda r: len(list_filter(r, lambda y: NOT {SEPARATES.format('y')})) > 0) AS kept FROM d),
+r AS (SELECT doc_id, text, list_filter(list_transform(list_transform(kept, lambda r: list_filter(r, lambda y: NOT {SEPARATES.format('y')})), lambda z: {_stripped(_flat(r"CASE WHEN len(z) >= 2 AND regexp_matches(z[1], '(?i)^(\(?[0-9]+[a-z]?\)|[a-z]\.|[ivxlcdm]+\.)$') THEN array_to_string(z, ' ') ELSE array_to_string(z, ' - ') END"), " ;")}), lambda w: w <> '') AS "rows" FROM k),
+x AS (SELECT doc_id, CASE WHEN len("rows") = 0 THEN {_flat("text")} ELSE {_stripped(_flat("""array_to_string("rows", '; ')"""), " ;")} END AS text FROM r) SELECT doc_id, {_tidy("text")} AS text FROM x"""
+)
 def table_normalise(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("|")))
     return d.select("doc_id", tb.extracted_text(F.col("text"), F.lit("table_or_row")).alias("text"))

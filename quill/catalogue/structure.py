@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import citation as ci
 from ..operators import geometry, parser
 from ..operators import units as un
-from .base import UNITS, docs, query, table, units
+from .base import DOCS, UNITS, docs, query, table, units
 
 LAST = "coalesce(max(CASE WHEN level = {k} THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND {end}), 0) AS l{k}"
 CARRY = UNITS + ", c AS (SELECT *, " + ", ".join(LAST.format(k=k, end="1 PRECEDING") for k in range(1, 6)) + " FROM units)"
@@ -96,10 +96,38 @@ def acronym_aliases(spark, sf_dir):
     return un.acronyms(p, ["doc"], "text")
 
 
-@query()
+def _slug(seed: str) -> str:
+    return f"rtrim(left(trim(regexp_replace(lower({seed}), '[^a-z0-9]+', '-', 'g'), '-'), 180)) || '-' || left(sha1({seed}), 12)"
+
+
+#: The lines as units: an article, a paragraph or a letter takes the plain lines after it; letters before any article are plain lines.
+PARSED = f"""{UNITS}, c AS (SELECT doc_id, pos, page, CASE WHEN level <= 3 THEN level END AS kind, 'isi ' || trim(regexp_replace(replace(line, '|', ' '), '\\s+', ' ', 'g')) || ' selesai' AS body FROM units),
+o AS (SELECT *, max(CASE WHEN kind <= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS inside FROM c),
+s AS (SELECT doc_id, pos, page, CASE WHEN kind <= 2 OR kind = 3 AND inside = 1 THEN kind WHEN inside = 0 AND pos = min(pos) OVER (PARTITION BY doc_id) THEN 0 END AS kind, CASE WHEN kind = 3 AND inside = 0 THEN chr(CAST(97 + pos % 26 AS INTEGER)) || '. ' ELSE '' END || body AS body FROM o),
+n AS (SELECT *, max(CASE WHEN kind IS NOT NULL THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS unit, max(CASE WHEN kind = 1 THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM s),
+a AS (SELECT *, max(CASE WHEN kind = 2 THEN pos END) OVER (PARTITION BY doc_id, p ORDER BY pos) AS y FROM n),
+t AS (SELECT doc_id, unit, string_agg(body, ' ' ORDER BY pos) AS own, min(page) AS page_start, max(page) AS page_end FROM a GROUP BY doc_id, unit),
+u AS (SELECT a.doc_id, a.pos, kind, CASE kind WHEN 0 THEN 'preamble' WHEN 1 THEN 'pasal' WHEN 2 THEN 'ayat' ELSE 'huruf' END AS unit_type, CASE kind WHEN 0 THEN 'Preamble' WHEN 1 THEN 'Pasal ' || a.pos WHEN 2 THEN '(' || a.pos || ')' ELSE 'huruf ' || chr(CAST(97 + a.pos % 26 AS INTEGER)) END AS label,
+  CASE WHEN kind = 3 THEN coalesce(y, p) WHEN kind = 2 THEN p END AS up, CASE WHEN p IS NOT NULL THEN 'pasal:Pasal ' || p || '/' ELSE '' END AS wp, CASE WHEN y IS NOT NULL THEN 'ayat:(' || y || ')/' ELSE '' END AS wy, own, page_start, page_end
+  FROM a JOIN t ON t.doc_id = a.doc_id AND t.unit = a.pos WHERE kind IS NOT NULL),
+w AS (SELECT *, CASE kind WHEN 0 THEN 'preamble' WHEN 1 THEN 'pasal:' || label WHEN 2 THEN wp || 'ayat:' || label ELSE wp || wy || 'huruf:' || label END AS place FROM u),
+i AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit_type, place ORDER BY pos) AS ordinal FROM w),
+d AS (SELECT *, doc_id || ':legal-unit:' || unit_type || ':' || place || ':' || ordinal AS seed, label || ' ' || own AS shown FROM i), k AS (SELECT *, {_slug("seed")} AS node_id FROM d),
+r AS (SELECT *, lag(node_id) OVER (PARTITION BY doc_id, coalesce(up, -1) ORDER BY pos) AS previous_id FROM k),
+f AS (SELECT r.*, q.node_id AS parent_id FROM r LEFT JOIN k q ON q.doc_id = r.doc_id AND q.pos = r.up),
+l AS (SELECT c.doc_id, c.up, c.node_id, c.shown, c.pos, c.page_end FROM f c JOIN f b ON b.doc_id = c.doc_id AND b.pos = c.up WHERE c.kind = 3 QUALIFY row_number() OVER (PARTITION BY c.doc_id, c.up, c.label ORDER BY c.pos) = 1),
+g AS (SELECT doc_id, up, count(*) AS n, string_agg(shown, chr(10) ORDER BY pos) AS kids, string_agg(node_id, ':' ORDER BY pos) AS ids, arg_max(page_end, pos) AS page_end FROM l GROUP BY doc_id, up),
+z AS (SELECT f.*, g.page_end AS last_page, ids, f.shown || chr(10) || kids AS listed FROM f JOIN g ON g.doc_id = f.doc_id AND g.up = f.pos WHERE n BETWEEN 2 AND 12 AND length(f.shown || chr(10) || kids) <= 2400)"""
+
+
+@query(
+    f"""WITH {PARSED} SELECT CAST(doc_id AS VARCHAR) AS file_id, node_id, unit_type, label, parent_id, previous_id, CAST(ordinal AS INTEGER) AS ordinal, page_start, page_end, shown AS display_text FROM f
+UNION ALL SELECT CAST(doc_id AS VARCHAR), {_slug("node_id || ':enumeration-aggregate:' || ids")}, 'enumeration_aggregate', 'Daftar ' || label, node_id, NULL, CAST(ordinal AS INTEGER), page_start, last_page, listed FROM z"""
+)
 def parse_units(spark, sf_dir):
-    """Documents as regulations: every line opens an article, a paragraph, a letter or goes on."""
-    u = units(spark, sf_dir)
+    """Documents as regulations: every line opens an article, a paragraph or a letter, or goes on. What a line says is put
+    between two words, so that no line looks like another kind; the parser's tests have lines that do."""
+    u = units(spark, sf_dir).withColumn("line", F.concat(F.lit("isi "), F.trim(F.regexp_replace(F.regexp_replace("line", r"\|", " "), r"\s+", " ")), F.lit(" selesai")))
     pos = F.col("pos").cast("string")
     opened = (
         F.when(F.col("level") == 1, F.concat(F.lit("Pasal "), pos, F.lit("\n"), "line"))
@@ -113,7 +141,16 @@ def parse_units(spark, sf_dir):
     return out.select("file_id", "node_id", "unit_type", "label", "parent_id", "previous_id", "ordinal", "page_start", "page_end", "display_text")
 
 
-@query()
+@query(
+    rf"""WITH {DOCS}, t AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM docs),
+w AS (SELECT doc_id, i // 8 AS k, i, trim(regexp_replace(CASE WHEN i % 24 = 0 THEN 'a. ' || w ELSE w END, '\s+', ' ', 'g')) AS w, CASE WHEN i % 24 < 8 THEN 227.0 ELSE 255.0 END + (i % 8) * 20.0 AS x FROM t),
+l AS (SELECT doc_id, k, string_agg(w, ' ' ORDER BY i) AS line, min(x) AS x FROM w WHERE w <> '' GROUP BY doc_id, k),
+g AS (SELECT *, regexp_extract(line, '(?i)^(\(?[0-9]+[a-z]?\)|[a-z]\.|[ivxlcdm]+\.)\s', 1) AS label FROM l WHERE NOT regexp_matches(trim(line, '- '), '^-?\s*[0-9]+\s*-?$')),
+e AS (SELECT *, sum(CASE WHEN label <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM g),
+s AS (SELECT *, first_value(x) OVER (PARTITION BY doc_id, e ORDER BY k) AS x0 FROM e WHERE e > 0),
+m AS (SELECT *, max(CASE WHEN label = '' AND x < x0 + 10 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, e ORDER BY k) AS out FROM s)
+SELECT CAST(doc_id AS VARCHAR) AS file_id, CAST(1 AS INTEGER) AS page_num, lower(max(label)) AS label, string_agg(line, ' ' ORDER BY k) AS text, CAST(min(k) * 14.0 AS DOUBLE) AS first_y, CAST(max(k) * 14.0 AS DOUBLE) AS last_y FROM m WHERE out = 0 GROUP BY doc_id, e"""
+)
 def geometry_lines(spark, sf_dir):
     """Text items laid out from the words of the documents, a page each."""
     u = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file_id"), F.posexplode(F.split("text", " ")).alias("i", "text"))

@@ -41,6 +41,10 @@ class Engine:
         self.index = ix.build(self.units, weights=weights, stopwords=self.stopwords, keep=True)
         self.planner = Planner(self.lexicon, self.stopwords)
 
+    def close(self) -> None:
+        """Frees what the session keeps of the index."""
+        self.index.close()
+
     def plans(self, questions: Mapping[int, str] | Iterable[str]) -> dict[int, Plan]:
         items = questions.items() if isinstance(questions, Mapping) else enumerate(questions)
         return {k: self.planner.plan(q, self.max_searches) for k, q in items}
@@ -54,7 +58,7 @@ class Engine:
     def titles(self, questions: Mapping[int, str], limit: int | None = None) -> DataFrame:
         """Documents by their titles: the best unit of each stands for it."""
         rank = ix.representative_rank(F.lit(None).cast("string"), self._quality(), F.col("page_start"), F.lit(None).cast("string"), F.col("text"))
-        best = ix.representatives(self.units, ["file_id", "title"], rank, "doc_id")
+        best = ix.representatives(self.units, ["file_id"], rank, "doc_id")
         s = self.spark.createDataFrame(list(questions.items()), "search_id long, query string")
         return se.title_search(best, s, self.stopwords, limit=limit or self.limit, key="file_id")
 

@@ -220,6 +220,11 @@ def alignment(query: Column, document: Column, claim: Column, ratio: float | Col
     )
 
 
+def is_outline_kind(kind: Column) -> Column:
+    """Circular letters have the outline grammar."""
+    return F.coalesce(F.lower(kind).rlike("seojk|surat edaran ojk"), F.lit(False))
+
+
 def wants_compound(query: Column) -> Column:
     """Questions that ask for two rules at once."""
     q = F.lower(query)

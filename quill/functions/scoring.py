@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import longest_run
+from .text import share_run
 
 # Fixed values.
 BM25_K1, BM25_B = 1.4, 0.75
@@ -75,12 +75,20 @@ def title_score(query: Column, query_terms: Column, title: Column, title_terms:
     ordered = F.when(F.contains(F.array_join(title_terms, " "), F.array_join(query_terms, " ")), 35.0).otherwise(0.0)
     score = base + same + ordered
     if with_runs:
-        run = longest_run(query_terms, title_terms)
-        score = score + F.when(run >= 3, F.least(F.lit(48.0), run * 12.0)).otherwise(0.0)
+        # a shared run of n tokens gives 12 n from n = 3 on, 48 at most: whether runs of 3 and of 4 are shared is all it takes
+        score = score + F.when(share_run(query_terms, title_terms, 4), 48.0).when(share_run(query_terms, title_terms, 3), 36.0).otherwise(0.0)
     short = (F.size(t) <= 2) & (F.size(q) >= 4) & (coverage < 0.75)
     return F.when(shared == 0, 0.0).otherwise(score * F.when(short, 0.55).otherwise(1.0))
 
 
+def title_score_bound(shared: Column, query_size: Column, title_size: Column, slashes: Column, with_runs: bool = True) -> Column:
+    """At least title_score(), from the counts of distinct tokens. A string that contains the other shares all of its tokens
+    but the first and last, unless slashes join tokens."""
+    base = shared / query_size * 60.0 + shared / title_size * 35.0 + shared * 4.0
+    within = slashes | (shared >= query_size - 2) | (shared >= title_size - 2)
+    return base + F.when(within, 115.0).otherwise(0.0) + (48.0 if with_runs else 0.0)
+
+
 def rank_score(rank: Column) -> Column:
     """rank from 0."""
     return 100.0 / (rank + 5)

@@ -15,6 +15,11 @@ def _strip(c: Column, chars: str) -> Column:
     return F.regexp_replace(c, rf"^[{chars}]+|[{chars}]+$", "")
 
 
+def is_table_line(c: Column) -> Column:
+    """Two bars or more."""
+    return F.length(c) - F.length(F.replace(c, F.lit("|"), F.lit(""))) >= 2
+
+
 def clean_cell(c: Column) -> Column:
     """Without images, outer bars, blanks and semicolons."""
     v = F.regexp_replace(normalize_space(c), r"!\[[^\]]*\]\([^)]+\)", "")

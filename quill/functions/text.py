@@ -52,6 +52,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))
 
 
+def jaccard_of_sizes(shared: Column, left: Column, right: Column) -> Column:
+    """jaccard() from the numbers of shared, left and right distinct tokens."""
+    return shared / F.greatest(F.lit(1), left + right - shared)
+
+
 def contains_pattern(value: Column, pattern: str) -> Column:
     """Case-blind containment; a single word of up to three characters must stand alone."""
     import re
@@ -81,6 +86,17 @@ def longest_run(left: Column, right: Column) -> Column:
     return F.when((F.size(left) == 0) | (F.size(right) == 0), 0).otherwise(rows["best"])
 
 
+def runs(array: Column, n: int) -> Column:
+    """The runs of n tokens, joined by spaces."""
+    starts = F.when(F.size(array) >= n, F.sequence(F.lit(1), F.size(array) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(array, i, n), " "))
+
+
+def share_run(left: Column, right: Column, n: int) -> Column:
+    """Whether both arrays have a run of n tokens in common."""
+    return F.arrays_overlap(runs(left, n), runs(right, n))
+
+
 def _next_row(acc: Column, token: Column, right: Column) -> Column:
     before = F.slice(F.concat(F.array(F.lit(0)), acc["row"]), F.lit(1), F.size(right))
     row = F.zip_with(right, before, lambda r, d: F.when(r == token, d + 1).otherwise(0))

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metadata import ISSUER_OF_TYPE
-from ..functions.text import normalize_space
+from ..functions.text import normalize_space, runs
+
+
+MOST_TARGETS = 200
 
 
 def wanted_files(files: DataFrame, include_enrichment: bool = False, ids: Sequence[str] = (), contains: str | None = None, enrichment: str = "sikepo-ojk") -> DataFrame:
@@ -50,10 +53,19 @@ def warnings(measured: DataFrame, least: Mapping[str, float] | None = None, most
 
 def by_title(rows: DataFrame, targets: DataFrame, title: str = "title") -> DataFrame:
     """rows of each target (target, patterns, issuer): any pattern in the title, issuer equal if the target has one.
-    Targets are a report's list of fixed length and are broadcast."""
-    t = targets.select("target", "patterns", F.col("issuer").alias("target_issuer"))
-    hit = F.exists("patterns", lambda p: F.contains(F.lower(F.col(title)), F.lower(p))) & (F.col("target_issuer").isNull() | (F.col("target_issuer") == F.col("issuer")))
-    return rows.join(F.broadcast(t), hit).drop("patterns", "target_issuer")
+    Targets are a report's list, of MOST_TARGETS at most: they become one expression, and rows are read once, without a join."""
+    listed = targets.select("target", "patterns", "issuer").limit(MOST_TARGETS + 1).collect()
+    if len(listed) > MOST_TARGETS:
+        raise ValueError("too many targets for one report; give them in blocks")
+    low = F.lower(F.col(title))
+
+    def hit(t) -> Column:
+        any_of = F.lit(False)
+        for p in t["patterns"]:
+            any_of = any_of | F.contains(low, F.lit(p.lower()))
+        return any_of if t["issuer"] is None else any_of & (F.col("issuer") == t["issuer"])
+
+    return rows.withColumn("target", F.explode(F.array_compact(F.array(*[F.when(hit(t), F.lit(t["target"])) for t in listed], F.lit(None).cast("string")))))
 
 
 def examples(rows: DataFrame, section: str, preferred: Sequence[str], limit: int, order: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -85,10 +97,6 @@ def phrase_anchored(phrase: Column, query: Column) -> Column:
 def shared_acronyms(query: Column, title: Column, least: int = 3, most: int = 4, limit: int = 4) -> Column:
     """Initials of the runs of `least` to `most` tokens that query and title share, longest runs first, at most `limit`."""
 
-    def runs(tokens: Column, n: int) -> Column:
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-
     shared = F.flatten(F.array(*[F.array_intersect(runs(title, n), runs(query, n)) for n in range(most, least - 1, -1)]))
     letters = F.transform(shared, lambda r: F.regexp_replace(F.array_join(F.transform(F.split(r, " "), lambda w: F.substring(w, 1, 1)), ""), "[^a-z]", ""))
     return F.slice(F.array_distinct(F.filter(letters, lambda a: F.length(a) >= least)), 1, limit)

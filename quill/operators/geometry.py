@@ -68,3 +68,14 @@ def page_entries(items: DataFrame) -> DataFrame:
         return pd.DataFrame([(pdf["file_id"].iloc[0], pdf["page_num"].iloc[0], *e) for e in got], columns=["file_id", "page_num", "label", "text", "first_y", "last_y"])
 
     return items.groupBy("file_id", "page_num").applyInPandas(run, "file_id string, page_num int, label string, text string, first_y double, last_y double")
+
+
+def matched_blocks(blocks: DataFrame, key: str, block: str, lines: str) -> DataFrame:
+    """blocks: key, a block's text, and its page's labelled lines (an array). (key, labels by commas, text of the entries)."""
+
+    def run(batches):
+        for pdf in batches:
+            found = [entries([(x, 0.0, float(i)) for i, x in enumerate(ls)]) for ls in pdf[lines]]
+            yield pd.DataFrame({key: pdf[key], "labels": [",".join(labels_in(b)) for b in pdf[block]], "text": [block_text(b, f) for b, f in zip(pdf[block], found, strict=True)]})
+
+    return blocks.select(key, block, lines).mapInPandas(run, f"`{key}` long, labels string, text string")

@@ -5,6 +5,7 @@ tables: docs (doc_id, doc_len, ...), postings (term, doc_id, tf), terms (term, d
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import composite_key, tokens
+from ..sources.files import replace
 
 # How often each field counts towards term frequency.
 FIELD_WEIGHTS = {"title": 3, "regulation_type": 1, "number": 2, "heading": 2, "pasal": 1, "ayat": 1, "retrieval_text": 1}
@@ -24,6 +26,11 @@ class Index:
     terms: DataFrame
     stats: DataFrame
 
+    def close(self) -> None:
+        """Frees what build(keep=True) keeps in the session."""
+        self.docs.unpersist()
+        self.postings.unpersist()
+
 
 def weighted_tokens(weights: Mapping[str, int], stopwords: Sequence[str] = ()) -> Column:
     """Tokens of several fields, a field's as often as it weighs; each field is tokenised once."""
@@ -39,9 +46,15 @@ def build(docs: DataFrame, key: str = "doc_id", weights: Mapping[str, int] | Non
     postings = counted.select(key, F.explode("_tokens").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")).select("term", key, "tf")
     if keep:
         with_len, postings = with_len.persist(), postings.persist()
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = with_len.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    return Index(with_len, postings, terms, stats)
+    return Index(with_len, postings, counted_terms(postings), lengths(with_len))
+
+
+def counted_terms(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def lengths(docs: DataFrame) -> DataFrame:
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
 
 
 def append(old: Index, new: Index, key: str = "doc_id") -> Index:
@@ -74,16 +87,27 @@ def representatives(units: DataFrame, keys: Sequence[str], rank: Column, tie: st
     return best.select(*keys, "best.*")
 
 
+def lookup(units: DataFrame, keys: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """The first unit, in `order`, of each document that keys names: an aggregate, so one row a key and task is shuffled."""
+    wanted = keys.select(key).distinct()
+    return representatives(units.join(wanted, key, "left_semi"), [key], F.struct(*order), order[-1])
+
+
 def document_key(*cols: str) -> Column:
     return composite_key(*map(F.col, cols))
 
 
 def write(index: Index, path: str, buckets: int = 64) -> None:
-    """Each table under path; postings lie sorted by term in hash partitions of it, so that a few terms read a few row groups."""
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    index.postings.repartition(buckets, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    index.terms.repartition(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    """Each table under path, which appears as a whole or not at all; postings lie sorted by term in hash partitions of it,
+    so that a few terms read a few row groups. The counts of terms and lengths are made from what has been written."""
+    spark = index.docs.sparkSession
+    temp = f"{path}.building-{uuid.uuid4().hex}"
+    index.docs.write.parquet(f"{temp}/docs")
+    index.postings.repartition(buckets, "term").sortWithinPartitions("term", "doc_id").write.parquet(f"{temp}/postings")
+    postings, docs = spark.read.parquet(f"{temp}/postings"), spark.read.parquet(f"{temp}/docs")
+    counted_terms(postings).repartition(buckets, "term").sortWithinPartitions("term").write.parquet(f"{temp}/terms")
+    lengths(docs).write.parquet(f"{temp}/stats")
+    replace(spark, temp, path)
 
 
 def read(spark, path: str) -> Index:

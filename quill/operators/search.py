@@ -39,36 +39,46 @@ def bm25(index: Index, searches: DataFrame, filters: Sequence[str] = (), stopwor
     """(search_id, doc_id, matched, bm25) of the documents with enough of a search's rarest terms, scored by all terms.
 
     Counts of terms, documents and lengths are those of the whole index, whatever the filters. scope: (search_id,
-    scope_key) rows; a search with any there looks only at those. limit: top rows a search, ties by doc_id.
+    scope_key) rows; a search with any there looks only at those. limit: top rows a search, ties by doc_id. The postings
+    of the rarest terms give the documents first; the others' postings count only for those.
     """
     terms = candidates(search_terms(searches, stopwords), index)
-    names = [r[0] for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
-    small = len(names) <= PUSHED_TERMS or _small(terms)
-    # few terms go to the scan as a filter: postings lie sorted by term, so other row groups aren't read
-    postings = index.postings.where(F.col("term").isin(names)) if len(names) <= PUSHED_TERMS else index.postings
-    hits = postings.join(F.broadcast(terms) if small else terms, "term")
+    found = _postings(index, terms.where("is_candidate")).groupBy("search_id", "doc_id").agg(F.count(F.lit(1)).alias("matched"), F.first("min_match").alias("_least"))
+    if min_match:
+        found = found.where("matched >= _least")
     cols = [*filters, *([scope_key] if scope is not None else [])]
-    joined = hits.join(index.docs.select("doc_id", "doc_len", *cols), "doc_id")
+    found = found.drop("_least").join(index.docs.select("doc_id", "doc_len", *cols), "doc_id")
     if filters:
         asked = searches.select("search_id", *[F.col(c).alias(f"_{c}") for c in filters])
-        joined = joined.join(F.broadcast(asked) if small else asked, "search_id")
+        found = found.join(side(asked), "search_id")
         for c in filters:  # a null asks for nothing
-            joined = joined.where(F.col(f"_{c}").isNull() | (F.col(f"_{c}") == F.col(c)))
+            found = found.where(F.col(f"_{c}").isNull() | (F.col(f"_{c}") == F.col(c)))
     if scope is not None:
         scoped = scope.select("search_id").distinct().withColumn("_scoped", F.lit(True))
         inside = scope.select("search_id", scope_key).distinct().withColumn("_inside", F.lit(True))
-        joined = joined.join(scoped, "search_id", "left").join(inside, ["search_id", scope_key], "left").where("_scoped IS NULL OR _inside")
+        found = found.join(scoped, "search_id", "left").join(inside, ["search_id", scope_key], "left").where("_scoped IS NULL OR _inside")
+    found = found.select("search_id", "doc_id", "matched", "doc_len")
+    joined = _postings(index, terms).join(side(found), ["search_id", "doc_id"])
     part = scoring.bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.greatest(F.col("doc_len"), F.lit(1)), F.col("avg_len"), F.col("qf"))
-    scored = (
-        joined.crossJoin(F.broadcast(index.stats))  # one row
-        .groupBy("search_id", "doc_id")
-        .agg(F.count_if("is_candidate").alias("matched"), F.first("min_match").alias("min_match"), F.sum(part).alias("bm25"))
-    )
-    least = F.col("min_match") if min_match else F.lit(1)
-    out = scored.where((F.col("matched") >= least) & (F.col("bm25") > 0)).drop("min_match")
+    scored = joined.crossJoin(F.broadcast(index.stats)).groupBy("search_id", "doc_id").agg(F.first("matched").alias("matched"), F.sum(part).alias("bm25"))  # stats: one row
+    out = scored.where("bm25 > 0")
     return top(out, "bm25", limit) if limit else out
 
 
+def _postings(index: Index, terms: DataFrame) -> DataFrame:
+    """The postings of the terms with what terms has of them. Few terms go to the scan as a filter: postings lie sorted by
+    term, so other row groups aren't read."""
+    names = [r[0] for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    if len(names) <= PUSHED_TERMS:
+        return index.postings.where(F.col("term").isin(names)).join(side(terms), "term")
+    return index.postings.join(side(terms), "term")
+
+
+def side(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if they are counted to be few; or else the join is by shuffle."""
+    return F.broadcast(rows) if _small(rows) else rows
+
+
 def _small(terms: DataFrame) -> bool:
     return terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
 
@@ -84,16 +94,21 @@ def boosted(hits: DataFrame, docs: DataFrame, searches: DataFrame, stopwords: Se
     q = searches.select("search_id", F.lower("query").alias("_query"), tokens(F.col("query"), stopwords).alias("_terms"))
     low = docs.select("doc_id", F.lower("title").alias("_title"), F.lower("text").alias("_text"), F.lower("number").alias("_number"), "role", tokens(F.col("title"), stopwords).alias("_title_terms"))
     boost = scoring.lexical_boost(F.col("_query"), F.col("_terms"), F.col("_title"), F.col("_title_terms"), F.col("_text"), F.coalesce("_number", F.lit("")), F.col("role"))
-    return hits.join(F.broadcast(q), "search_id").join(low, "doc_id").withColumn("score", F.col("bm25") * boost).drop("_query", "_terms", "_title", "_text", "_number", "_title_terms")
+    return hits.join(side(q), "search_id").join(low, "doc_id").withColumn("score", F.col("bm25") * boost).drop("_query", "_terms", "_title", "_text", "_number", "_title_terms")
 
 
 def title_search(titles: DataFrame, searches: DataFrame, stopwords: Sequence[str] = (), least: float = scoring.TITLE_MIN_SCORE, limit: int | None = None, with_runs: bool = True, key: str = "doc_id") -> DataFrame:
     """(search_id, key, title, title_score) of titles that score enough. A pair needs a shared token, so titles meet
-    searches by their tokens rather than each with each."""
+    searches by their tokens rather than each with each; only keys and counts of tokens go that way, and a pair whose
+    counts can't reach the least score goes no further. key is unique in titles."""
     q = searches.select("search_id", F.lower(normalize_space(F.col("query"))).alias("_q"), tokens(F.lower(normalize_space(F.col("query"))), stopwords).alias("_qt"))
     t = titles.select(key, "title", F.lower(normalize_space(F.col("title"))).alias("_t"), tokens(F.lower(normalize_space(F.col("title"))), stopwords).alias("_tt"))
-    by_token = q.select("search_id", "_q", "_qt", F.explode(F.array_distinct("_qt")).alias("_token"))
-    pairs = t.select("*", F.explode(F.array_distinct("_tt")).alias("_token")).join(F.broadcast(by_token), "_token").dropDuplicates(["search_id", key])
+    slash = F.lit("/")
+    by_token = q.select("search_id", F.size(F.array_distinct("_qt")).alias("_nq"), F.contains("_q", slash).alias("_sq"), F.explode(F.array_distinct("_qt")).alias("_token"))
+    tokens_of = t.select(key, F.size(F.array_distinct("_tt")).alias("_nt"), F.contains("_t", slash).alias("_st"), F.explode(F.array_distinct("_tt")).alias("_token"))
+    met = tokens_of.join(side(by_token), "_token").groupBy("search_id", key).agg(F.count(F.lit(1)).alias("_n"), *(F.first(c).alias(c) for c in ("_nq", "_nt", "_sq", "_st")))
+    bound = scoring.title_score_bound(F.col("_n"), F.col("_nq"), F.col("_nt"), F.col("_sq") | F.col("_st"), with_runs)
+    pairs = met.where(bound >= least).select("search_id", key).join(t, key).join(side(q), "search_id")
     scored = pairs.withColumn("title_score", scoring.title_score(F.col("_q"), F.col("_qt"), F.col("_t"), F.col("_tt"), with_runs)).where(F.col("title_score") >= least)
     out = scored.select("search_id", key, "title", "title_score")
     return top(out, "title_score", limit, tie=(key,)) if limit else out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,20 +60,69 @@ def list_files(spark: SparkSession, root: str, digests: bool = False) -> DataFra
     return f.select(*cols, *([F.sha2("content", 256).alias("sha256")] if digests else []))
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the shared folder that the cluster names. Only a local session may be without one; it gets a folder
+    of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quill-scratch-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/quill-{uuid.uuid4().hex}/{tag}"
+
+
+def replace(spark: SparkSession, temp: str, path: str) -> None:
+    """Renames temp to path. What was there is put back if that fails; between the two renames there is nothing at path, so
+    tables that are read while they are replaced are published by publish_version()."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    target, old = jvm.Path(path), jvm.Path(f"{path}.old-{uuid.uuid4().hex}")
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"could not replace {path}")
+    if not fs.rename(jvm.Path(temp), target):
+        if had:
+            fs.rename(old, target)
+        raise OSError(f"could not publish {path}")
+    if had:
+        fs.delete(old, True)
+
+
 def publish(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
-    """Writes beside the target and renames when whole: readers see the old table or the new one."""
-    spark = df.sparkSession
+    """Writes beside the target and renames when whole, so no reader sees half a table; see replace()."""
     temp = f"{path}.building-{uuid.uuid4().hex}"
     w = df.write.format(fmt)
     (w.partitionBy(*partition_by) if partition_by else w).save(temp)
+    replace(df.sparkSession, temp, path)
+
+
+def write_pointer(spark: SparkSession, path: str, text: str) -> None:
+    """Replaces a small file: it is written beside and renamed over, in one step where the file system has one."""
     jvm = spark._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    old = jvm.Path(f"{path}.old-{uuid.uuid4().hex}")
-    if fs.exists(jvm.Path(path)):
-        fs.rename(jvm.Path(path), old)
-    if not fs.rename(jvm.Path(temp), jvm.Path(path)):
-        raise OSError(f"could not publish {path}")
-    fs.delete(old, True)
+    context = jvm.FileContext.getFileContext(jvm.Path(path).toUri(), spark._jsc.hadoopConfiguration())
+    temp = jvm.Path(f"{path}.{uuid.uuid4().hex}")
+    out = temp.getFileSystem(spark._jsc.hadoopConfiguration()).create(temp, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    overwrite = spark._sc._gateway.new_array(rename, 1)
+    overwrite[0] = rename.OVERWRITE
+    context.rename(temp, jvm.Path(path), overwrite)
+
+
+def publish_version(df: DataFrame, root: str, fmt: str = "parquet") -> str:
+    """Writes df as a new version under root, then points readers to it; returns its name. Readers of read_version() see
+    the old table or the new one at any moment; old versions stay until they are deleted."""
+    name = f"version-{uuid.uuid4().hex}"
+    df.write.format(fmt).save(f"{root}/{name}")
+    write_pointer(df.sparkSession, f"{root}/CURRENT", name)
+    return name
+
+
+def read_version(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFrame:
+    name = spark.read.text(f"{root}/CURRENT", wholetext=True).first()[0].strip()
+    return spark.read.format(fmt).load(f"{root}/{name}")
 
 
 def append_feedback(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:

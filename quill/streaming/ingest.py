@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.index import Index, append, build, read, write
+from ..sources.files import write_pointer
 
 
 def signature(settings: Mapping, stopwords=()) -> str:
@@ -34,10 +35,7 @@ def current(spark: SparkSession, root: str) -> dict | None:
 
 
 def publish(spark: SparkSession, root: str, state: dict) -> None:
-    path, fs = _pointer(root, spark)
-    out = fs.create(path, True)
-    out.write(bytearray(json.dumps(state).encode()))
-    out.close()
+    write_pointer(spark, f"{root}/CURRENT", json.dumps(state))
 
 
 def add(spark: SparkSession, root: str, docs: DataFrame, name: str, sign: str, weights=None) -> None:
