@@ -28,9 +28,11 @@ def words(text: str | bytes | None) -> list[bytes]:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path under the shared folder the cluster names; only an unset one (tests) gets a local folder."""
+    """A fresh path under the shared folder the cluster names; only a local session (tests) may be without one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quill-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quill-{uuid.uuid4().hex}/{tag}"
@@ -71,6 +73,11 @@ def row_splits(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+def split_bytes(spark: SparkSession) -> int:
+    """The bytes of input files that a split of a scan has at most."""
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+
+
 def join_hot(rows: DataFrame, per_key: DataFrame, key: str, share: int = 200) -> DataFrame:
     """rows joined with per_key, which has one row a key and the number n of its rows. Keys with over one in `share` of all
     rows, of which there are fewer than `share`, are broadcast, so that their rows meet them where they lie."""

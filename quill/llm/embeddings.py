@@ -152,7 +152,7 @@ def join_cells(batches: Iterator[pa.RecordBatch], cosine: float, blocks: int, ki
             yield out
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", cosine: float = 0.93, blocks: int = BLOCKS, axes: int = CELL_AXES, limit: int = 2048) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", cosine: float = 0.93, blocks: int = BLOCKS, axes: int = CELL_AXES, limit: int = 8192) -> DataFrame:
     """(id, n_links, component_id, kept), a row for each row of df.
 
     Vectors link within one label (all are of one if label_col is None) and one length. Vectors that are null, empty,

@@ -5,7 +5,8 @@ log-space forward recursion over the lattice of the word's bytes. Pieces that be
 lattices meet only at word boundaries, and the marginal of a document is the product of its words' marginals and that
 of its end. The vocabulary file's scores are those of a merge list (minus the rank), not log probabilities; they give
 the weights to begin with, by Zipf's law of the rank, and the expected counts of a forward-backward pass over all the
-words learned from turn them into log probabilities. Single bytes are pieces too, so every text has a probability.
+words learned from turn them into log probabilities. Single bytes are pieces too, so every text has a probability. All
+pieces take part, however long, and words of any length, in tables of bounded size.
 
 On top of the pieces, whole words are edges of the lattice as well, with absolutely discounted counts; the discounted
 mass goes to the piece paths: P(w) = max(c - D, 0) / N + (D V / N) P_pieces(w), and P sums to one over all words. D is
@@ -31,16 +32,18 @@ from pyspark.sql import functions as F
 from .common import LOWER, materialize, table
 from .quality import fold
 
-LONGEST, BASE = 16, np.uint64(0x9E3779B97F4A7C15)
-#: Bytes of different words, as batches bring them, after which a block of texts is full.
-BLOCK_BYTES = 1 << 24
+BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Places of words, all bytes of all words, that a lattice's table has at a time.
+CELLS = 1 << 18
+#: Bytes of different words, as batches bring them, or of the texts' lists of words, or texts, after which a block is full.
+BLOCK_BYTES, BLOCK_TEXTS = 1 << 23, 1 << 15
 #: Stands for the end of a text; no word holds white space.
 END = b"\n"
 
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
-    """(pieces as bytes, log weights) of a sentencepiece file: words begin with a space; the 256 bytes come last."""
+    """(pieces as bytes, log weights) of a sentencepiece file: words begin with a space; bytes that are no piece come last."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -48,21 +51,27 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     for i in range(sp.get_piece_size()):
         if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)):
             b = sp.id_to_piece(i).replace("▁", " ").encode().translate(LOWER)
-            if 1 < len(b) <= LONGEST and b" " not in b[1:]:
+            if b and b" " not in b[1:]:
                 pieces[b] = max(pieces.get(b, -np.inf), sp.get_score(i))
-    names = [*pieces, *(bytes([x]) for x in range(256))]
-    rank = np.concatenate([-np.array(list(pieces.values())), np.full(256, float(len(pieces)))])
-    weight = 1 / (rank + 10)
-    return names, np.log(weight / weight.sum())
+    last = float(len(pieces))
+    for x in range(256):
+        pieces.setdefault(bytes([x]), -last)
+    weight = 1 / (10 - np.array(list(pieces.values())))
+    return list(pieces), np.log(weight / weight.sum())
 
 
 class Lattice:
-    """Pieces with log probabilities; looks up substrings of many words at once by a polynomial hash."""
+    """Pieces with log probabilities. Substrings of many words are looked up at once by a polynomial hash, and compared
+    with the piece's bytes where they meet one."""
 
     def __init__(self, names: list[bytes], logs: np.ndarray):
         self.logs = logs
-        self.powers = np.cumprod(np.full(1 << 12, BASE))
+        self.sizes = np.array(sorted({len(b) for b in names}))
+        longest = int(self.sizes[-1])
+        self.powers = np.cumprod(np.full(longest + 1, BASE))
         h = np.array([self._hash(b) for b in names], np.uint64)
+        # the bytes of each piece, eight at a time from its end
+        self.tails = np.array([[int.from_bytes(b[max(0, len(b) - k - 8) : max(0, len(b) - k)], "big") for b in names] for k in range(0, longest, 8)], np.uint64)
         self.size = 20
         while True:  # a table of one slot a key, large enough for few keys to share one; those are kept apart
             slot = self._slot(h)
@@ -93,31 +102,48 @@ class Lattice:
         b = self.second[slot]
         return np.where((out < 0) & (b >= 0) & (self.keys[b] == h), b, out)
 
-    def edges(self, grid: np.ndarray) -> Iterator[list[np.ndarray | None]]:
-        """grid: words of one length, a row each. For each end, by length, the pieces' numbers (None if no word has one)."""
+    def edges(self, grid: np.ndarray, backward: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+        """grid: words of one length, a row each. (end, the pieces that end there: a row for each size that fits, a column
+        for each word, -1 where there is none), for every end from the first or from the last. Tables of bounded size."""
         n, t = grid.shape
-        prefix = np.zeros((n, t + 1), np.uint64)
+        prefix, packed = np.zeros((t + 1, n), np.uint64), np.zeros((t + 1, n), np.uint64)
         for i in range(t):
-            prefix[:, i + 1] = prefix[:, i] * BASE + grid[:, i].astype(np.uint64) + np.uint64(1)
-        for end in range(1, t + 1):
-            row = []
-            for size in range(1, min(LONGEST, end) + 1):
-                ids = self.find(prefix[:, end] - prefix[:, end - size] * self.powers[size - 1])
-                row.append(ids if (ids >= 0).any() else None)
-            yield row
-
-    def forward(self, edges: Iterable[list[np.ndarray | None]], t: int, n: int, logs: np.ndarray | None = None) -> np.ndarray:
+            byte = grid[:, i].astype(np.uint64)
+            prefix[i + 1] = prefix[i] * BASE + byte + np.uint64(1)
+            packed[i + 1] = (packed[i] << np.uint64(8)) | byte
+        step = max(1, CELLS // n)
+        for lo in sorted(range(1, t + 1, step), reverse=backward):
+            hi = min(t + 1, lo + step)
+            table = np.full((hi - lo, len(self.sizes), n), -1, np.int32)
+            for k, size in enumerate(self.sizes.tolist()):
+                at = max(lo, size)
+                if at < hi:
+                    ids = self.find(prefix[at:hi] - prefix[at - size : hi - size] * self.powers[size - 1])
+                    self.check(ids, packed[: hi], at, size)
+                    table[at - lo :, k] = ids
+            for end in sorted(range(lo, hi), reverse=backward):
+                yield end, table[end - lo, : np.searchsorted(self.sizes, end, "right")]
+
+    def check(self, ids: np.ndarray, packed: np.ndarray, at: int, size: int) -> None:
+        """Sets ids (of ends from `at` on) to -1 where the bytes aren't the piece's."""
+        i, j = np.nonzero(ids >= 0)
+        for k in range(0, size, 8):
+            bytes_here = min(8, size - k)
+            mask = np.uint64((1 << (8 * bytes_here)) - 1)
+            wrong = (packed[i + at - k, j] & mask) != self.tails[k // 8][ids[i, j]]
+            ids[i[wrong], j[wrong]] = -1
+            if wrong.any():
+                i, j = i[~wrong], j[~wrong]
+
+    def forward(self, edges: Iterable[tuple[int, np.ndarray]], t: int, n: int, logs: np.ndarray | None = None) -> np.ndarray:
         """alpha[end]: log of the summed weights of all segmentations of the first `end` bytes of n words of t bytes."""
-        logs = self.logs if logs is None else logs
+        logs = np.append(self.logs if logs is None else logs, -np.inf)  # the last one is that of no piece
         alpha = np.full((t + 1, n), -np.inf)
         alpha[0] = 0
-        for end, row in enumerate(edges, 1):
-            terms = [np.where(ids >= 0, logs[ids], -np.inf) + alpha[end - 1 - k] for k, ids in enumerate(row) if ids is not None]
-            top = np.maximum.reduce(terms)
-            total = np.zeros(n)
-            for x in terms:
-                total += np.exp(x - top)
-            alpha[end] = top + np.log(total)
+        for end, ids in edges:
+            terms = logs[ids] + alpha[end - self.sizes[: len(ids)]]
+            top = terms.max(axis=0)
+            alpha[end] = top + np.log(np.exp(terms - top).sum(axis=0))
         return alpha
 
     def marginals(self, words: list[bytes], weights: list[np.ndarray] | None = None) -> np.ndarray:
@@ -126,31 +152,32 @@ class Lattice:
         out = np.zeros((len(weights), len(words)))
         for at, grid in by_length(words):
             n, t = grid.shape
-            edges = list(self.edges(grid)) if t <= 1024 else None
+            edges = list(self.edges(grid)) if n * t <= CELLS else None
             for k, logs in enumerate(weights):  # the lattice of a very long word is built anew each time, not kept
                 out[k, at] = self.forward(edges or self.edges(grid), t, n, logs)[-1]
         return out
 
     def expected(self, words: list[bytes]) -> np.ndarray:
-        """Expected count of each piece, each word counting once; words over 512 bytes count as several."""
+        """Expected count of each piece, each word counting once."""
         counts = np.zeros(len(self.logs))
-        for _, grid in by_length([w[i : i + 512] for w in words for i in range(0, len(w), 512)]):
-            edges = list(self.edges(grid))
+        logs = np.append(self.logs, -np.inf)
+        for _, grid in by_length(words):
             n, t = grid.shape
-            alpha = self.forward(edges, t, n)
+            kept = list(self.edges(grid)) if n * t <= CELLS else None
+            alpha = self.forward(kept or self.edges(grid), t, n)
             beta = np.full((t + 1, n), -np.inf)
             beta[t] = 0
-            for end in range(t, 0, -1):
-                for k, ids in enumerate(edges[end - 1]):
-                    if ids is not None:
-                        step = np.where(ids >= 0, self.logs[ids], -np.inf) + beta[end]
-                        share = np.exp(step + alpha[end - 1 - k] - alpha[t])
-                        counts += np.bincount(np.maximum(ids, 0), share, len(counts))
-                        beta[end - 1 - k] = np.logaddexp(beta[end - 1 - k], step)
+            for end, ids in reversed(kept) if kept else self.edges(grid, backward=True):
+                step = logs[ids] + beta[end]
+                share = np.exp(step + alpha[end - self.sizes[: len(ids)]] - alpha[t])
+                some = ids >= 0
+                counts += np.bincount(ids[some], share[some], len(counts))
+                for size, row in zip(self.sizes.tolist(), step, strict=False):
+                    beta[end - size] = np.logaddexp(beta[end - size], row)
         return counts
 
 
-def by_length(words: list[bytes], most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def by_length(words: list[bytes], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(positions, matrix of bytes) of words of equal length, with their leading space, in pieces of bounded size."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(sizes, kind="stable")
@@ -280,7 +307,7 @@ def score(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: st
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of texts, each with a list of its words: a row a text (which words, how often) and a row a word."""
         task = TaskContext.get().partitionId() << 24
-        place, held = {}, 0
+        place, held, texts = {}, 0, 0
 
         def listed(first: int) -> Iterator[pa.RecordBatch]:
             names = list(place)
@@ -307,10 +334,11 @@ def score(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: st
                 often = [packed(n[x:y], False) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 k = part.num_rows
                 yield block(np.full(k, task + first), part.column(0), part.column(1), which, often, [None] * k, [None] * k)
-                held += sum(map(len, names))
-                if held > BLOCK_BYTES:
+                held += max(sum(map(len, names)), sum(map(len, which)) + sum(map(len, often)))
+                texts += k
+                if held > BLOCK_BYTES or texts >= BLOCK_TEXTS:
                     yield from listed(first)
-                    place, held, first = {}, 0, first + 1
+                    place, held, texts, first = {}, 0, 0, first + 1
         if place:
             yield from listed(first)
 

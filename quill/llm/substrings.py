@@ -3,7 +3,7 @@
 1. Phrases. Of the 12-word phrases in each window of 50 words, the one with the least hash stands for the window; equal
    windows choose equal phrases, so a passage that recurs brings recurring phrases, and a document offers one phrase in
    about 20 words. Phrases offered by two documents are confirmed as recurring, by hash and then by their words.
-2. Automata. Documents are dealt to shards of bounded text, and each shard gets the recurring phrases its documents
+2. Automata. Documents are dealt to shards of about SHARD_BYTES of the input's files, and each shard gets the recurring phrases its documents
    offer. It compiles them into Aho-Corasick automata of bounded size and streams all its documents through each, which
    gives every occurrence of every phrase, and with it the windows that can recur.
 3. Windows. Candidate windows meet by a 128-bit hash of their words; the smallest document id of each is known from
@@ -23,11 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, row_splits, table
+from .common import discard, materialize, row_splits, split_bytes, table
 
 WINDOW, PHRASE = 50, 12
 #: Characters of phrases that one automaton may hold; about a hundred bytes of memory each.
 AUTOMATON_CHARS = 600_000
+#: Bytes of the input's files that a shard's texts come from, about.
+SHARD_BYTES = 1 << 23
+#: Windows with over one in HOT_SHARE of all occurrences, of which there are fewer than that, meet their owner in HOT_PARTS parts.
+HOT_SHARE, HOT_PARTS = 200, 64
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -146,7 +150,9 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     """
     if not 0 < phrase <= window:
         raise ValueError("a phrase must fit in a window")
-    shards = 2 * row_splits(df)
+    if clash := set(carry) & {"id", "n_words", "n_removed", "kept_sha256", "text"}:
+        raise ValueError(f"carried columns would clash with results: {sorted(clash)}")
+    shards = row_splits(df) * max(2, -(-split_bytes(df.sparkSession) // SHARD_BYTES))
     extra = [c for c in carry]
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = df.select(
@@ -207,8 +213,15 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
 
     hits = located.where("starts IS NOT NULL AND id IS NOT NULL")
     windows = hits.select("uid", "id", "starts", "text").mapInArrow(flat, "uid long, id long, start int, h1 long, h2 long")
-    owners = windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    covered = windows.join(owners, ["h1", "h2"]).where("id > lo").groupBy("uid").agg(F.collect_list("start").alias("covered"))  # of one document
+    owners = windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    owners = materialize(owners.select("h1", "h2", "lo", "n"), "owners")
+    # a window that very many documents have is dealt out: it is known to all tasks (there are few such), and its owner goes to each part
+    hot = F.col("n") > (owners.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE
+    parts = F.when(hot, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = owners.select("h1", "h2", "lo", F.explode(parts).alias("part"))
+    marked = windows.join(F.broadcast(owners.where(hot).select("h1", "h2", F.lit(True).alias("hot"))), ["h1", "h2"], "left")
+    marked = marked.withColumn("part", F.when(F.col("hot"), F.pmod("uid", F.lit(HOT_PARTS)).cast("int")).otherwise(0))
+    covered = marked.join(spread, ["h1", "h2", "part"]).where("id > lo").groupBy("uid").agg(F.collect_list("start").alias("covered"))  # of one document
     out = f"id long, rest {rest}, n_words long, n_removed long, kept_sha256 string, text binary"
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,15 +1,17 @@
 """Token-ID / binary output (5).
 
-Rows are range-partitioned and sorted by id; every partition becomes one shard of two files:
-  shard-NNNNN.ids   the raw ids of all its texts, one after another, little-endian, 2 bytes each (4 for vocabularies over 65536)
-  shard-NNNNN.mph   a minimal perfect hash index: a JSON head line, then the displacement of each bucket (u4), and by
-                    slot the key's fingerprint (u4), where its ids start (u8) and how many there are (u4), and at the
-                    end the keys (i8) in the order of the payload, nulls first, so that a shard can be listed
+Rows are range-partitioned and sorted by id (rows of one id by their text's hash and the text); every partition becomes
+one shard, a file of three parts:
+  payload   the raw ids of all its texts, one after another, little-endian, 2 bytes each (4 for vocabularies over 65536)
+  index     a minimal perfect hash index: a JSON head line, then the displacement of each bucket (u4), and by slot the
+            key's fingerprint (u4), where its ids start (u8) and how many there are (u4), and at the end the keys (i8) in
+            the order of the payload, nulls first, so that a shard can be listed
+  tail      where the index begins (u8)
 A key is looked up in constant time: its bucket's displacement names the one slot it can have, the fingerprint stored
-there tells a key that was never added (but for one in 2^32), and the slot gives the place in the .ids file.
+there tells a key that was never added (but for one in 2^32), and the slot gives the place in the payload.
 
-Files are written under a temporary name and renamed when whole, so a repeated task replaces equal files and a lost
-executor leaves nothing half-written. Paths are URIs of any file system that pyarrow opens (file, hdfs, s3, gs).
+A file is written under a temporary name and renamed when whole, so index and payload appear together, a repeated task
+replaces an equal file, as the order of rows is total, and a lost executor leaves nothing half-written. Paths are URIs of any file system that pyarrow opens (file, hdfs, s3, gs).
 """
 
 from __future__ import annotations
@@ -32,6 +34,15 @@ from pyspark.sql import functions as F
 from .common import materialize, row_splits, scratch, table
 
 END_ID = 1
+#: The settings of the files whose texts may be encoded stretch by stretch.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 SLOT = np.dtype([("fingerprint", "<u4"), ("start", "<u8"), ("n", "<u4")])
 
 
@@ -81,14 +92,14 @@ class Shard:
 
     def __init__(self, uri: str):
         fs, path = pyarrow.fs.FileSystem.from_uri(uri)
-        with fs.open_input_file(path + ".mph") as f:
-            raw = f.read()
-        head, _, body = raw.partition(b"\n")
+        self.ids = fs.open_input_file(path)
+        size = self.ids.size()
+        at = int.from_bytes(self.ids.read_at(8, size - 8), "little")
+        head, _, body = self.ids.read_at(size - 8 - at, at).partition(b"\n")
         self.head = json.loads(head)
         self.shifts = np.frombuffer(body, "<u4", self.head["buckets"])
         self.slots = np.frombuffer(body, SLOT, self.head["keys"], 4 * self.head["buckets"])
         self.keys = [None] * self.head["nulls"] + np.frombuffer(body, "<i8", self.head["keys"] - self.head["nulls"], 4 * self.head["buckets"] + SLOT.itemsize * self.head["keys"]).tolist()
-        self.ids = fs.open_input_file(path + ".ids")
         self.kind = np.dtype(self.head["kind"])
 
     def find(self, key: int | None, nth: int = 0) -> tuple[int, int] | None:
@@ -114,7 +125,7 @@ class ChunkEncoder:
 
     That is the same as encoding the whole text for tokenizers whose normaliser and pre-tokeniser drop white space, never
     join what it separates, take runs of letters by themselves and lower the case; the query's file is one such, and the
-    tests compare both. So a comma or full stop that ends a stretch after a Latin letter is a stretch of its own, and
+    tests compare both. A file with another normaliser or pre-tokeniser has its texts encoded whole. So a comma or full stop that ends a stretch after a Latin letter is a stretch of its own, and
     texts all of ASCII are lower-cased at once, unless they may spell a special token. Stretches of Latin letters,
     in lower case, are pre-tokens; with their bytes spelled as the vocabulary does, they go straight to the model.
     """
@@ -127,7 +138,9 @@ class ChunkEncoder:
         spell = ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelling = {i: spell.pre_tokenize_str(chr(i))[0][0] for i in range(0x80, 0x250) if chr(i).isalpha()}
         with open(path, encoding="utf-8") as f:
-            bare = json.load(f) | {"normalizer": None, "pre_tokenizer": None}
+            spec = json.load(f)
+        bare = spec | {"normalizer": None, "pre_tokenizer": None}
+        self.by_stretch = (spec.get("normalizer"), spec.get("pre_tokenizer")) == (NORMALIZER, PRE_TOKENIZER) and not spec.get("post_processor")
         self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_str(json.dumps(bare))
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
@@ -160,6 +173,10 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array, end_id: int = END_ID, block: int = 1 << 24) -> Iterator[np.ndarray]:
         """The ids of each text and the end id; texts are taken in blocks of about `block` bytes, or one longer text."""
+        if not self.by_stretch:
+            for t in texts.to_pylist():
+                yield np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end_id], self.kind)
+            return
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
         at = 0
         while at < len(texts):
@@ -187,6 +204,7 @@ def encoder(path: str) -> ChunkEncoder:
 def write_token_files(df: DataFrame, out_uri: str, encode: Callable[[], ChunkEncoder], id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Writes df as shards under out_uri, in ascending order of the id (null first), and returns the manifest:
     (shard, uri, n_docs, n_tokens, base), base being the ids in all shards before. One row a shard; empty shards too.
+    A shard numbers its rows of one id from 0, in its own order.
     """
     shards = shards or row_splits(df)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
@@ -198,7 +216,7 @@ def write_token_files(df: DataFrame, out_uri: str, encode: Callable[[], ChunkEnc
         fs.create_dir(root, recursive=True)
         name, temp = f"{root}/shard-{number:05d}", f"{root}/_temp-{number:05d}-{context.taskAttemptId()}"
         keys, listed, counts, last, nth = [], [], [], object(), 0
-        with fs.open_output_stream(temp + ".ids") as f:
+        with fs.open_output_stream(temp) as f:
             for b in batches:
                 for key, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1)), strict=True):
                     nth = nth + 1 if key == last else 0
@@ -207,18 +225,18 @@ def write_token_files(df: DataFrame, out_uri: str, encode: Callable[[], ChunkEnc
                     keys.append(key_bytes(key, nth))
                     listed.append(key)
                     counts.append(len(ids))
-        shifts, at = build_mph(keys)
-        slots = np.zeros(len(keys), SLOT)
-        n = np.array(counts, np.int64)
-        slots["start"][at], slots["n"][at] = np.cumsum(n) - n, n
-        slots["fingerprint"][at] = [_hash(k, 1 << 40) & 0xFFFFFFFF for k in keys]
-        with fs.open_output_stream(temp + ".mph") as f:
+            shifts, at = build_mph(keys)
+            slots = np.zeros(len(keys), SLOT)
+            n = np.array(counts, np.int64)
+            slots["start"][at], slots["n"][at] = np.cumsum(n) - n, n
+            slots["fingerprint"][at] = [_hash(k, 1 << 40) & 0xFFFFFFFF for k in keys]
             f.write(json.dumps({"keys": len(keys), "buckets": len(shifts), "nulls": listed.count(None), "kind": enc.kind.str}).encode() + b"\n" + shifts.tobytes() + slots.tobytes() + np.array([k for k in listed if k is not None], "<i8").tobytes())
-        for end in (".ids", ".mph"):
-            publish(fs, temp + end, name + end)
+            f.write((int(n.sum()) * enc.kind.itemsize).to_bytes(8, "little"))
+        publish(fs, temp, name)
         yield pa.RecordBatch.from_pydict({"shard": [number], "uri": [f"{out_uri}/shard-{number:05d}"], "n_docs": [len(keys)], "n_tokens": [int(n.sum())]})
 
-    ordered = rows.repartitionByRange(shards, "id").sortWithinPartitions("id")
+    order = ["id", F.xxhash64("t"), "t"]  # rows of one id, or without one, are many ranges where they are many
+    ordered = rows.repartitionByRange(shards, *order[:2]).sortWithinPartitions(*order)
     manifest = materialize(ordered.mapInArrow(write, "shard long, uri string, n_docs long, n_tokens long"), "manifest")
     done = sorted(manifest.collect())  # a row a shard
     bases = np.cumsum([0, *[r["n_tokens"] for r in done]]).tolist()

@@ -1,12 +1,17 @@
 """Near-dedup against all pairs of all texts: no bound on bits, no representatives."""
 
 import random
+import re
 from itertools import combinations
 
 import corpus_pipeline
 
 from .test_id_ops import brute_fp
-from .test_pipeline import shingles
+
+
+def shingles(t):
+    w = re.sub(r"[A-Z]", lambda m: m[0].lower(), t).split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
 
 def brute_groups(texts):
@@ -60,3 +65,12 @@ def test_null_and_repeated_ids_go_only_with_a_copy(spark):
     got = corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, a), (None, b), (2, c), (2, d), (None, e)], key=str)
     assert corpus_pipeline.near_dedup(spark, frame(spark, rows).limit(0), "").count() == 0
+
+
+def test_contaminated_rows_go_whatever_their_id(spark, tmp_path):
+    rng = random.Random(10)
+    item, a, b = (" ".join(rng.choices(["u%d" % i for i in range(500)], k=40)) for _ in range(3))
+    spark.createDataFrame([(1, item), (None, "q1 q2 q3 q4 q5 q6")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, item), (1, a + " " + item), (1, b), (2, a), (None, b), (3, "q1 q2 q3 q4 q5 q6"), (4, None), (5, "")]
+    got = corpus_pipeline.decontaminate(spark, frame(spark, rows), str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, b), (2, a), (None, b), (4, None), (5, "")], key=str)

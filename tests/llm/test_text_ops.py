@@ -25,7 +25,7 @@ def words_of(t):
 def test_decontamination(spark):
     rng = random.Random(1)
     vocab = ["w%d" % i for i in range(60)]
-    items = [(i, " ".join(rng.choices(vocab, k=rng.choice([1, 3, 5, 6, 12, 31, 32, 60])))) for i in range(25)] + [(98, None), (99, ""), (100, "..."), (0, "Repeated id, another text of words here")]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.choice([1, 3, 5, 6, 12, 31, 32, 60])))) for i in range(25)] + [(98, None), (99, ""), (100, "..."), (0, "Repeated id, another text of words here"), (0, "w1 w2 w3 w4 w5 w6 w7"), (None, "w9 w8 w7 w6 w5 w4"), (None, "w9 w8 w7 w6 w5 w4")]
     docs = []
     for d in range(80):
         w = rng.choices(vocab, k=rng.choice([0, 4, 30, 400]))
@@ -36,7 +36,7 @@ def test_decontamination(spark):
             at = rng.randrange(len(w) + 1)
             w[at:at] = it
         docs.append((d if d % 9 else None, ", ".join(w).upper() if d % 2 else "\n".join(w)))
-    docs += [(1, docs[1][1]), (500, None), (501, "")]
+    docs += [(1, docs[1][1]), (500, None), (501, ""), (502, "w9 w8 w7 w6 w5 w4, w1 w2 w3 w4 w5 w6 w7"), (None, "W9 w8 w7 w6 w5 w4")]
     want = {}
     for d, t in docs:
         s = f" {norm(t)} "
@@ -45,12 +45,13 @@ def test_decontamination(spark):
             k = min(5, len(qw))
             sh = {" ".join(qw[j : j + k]) for j in range(len(qw) - k + 1)} if qw else set()
             n = sum(f" {x} " in s for x in sh)
-            if sh and n >= math.ceil(0.8 * len(sh) - 1e-9) and i != 0:
-                want[d, i] = max(want.get((d, i), (0, 0)), (n, len(sh)))
+            if sh and n >= math.ceil(0.8 * len(sh) - 1e-9):
+                want[d, i] = max(want.get((d, i), (0, 0, 0)), (n / len(sh), n, len(sh)))
     frame = spark.createDataFrame([(d, t, "n", 7) for d, t in docs], "doc_id long, text string, item string, n long").repartition(4)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.id, r.item): (r.n_found, r.n_shingles) for r in decontamination.contaminated(frame, bench.where("item_id > 0")).collect()}
-    assert got == want and len(want) > 20
+    rows = decontamination.contaminated(frame, bench).collect()
+    got = {(r.id, r.item): (r.containment, r.n_found, r.n_shingles) for r in rows}
+    assert got == want and len(want) > 20 and len(rows) == len(got) and (502, None) in got and (None, None) in got
     assert decontamination.contaminated(frame, bench.limit(0)).count() == 0
     assert decontamination.contaminated(frame.limit(0), bench).count() == 0
 
@@ -122,20 +123,40 @@ def brute_marginal(lattice, names, word):
     w = b" " + word
     alpha = [0.0] + [-math.inf] * len(w)
     for t in range(1, len(w) + 1):
-        terms = [alpha[s] + logs[w[s:t]] for s in range(max(0, t - lattice_lm.LONGEST), t) if w[s:t] in logs]
+        terms = [alpha[s] + logs[w[s:t]] for s in range(t) if w[s:t] in logs]
         alpha[t] = max(terms) + math.log(sum(math.exp(x - max(terms)) for x in terms))
     return alpha[-1]
 
 
-def test_lattice():
+def test_lattice(monkeypatch):
     names, logs = lattice_lm.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     lattice = lattice_lm.Lattice(names, logs)
-    words = [b"the", b"", b"tionable", "été".encode(), b"\xff\xfe", b"x" * 700, b"hello"]
+    long = max(names, key=len)
+    words = [b"the", b"", b"tionable", "été".encode(), b"\xff\xfe", b"x" * 700, b"hello", long.strip(), b"a" + long.strip() * 3 + b"\xff"]
+    assert len(long) > 16
     assert np.allclose(lattice.marginals(words), [brute_marginal(lattice, names, w) for w in words])
     small = [b"the", b"hello", b"abc"]
     n = lattice.expected(small)
     bytes_seen = sum(len(names[i]) * n[i] for i in np.nonzero(n)[0])
     assert abs(bytes_seen - sum(len(w) + 1 for w in small)) < 1e-6
+    # tables of few cells at a time give the same, and so do counts by a change of the log marginal with a piece's weight
+    whole, many = lattice.marginals(words), lattice.expected(words)
+    monkeypatch.setattr(lattice_lm, "CELLS", 50)
+    assert np.allclose(lattice.marginals(words), whole) and np.allclose(lattice.expected(words), many)
+    monkeypatch.undo()
+    for i in (names.index(b" the"), names.index(b"t"), names.index(long)):
+        up = logs.copy()
+        up[i] += 1e-6
+        slope = (lattice.marginals(words, [up]) - whole).sum() / 1e-6
+        assert abs(slope - many[i]) < 1e-3
+
+
+def test_a_hash_alone_makes_no_piece():
+    names, logs = [bytes([x]) for x in range(256)] + [b" a", b"abcdefghijk"], np.full(258, -5.0)
+    lattice = lattice_lm.Lattice(names, logs)
+    lattice.tails[0][256] += 1  # as if another string had this piece's hash
+    lattice.tails[1][257] += 1
+    assert np.allclose(lattice.marginals([b"abcdefghijk"]), -5.0 * 12)
 
 
 def test_lattice_lm(spark):
@@ -201,6 +222,21 @@ def test_substrings(spark):
     source = {i: t for i, t in texts}
     assert all(r.text == source[r.id] for r in rows if r.n_removed == 0 and r.id in range(4, 120) and r.text)
     assert substrings.dedupe(frame.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        substrings.dedupe(frame, carry=("text",))
+
+
+def test_a_passage_of_many_documents_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_SHARE", 2000)
+    monkeypatch.setattr(substrings, "HOT_PARTS", 5)
+    rng = random.Random(12)
+    vocab = ["v%d" % i for i in range(3000)]
+    passage = rng.choices(vocab, k=60)
+    texts = [(i, " ".join([*rng.choices(vocab, k=rng.randrange(30)), *passage, *rng.choices(vocab, k=i % 7)])) for i in range(300)]
+    texts += [(1000 + i, " ".join(rng.choices(vocab, k=40) * 2)) for i in range(20)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    got = sorted((str(r.id), r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedupe(frame, with_text=False).collect())
+    assert got == brute_substrings(texts)
 
 
 def test_embeddings(spark):
@@ -238,7 +274,7 @@ def test_embeddings(spark):
                 parent[y] = x
     want = sorted((i, n[i], find(i), find(i) == i) for i, *_ in data)
     frame = spark.createDataFrame([(*r, 3) for r in data], "vec_id long, embedding array<float>, label int, copies int").repartition(3)
-    for limit in (2048, 20):
+    for limit in (8192, 20):
         got = sorted(tuple(r) for r in embeddings.near_duplicates(frame, limit=limit).collect())
         assert got == want
     assert sum(n.values()) > 2000
@@ -260,3 +296,55 @@ def test_lattice_lm_beats_the_base_where_texts_are_held_out(spark):
     held = lattice_lm.score(docs, public_tokenizers.path("piece_bpe_32k.model")).where("held_out").collect()
     assert len(held) > 50 and sum(r.score for r in held) > sum(r.base_score for r in held)
 
+
+
+def segmentations(w, names):
+    if not w:
+        yield ()
+    for k in range(1, len(w) + 1):
+        if w[:k] in names:
+            for rest in segmentations(w[k:], names):
+                yield (w[:k], *rest)
+
+
+def test_lattice_lm_score_is_the_total_probability(spark):
+    """Every segmentation of every word listed, for a corpus of short words in three classes."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng = random.Random(11)
+    vocab = ["the", "ton", "añb", "Xq", "in", "zz9", "of"]
+    texts = [(i, " ".join(rng.choices(vocab[: 3 + i % 4], k=rng.randrange(6))), ["en", "fr", None][i % 3]) for i in range(60)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    got = {r.id: r.score for r in lattice_lm.score(frame, path).collect()}
+
+    names, logs = lattice_lm.vocabulary(path)
+    first = dict(zip(names, logs, strict=True))
+    ways = {}
+    models, shares = [], []
+    for lang in ("en", "fr", None):
+        own = [t for i, t, x in texts if x == lang and zlib.crc32(str(i).encode()) % 10]
+        c = Counter(w for t in own for w in [*(x.lower() for x in t.split()), "\n"])
+        n, v = sum(c.values()), len(c)
+        d = min(0.95, max(0.05, sum(k == 1 for k in c.values()) / max(1, sum(k == 1 for k in c.values()) + 2 * sum(k == 2 for k in c.values()))))
+        counts = Counter()
+        for w in c:
+            if w != "\n":
+                ways[w] = list(segmentations(b" " + w.encode(), first))
+                p = [math.exp(sum(first[x] for x in s)) for s in ways[w]]
+                for s, q in zip(ways[w], p, strict=True):
+                    for x in s:
+                        counts[x] += q / sum(p)
+        weight = {x: round(counts[x], 6) + 0.01 for x in names}
+        total = sum(weight.values())
+
+        def prob(w, c=c, n=n, v=v, d=d, weight=weight, total=total):
+            seen = max(c[w] - d, 0) / n
+            if w == "\n":
+                return seen
+            ways.setdefault(w, list(segmentations(b" " + w.encode(), first)))
+            return seen + d * v / n * sum(math.prod(weight[x] / total for x in s) for s in ways[w])
+
+        models.append(prob)
+        shares.append(len(own))
+    for i, t, _ in texts:
+        want = sum(share / sum(shares) * math.prod(p(w) for w in [*(x.lower() for x in t.split()), "\n"]) for p, share in zip(models, shares, strict=True))
+        assert abs(got[i] - math.log10(want)) < 1e-4, (t, got[i], math.log10(want))
