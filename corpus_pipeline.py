@@ -40,9 +40,10 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a test item go."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+    """Documents that contain a test item go, by their texts: whatever ids they have, or none."""
+    keyed = docs.select(*COLUMNS, text_key(F.col("text")).alias("_node"))
+    found = contaminated(keyed.select("_node", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_node").select(F.col("id").alias("_node")).distinct()
+    return keyed.join(found, "_node", "left_anti").select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
