@@ -12,6 +12,7 @@ from ..operators import evidence as ed
 from ..operators import geometry as geo
 from ..operators import index as ix
 from ..operators import lexicon as lx
+from ..operators import quality as qu
 from ..operators import search as se
 from ..operators import units as un
 from .answers import ALIGN, CHECKED
@@ -270,3 +271,63 @@ def coverage_gate(spark, sf_dir):
     items = i.select("query_id", F.lit("BI").alias("issuer"), F.lit(True).alias("direct"), F.lit(False).alias("adjacent")).unionByName(i.select("query_id", F.lit("OJK").alias("issuer"), (F.col("query_id") % 3 > 0).alias("direct"), F.lit(True).alias("adjacent")))
     covered = ed.issuer_coverage(items, i.select("query_id", F.explode(F.array(F.lit("BI"), F.lit("OJK"))).alias("issuer")))
     return ed.gate_by_coverage(sure, covered).select("query_id", "label", F.coalesce(F.array_join("missing_direct_issuers", ","), F.lit("")).alias("missing"))
+
+
+LOST = (0, 0.23, 0.12, 0.06, 0.08, 0.07, 0.06, 0.04, 0.03, 0.03, 0.02, 0.01, 0.04, 0.08, 0.07, 0.07, 0.08, 0.05)
+FAILED = (0, 3, 1, 1, 1, 1, 1, 0, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1)
+
+
+@query(
+    f"""WITH k AS (SELECT o_orderkey, CAST(o_orderkey % 18 + 1 AS INTEGER) AS k FROM orders)
+SELECT o_orderkey, round(CAST(least(1.0, 1.06 - {list(LOST)}[k]) AS DOUBLE), 3) AS score, CAST({list(FAILED)}[k] AS INTEGER) AS failures, CAST(CASE WHEN k - 1 IN (7, 14, 16) THEN 1 ELSE 0 END AS INTEGER) AS warnings, k - 1 IN (0, 7) AS accepted FROM k"""
+)
+def answer_quality(spark, sf_dir):
+    """An answer that is right in all, and seventeen that are each wrong in one way."""
+    k = F.col("o_orderkey") % 18
+
+    def texts(*values):
+        return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+    finding = F.struct(F.when(k == 13, "Kewajiban meliputi:").otherwise("Pihak wajib melapor.").alias("text"), F.lit("supported").alias("status"), F.when(k == 14, texts("c1")).otherwise(texts("c1")).alias("citation_ids"))
+
+    def citation(name):
+        end = F.when(k == 15, 1).otherwise(3)
+        return F.struct(F.lit(name).alias("id"), F.lit("f").alias("file_id"), F.lit("OJK").alias("issuer"), F.lit("POJK 1").alias("text"), texts("b").alias("source_block_ids"), F.lit(2).alias("page_start"), end.alias("page_end"))
+
+    citations = F.when(k == 14, F.array(citation("c1"), citation("c1"))).when(k == 16, F.array(citation("c1"), citation("c2"))).otherwise(F.array(citation("c1")))
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(k == 11, "partial").otherwise("answerable").alias("expected"), F.when(k == 1, "not_found").when(k == 11, "partial").otherwise("answerable").alias("status"),
+        F.when(k == 9, "Menimbang : bahwa wajib").when(k == 10, "Jawaban:\n- potongan wajib").otherwise("Jawaban: wajib.").alias("answer"), F.lit("Ringkasan").alias("summary"),
+        F.when(k == 12, F.array_repeat(finding, 4)).otherwise(F.array(finding)).alias("findings"), citations.alias("citations"),
+        F.array(F.struct(F.lit("OJK").alias("issuer"), F.when(k == 7, "secondary").otherwise("primary").alias("source_priority"))).alias("documents"), F.when(k == 17, 2).otherwise(F.size(citations)).alias("citation_count"),
+        F.when(k == 2, texts("wajib", "sanksi")).otherwise(texts("wajib")).alias("required_terms"), F.when(k == 3, texts("parsial")).otherwise(texts()).alias("uncertainty_terms"), F.when(k == 4, texts("pbi")).otherwise(texts("pojk")).alias("citation_terms"),
+        F.when(k == 6, texts("OJK", "BI")).otherwise(texts("OJK")).alias("required_issuers"), F.when(k == 5, 2).alias("min_citations"), F.when(k == 8, 5).alias("max_chars"),
+    )
+    return qu.answer_quality(o).select("o_orderkey", "score", F.size("failures").alias("failures"), F.size("warnings").alias("warnings"), "accepted")
+
+
+ARTIFACTS = f"""{UNITS}, a AS (SELECT doc_id, pos, ['bab', 'table', 'pasal', 'ayat', 'huruf'][level] AS unit_type, CASE WHEN pos % 7 = 0 THEN 'promulgation' WHEN pos % 5 = 0 THEN NULL ELSE 'normative' END AS part, CASE WHEN pos % 13 = 0 THEN line || ' pada ayat' WHEN pos % 17 = 0 THEN 'Cukup jelas.' ELSE line END AS line,
+  CASE WHEN pos % 19 = 0 THEN 'http://jdih.ojk.go.id/x' ELSE line END AS found, page, pos % 3 AS more, pos % 4 > 0 AS has_path, CASE doc_id % 4 WHEN 0 THEN 'PBI' WHEN 1 THEN 'POJK' ELSE 'SK' END AS kind, issuer, pos % 3 > 0 AS admitted, pos % 11 > 0 AS has_node, NOT contains(line, '|') AS readable, doc_id % 6 > 0 AS is_primary FROM units),
+b AS (SELECT *, false AS of_corpus, true AS judged FROM a WHERE pos % 2 = 1), c AS (SELECT * REPLACE (true AS admitted), true AS of_corpus, pos % 2 = 0 AS judged FROM a WHERE pos % 3 > 0), e AS (SELECT * FROM b UNION ALL SELECT * FROM c),
+v AS (SELECT doc_id, pos, unnest(list_filter([CASE WHEN NOT has_node OR line = '' OR found = '' OR part IS NULL THEN 'missing_legal_unit_provenance' END,
+  CASE WHEN judged AND admitted AND unit_type IN ('pasal', 'ayat', 'huruf') AND regexp_matches(line, '(?i)\\b((pada|dalam|di)\\s+)?(ayat|pasal|huruf)\\s*$') THEN 'dangling_legal_reference' END,
+  CASE WHEN judged AND admitted AND unit_type = 'pasal' AND coalesce(part, 'normative') = 'normative' AND (more >= 2 AND length(line) > 1500 OR length(line) > 3000) THEN 'oversized_normative_pasal' END,
+  CASE WHEN judged AND (regexp_matches(line, 'jdih\\.ojk\\.go\\.id') OR regexp_matches(found, 'jdih\\.ojk\\.go\\.id')) THEN 'url_contamination' END, CASE WHEN judged AND admitted AND NOT has_path THEN 'empty_legal_path' END,
+  CASE WHEN judged AND (kind = 'PBI' AND issuer <> 'BI' OR kind = 'POJK' AND issuer <> 'OJK') THEN 'issuer_instrument_mismatch' END, CASE WHEN of_corpus AND NOT is_primary THEN 'suppressed_duplicate_leakage' END,
+  CASE WHEN judged AND admitted AND unit_type = 'table' AND NOT readable THEN 'unreadable_table_citation_admission' END,
+  CASE WHEN judged AND admitted AND (part = 'promulgation' OR coalesce(part, 'normative') = 'normative' AND line = 'Cukup jelas.') THEN 'document_part_contamination' END], lambda x: x IS NOT NULL)) AS rule FROM e)"""
+
+
+@query(f"WITH {ARTIFACTS} SELECT rule, count(*) AS violations FROM v GROUP BY rule")
+def artifact_audit(spark, sf_dir):
+    """All nine rules over the units and the corpus made of them; a unit that is in both is judged once for what it is."""
+    u, p = units(spark, sf_dir), F.col("pos")
+    line = F.when(p % 13 == 0, F.concat("line", F.lit(" pada ayat"))).when(p % 17 == 0, "Cukup jelas.").otherwise(F.col("line"))
+    some = F.array(F.lit("x"))
+    a = u.select(
+        "doc_id", "pos", F.array(*map(F.lit, ("bab", "table", "pasal", "ayat", "huruf")))[F.col("level") - 1].alias("unit_type"), F.when(p % 7 == 0, "promulgation").when(p % 5 == 0, None).otherwise("normative").alias("document_part"), line.alias("display_text"),
+        F.when(p % 19 == 0, "http://jdih.ojk.go.id/x").otherwise(F.col("line")).alias("retrieval_text"), F.col("page").alias("page_start"), (F.col("page") + p % 3).alias("page_end"), F.when(p % 4 > 0, some).alias("legal_path"), pick(F.col("doc_id"), "PBI", "POJK", "SK", "SK").alias("regulation_type"),
+        "issuer", F.when(p % 3 > 0, "atomic_leaf").otherwise("quarantined").alias("admission"), F.when(p % 11 > 0, "n").alias("node_id"), F.lit("u").alias("legal_unit"), some.alias("source_block_ids"), some.alias("anchors"), some.alias("source_spans"),
+        (~F.contains("line", F.lit("|"))).alias("readable"), (F.col("doc_id") % 6 > 0).alias("searchable_primary"),
+    )
+    return qu.audit_units(a.where("pos % 2 = 1"), a.where("pos % 3 > 0").drop("admission"), ("doc_id", "pos")).select("rule", "violations")
