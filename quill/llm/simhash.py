@@ -232,7 +232,9 @@ def arranged(codes: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
 def keyed_by(codes: DataFrame, chosen: list[tuple[list[tuple[int, int]], int]]) -> DataFrame:
     """(mask, value, fp): each code under the value of its chosen blocks, for every way to choose them."""
     signed = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for _, m in chosen))
-    each = codes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(chosen) - 1))).alias("mask"))
+    # few bytes become many rows: they are dealt to as many tasks as a shuffle has before that
+    n = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = codes.repartition(n, "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(chosen) - 1))).alias("mask"))
     return each.select("mask", F.col("fp").bitwiseAND(F.element_at(signed, F.col("mask") + 1)).alias("value"), "fp")
 
 
