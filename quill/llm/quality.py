@@ -14,14 +14,15 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
 
-#: Bound of the training sample in labelled documents; their texts count whole. Scoring has no bound.
-SAMPLE_DOCS = 4000
+#: Bounds of the training sample: labelled documents, and pieces of each one's lines, drawn from all of them. Scoring has no bound.
+SAMPLE_DOCS, PIECE, PIECES = 4000, 32, 256
 OWN, NEAR = 13, 6
 WIDTH = OWN + 3 * NEAR + 2
 
@@ -117,6 +118,15 @@ def forward_backward(e: np.ndarray, lengths: np.ndarray, step: np.ndarray) -> tu
     return z, m, moves
 
 
+def drawn(features: np.ndarray) -> np.ndarray:
+    """The lines of PIECES pieces of PIECE lines, in order; all lines of a document that has no more."""
+    pieces = -(-len(features) // PIECE)
+    if pieces <= PIECES:
+        return features
+    kept = np.sort(np.argsort([xxhash.xxh64_intdigest(b"%d/%d" % (k, pieces)) for k in range(pieces)], kind="stable")[:PIECES])
+    return np.concatenate([features[k * PIECE : (k + 1) * PIECE] for k in kept])
+
+
 def fit(rows: list[tuple[int, np.ndarray]], steps: int = 250, rate: float = 0.08, decay: float = 2e-3, piece: int = 32) -> Crf:
     """rows: (label, line features). Chains are cut to pieces of `piece` lines. Without rows of either label the score is 0.5."""
     rows = [(y, f[i : i + piece]) for y, f in rows for i in range(0, len(f), piece)]
@@ -150,16 +160,18 @@ def fold(id_col: str, n: int) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_DOCS) -> Crf:
     """Fits on at most `sample` labelled documents outside the held-out fold, taken in the order of a hash of their id.
-    Rows without id or label don't count; a document labelled twice counts by its lower label."""
+    Rows without id or label don't count; a document labelled twice counts by its lower label, and of rows that repeat an
+    id one counts. A document of over PIECES pieces of PIECE lines counts by so many, drawn from the whole of it by a hash."""
     held_in = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col, folds) != 0))
     chosen = held_in.groupBy(id_col).agg(F.min(label_col).cast("int").alias("_y")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [line_features(t)[0].astype("<f4").tobytes() for t in b.column(2).to_pylist()]
+            f = [drawn(line_features(t)[0]).astype("<f4").tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.binary())], names=["id", "y", "f"])
 
     rows = docs.join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("long").alias("id"), F.col("_y").alias("y"), F.col(text_col).alias("t"))
+    rows = rows.groupBy("id").agg(F.min("y").alias("y"), F.min("t").alias("t"))  # rows that repeat an id are one
     got = sorted((r["id"], r["y"], bytes(r["f"])) for r in rows.mapInArrow(run, "id long, y int, f binary").collect())
     return fit([(y, np.frombuffer(f, "<f4").reshape(-1, WIDTH)) for _, y, f in got if f])
 

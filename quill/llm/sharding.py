@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+#: Rows that are numbered in one piece, about.
+ROWS = 250_000
+
+
 @dataclass(frozen=True)
 class Node:
     """name: unique among all nodes, kept for life. A leaf has a shard number, an inner node children."""
@@ -44,6 +48,10 @@ def tree(shards: int, base: int = 16, per_rack: int = 4, racks_per_region: int =
     return Node("root", float(shards), None, tuple(tops))
 
 
+def leaves(node: Node) -> list[Node]:
+    return [node] if node.shard is not None else [x for c in node.children for x in leaves(c)]
+
+
 def _draw(key: Column, node: Node) -> Column:
     # 52 bits and a half, over 2^52: never 0 or 1
     u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(node.name)), 12).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
@@ -64,26 +72,29 @@ def shard_of(key: Column, node: Node) -> Column:
     return out
 
 
-def assign(df: DataFrame, key: str, root: Node, grown: Node | None = None, buckets: int = 64) -> DataFrame:
+def assign(df: DataFrame, key: str, root: Node, grown: Node | None = None, buckets: int | None = None) -> DataFrame:
     """Adds shard, slot (gapless from 0 in each shard) and grown_shard (null without a grown tree).
 
-    Slots follow (bucket of the key, key) in a shard; equal keys are numbered in any order. A shard's rows are numbered
-    in `buckets` pieces at once: counts by piece (shards x buckets rows, a fixed bound, hence broadcast) give each its start.
-    An empty table gives an empty result; other columns pass through, so the names added must not be among them.
+    Slots follow (bucket, key) in a shard, the bucket being a hash of all columns, so that rows of one key, or without
+    one, are dealt to many; rows of one key follow another hash. A shard's rows are numbered in `buckets` pieces at once,
+    by default as many as give a piece ROWS rows or so: counts by piece (a row for each ROWS rows, hence broadcast) give
+    each its start. An empty table gives an empty result; other columns pass through, so the names added must not be among them.
     """
     clash = {"shard", "slot", "grown_shard", "_bucket", "_start"} & set(df.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} are names that assign() adds; rename them first")
-    k = F.col(key)
+    k, every = F.col(key), [F.col(c) for c in df.columns]
+    if buckets is None:
+        buckets = max(16, -(-df.count() // (ROWS * max(1, len(leaves(root))))))
     placed = df.withColumns({
         "shard": shard_of(k, root).cast("int"),
         "grown_shard": (shard_of(k, grown) if grown is not None else F.lit(None)).cast("int"),
-        "_bucket": F.pmod(F.xxhash64(k, F.lit("bucket")), F.lit(buckets)).cast("int"),
+        "_bucket": F.pmod(F.xxhash64(F.lit("bucket"), *every), F.lit(buckets)).cast("int"),
     })
     counts = placed.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("shard", "_bucket").orderBy(key)
+    within = Window.partitionBy("shard", "_bucket").orderBy(key, F.xxhash64(*every))
     numbered = placed.withColumn("slot", F.row_number().over(within).cast("long") - 1)
     return numbered.join(F.broadcast(starts), ["shard", "_bucket"]).withColumn("slot", F.col("slot") + F.col("_start")).drop("_bucket", "_start")
 
