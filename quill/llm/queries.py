@@ -5,7 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op7_byte_bpe
 from .decontamination import OP1_SQL, op1_decontamination
 from .embeddings import OP9_SQL, op9_embeddings
-from .html_text import op2_html
+from .html_text import OP2_SQL, op2_html
 from .lattice_lm import op4_lattice_lm
 from .quality import op3_quality
 from .sharding import op10_sharding
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 #: The others hash, fit or encode in ways that SQL has no functions for; tests/llm holds them against brute force.
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op6_substrings": OP6_SQL, "op9_embeddings": OP9_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op2_html": OP2_SQL, "op6_substrings": OP6_SQL, "op9_embeddings": OP9_SQL}
