@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import index as ix
 from ..plans import execute as ex
 from ..plans import planner as pl
+from ..sources import files
 from .answers import LEXICON
 from .base import BM25, SEARCHES, index, pick, query, sql_tokens, table
 
@@ -41,8 +44,11 @@ def _asked(spark, sf_dir):
   len(list_filter(issuers, lambda x: x IS NOT NULL)) > 1 AND NOT ob AND NOT sa AS compares_issuers FROM p"""
 )
 def plan_facts(spark, sf_dir):
-    """What the planner reads from a question: intents, issuers, entities, topics; whether titles may limit it, whether it compares issuers."""
-    return pl.facts(_asked(spark, sf_dir), LEXICON)
+    """What the planner, its lexicon read from a file, reads from a question: intents, issuers, entities, topics; whether titles
+    may limit it, whether it compares issuers."""
+    path = files.scratch(spark, "lexicon.json")
+    files.write_pointer(spark, path, json.dumps(LEXICON))
+    return pl.facts(_asked(spark, sf_dir), files.read_lexicon(spark, path))
 
 
 @query(

@@ -15,6 +15,7 @@ from ..operators import lexicon as lx
 from ..operators import quality as qu
 from ..operators import search as se
 from ..operators import units as un
+from ..sources import files
 from .answers import ALIGN, CHECKED
 from .base import BM25, DOCS, UNITS, docs, index, pick, query, searches, sql_tokens, table, units
 
@@ -167,8 +168,9 @@ SELECT p_partkey, array_to_string(list_filter(a, lambda x: NOT list_contains(['y
 )
 def stopword_tokens(spark, sf_dir):
     """Tokens without stop words, which are read from a file of a word a line."""
-    stop = ("yang", "dan", "the", "steel", "small")
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(t.tokens(F.concat_ws(" ", "p_name", "p_type"), stop), " ").alias("kept"))
+    path = files.scratch(spark, "stopwords.txt")
+    files.write_pointer(spark, path, "# words\nyang\ndan\n\nThe\nsteel\n small \n")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(t.tokens(F.concat_ws(" ", "p_name", "p_type"), files.read_words(spark, path)), " ").alias("kept"))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -20,6 +21,23 @@ def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def read_words(spark: SparkSession, path: str, most: int = 100_000) -> list[str]:
+    """Stop words from a file of a word a line, in lower case; empty lines and those that begin with # don't count. The
+    list goes into expressions, so a file of more than `most` words is refused."""
+    word = F.lower(F.trim("value"))
+    rows = spark.read.text(path).select(word.alias("w")).where((F.col("w") != "") & ~F.col("w").startswith("#")).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{path} has over {most} words")
+    return sorted(r["w"] for r in rows)
+
+
+def read_lexicon(spark: SparkSession, path: str) -> dict:
+    """The planner's lexicon from a JSON file; a section that isn't there is empty."""
+    text = spark.read.text(path, wholetext=True).first()
+    sections = {name: [] for name in ("intents", "issuers", "entities", "topics")}
+    return sections | (json.loads(text[0]) if text else {})
+
+
 def read_ndjson(spark: SparkSession, path: str, schema, missing_ok: bool = False) -> DataFrame:
     """A record a line, blank lines skipped, bad lines fail. A missing file is an error, or empty if missing_ok."""
     if missing_ok and not exists(spark, path):
