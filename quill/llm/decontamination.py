@@ -78,10 +78,11 @@ def contaminated(
     met = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
     whole = shingles.groupBy("iid", "item", "n").agg(F.collect_list("shingle").alias("shingles"))  # the shingles of one test item
     named = text.join(met, F.col("id").eqNullSafe(F.col("cid")) & (F.col("tid") == F.col("ctid"))).join(F.broadcast(whole) if few else whole, "iid")
-    padded = F.concat(F.lit(" "), F.col("t"), F.lit(" "))
+    # the text is a lambda's variable, so that it is normalised once and not once a shingle
+    padded = F.array(F.concat(F.lit(" "), normal(F.col("raw")), F.lit(" ")))
+    has = F.transform(padded, lambda t: F.size(F.filter("shingles", lambda s: F.contains(t, F.concat(F.lit(" "), s, F.lit(" "))))))
     checked = (
-        named.select("id", "item", F.col("n").alias("n_shingles"), normal(F.col("raw")).alias("t"), "shingles")
-        .withColumn("n_found", F.size(F.filter("shingles", lambda s: F.contains(padded, F.concat(F.lit(" "), s, F.lit(" "))))).cast("long"))
+        named.select("id", "item", F.col("n").alias("n_shingles"), has[0].cast("long").alias("n_found"))
         .where(F.col("n_found") >= F.ceil(F.lit(threshold) * F.col("n_shingles") - 1e-9))
     )
     best = checked.groupBy("id", "item").agg(F.max(F.struct((F.col("n_found") / F.col("n_shingles")).alias("containment"), "n_found", "n_shingles")).alias("best"))

@@ -302,7 +302,7 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH a AS (SELECT page_id, url, replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<br>', ' ') AS x FROM pages),
 b AS (SELECT page_id, url, list_transform(regexp_split_to_array(x, '</?(?:p|h1)>'), lambda s: regexp_replace(s, '<[^>]*>', '', 'g')) AS l FROM a),
-u AS (SELECT page_id, url, list_transform(l, lambda s: replace(replace(replace(replace(replace(s, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&')) AS l FROM b),
+u AS (SELECT page_id, url, list_transform(l, lambda s: replace(replace(replace(replace(replace(replace(s, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '&amp', '&')) AS l FROM b),
 t AS (SELECT page_id, url, coalesce(array_to_string(list_filter(list_transform(l, lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: s <> ''), chr(10)), '') AS text FROM u)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
 """
