@@ -62,31 +62,32 @@ def issuer_boost(issuer: Column, terms: Column, factor: float = 1.08) -> Column:
     return F.when(bi | ((issuer == "OJK") & F.array_contains(terms, "ojk")), factor).otherwise(1.0)
 
 
-def title_score(query: Column, query_terms: Column, title: Column, title_terms: Column, with_runs: bool = True) -> Column:
-    """Coverage both ways, bonuses for equal or contained strings, order and shared runs; short titles pay against long queries.
-
-    query and title are space-normalised and lower case; the terms are their tokens.
-    """
-    q, t = F.array_distinct(query_terms), F.array_distinct(title_terms)
-    shared = F.size(F.array_intersect(q, t))
-    coverage = shared / F.greatest(F.lit(1), F.size(q))
-    base = coverage * 60.0 + shared / F.greatest(F.lit(1), F.size(t)) * 35.0 + shared * 4.0
-    same = F.when(query == title, 80.0).when(F.contains(title, query) | F.contains(query, title), 45.0).when(shared == F.size(q), 35.0).otherwise(0.0)
-    ordered = F.when(F.contains(F.array_join(title_terms, " "), F.array_join(query_terms, " ")), 35.0).otherwise(0.0)
-    score = base + same + ordered
-    if with_runs:
-        # a shared run of n tokens gives 12 n from n = 3 on, 48 at most: whether runs of 3 and of 4 are shared is all it takes
-        score = score + F.when(share_run(query_terms, title_terms, 4), 48.0).when(share_run(query_terms, title_terms, 3), 36.0).otherwise(0.0)
-    short = (F.size(t) <= 2) & (F.size(q) >= 4) & (coverage < 0.75)
+def title_score_of(shared: Column, query_size: Column, title_size: Column, bonus: Column, run: Column) -> Column:
+    """From the numbers of distinct tokens, the bonus of the strings, and the longest shared run (3, 4 or more; null for less):
+    coverage both ways; a run of n tokens gives 12 n from n = 3 on, 48 at most; short titles pay against long queries."""
+    coverage = shared / F.greatest(F.lit(1), query_size)
+    score = coverage * 60.0 + shared / F.greatest(F.lit(1), title_size) * 35.0 + shared * 4.0 + bonus + F.when(run >= 3, F.least(F.lit(48.0), run * 12.0)).otherwise(0.0)
+    short = (title_size <= 2) & (query_size >= 4) & (coverage < 0.75)
     return F.when(shared == 0, 0.0).otherwise(score * F.when(short, 0.55).otherwise(1.0))
 
 
-def title_score_bound(shared: Column, query_size: Column, title_size: Column, slashes: Column, with_runs: bool = True) -> Column:
-    """At least title_score(), from the counts of distinct tokens. A string that contains the other shares all of its tokens
-    but the first and last, unless slashes join tokens."""
-    base = shared / query_size * 60.0 + shared / title_size * 35.0 + shared * 4.0
-    within = slashes | (shared >= query_size - 2) | (shared >= title_size - 2)
-    return base + F.when(within, 115.0).otherwise(0.0) + (48.0 if with_runs else 0.0)
+def title_bonus(query: Column, query_terms: Column, title: Column, title_terms: Column, all_shared: Column) -> Column:
+    """For equal or contained strings, or all tokens shared; and for the tokens in order."""
+    same = F.when(query == title, 80.0).when(F.contains(title, query) | F.contains(query, title), 45.0).when(all_shared, 35.0).otherwise(0.0)
+    return same + F.when(F.contains(F.array_join(title_terms, " "), F.array_join(query_terms, " ")), 35.0).otherwise(0.0)
+
+
+def may_contain(shared: Column, query_size: Column, title_size: Column, slashes: Column) -> Column:
+    """Whether a bonus is possible: a string that contains the other shares all of its tokens but the first and last, unless slashes join tokens."""
+    return slashes | (shared >= query_size - 2) | (shared >= title_size - 2)
+
+
+def title_score(query: Column, query_terms: Column, title: Column, title_terms: Column, with_runs: bool = True) -> Column:
+    """title_score_of() and title_bonus() of one pair. query and title are space-normalised and lower case; the terms are their tokens."""
+    q, t = F.array_distinct(query_terms), F.array_distinct(title_terms)
+    shared = F.size(F.array_intersect(q, t))
+    run = F.when(share_run(query_terms, title_terms, 4), 4).when(share_run(query_terms, title_terms, 3), 3) if with_runs else F.lit(None).cast("int")
+    return title_score_of(shared, F.size(q), F.size(t), title_bonus(query, query_terms, title, title_terms, shared == F.size(q)), run)
 
 
 def rank_score(rank: Column) -> Column:

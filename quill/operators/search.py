@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..functions.text import normalize_space, tokens
+from ..functions.text import normalize_space, runs, tokens
 from .index import Index
 
 SECONDARY = ("secondary_faq", "secondary_summary")
@@ -26,15 +26,27 @@ def search_terms(searches: DataFrame, stopwords: Sequence[str] = ()) -> DataFram
     return searches.select("search_id", F.explode(tokens(F.col("query"), stopwords)).alias("term")).groupBy("search_id", "term").agg(F.count(F.lit(1)).alias("qf"))
 
 
-def candidates(terms: DataFrame, index: Index, most: int = scoring.MAX_CANDIDATE_TERMS) -> DataFrame:
-    """search_terms with df, is_candidate (the rarest terms, unknown ones last, ties by the term) and min_match."""
-    known = terms.join(index.terms, "term", "left")
+def candidates(terms: DataFrame, index: Index, most: int = scoring.MAX_CANDIDATE_TERMS, names: Sequence[str] | None = None) -> DataFrame:
+    """search_terms with df, is_candidate (the rarest terms, unknown ones last, ties by the term) and min_match. names: the
+    terms' names, if they are few."""
+    known = terms.join(_named(index.terms, names), "term", "left")
     w = Window.partitionBy("search_id")
     rank = F.row_number().over(w.orderBy(F.coalesce("df", F.lit(10**9)), "term"))
     out = known.withColumn("_rank", rank).withColumn("is_candidate", F.col("_rank") <= most).drop("_rank")
     return out.withColumn("min_match", F.when(F.count_if("is_candidate").over(w) >= scoring.MIN_MATCH_FROM_TERMS, scoring.MIN_MATCH).otherwise(1))
 
 
+def _named(rows: DataFrame, names: Sequence[str] | None) -> DataFrame:
+    """Few names go to the scan as a filter: terms and postings lie sorted by term, so other row groups aren't read."""
+    return rows.where(F.col("term").isin(list(names))) if names is not None and len(names) <= PUSHED_TERMS else rows
+
+
+def held(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """Rows of the questions' size, computed once, and whether they are few enough to be broadcast; or else as they are."""
+    got = rows.limit(BROADCAST_TERMS + 1).collect()
+    return (rows.sparkSession.createDataFrame(got, rows.schema), True) if len(got) <= BROADCAST_TERMS else (rows, False)
+
+
 def bm25(index: Index, searches: DataFrame, filters: Sequence[str] = (), stopwords: Sequence[str] = (), min_match: bool = True, scope: DataFrame | None = None, scope_key: str = "file_id", limit: int | None = None) -> DataFrame:
     """(search_id, doc_id, matched, bm25) of the documents with enough of a search's rarest terms, scored by all terms.
 
@@ -42,15 +54,18 @@ def bm25(index: Index, searches: DataFrame, filters: Sequence[str] = (), stopwor
     scope_key) rows; a search with any there looks only at those. limit: top rows a search, ties by doc_id. The postings
     of the rarest terms give the documents first; the others' postings count only for those.
     """
-    terms = candidates(search_terms(searches, stopwords), index)
-    found = _postings(index, terms.where("is_candidate")).groupBy("search_id", "doc_id").agg(F.count(F.lit(1)).alias("matched"), F.first("min_match").alias("_least"))
+    asked, few = held(search_terms(searches, stopwords))
+    names = sorted({r["term"] for r in asked.select("term").collect()}) if few else None
+    terms, few = held(candidates(asked, index, names=names))
+    rare = terms.where("is_candidate")
+    found = _postings(index, rare, few).groupBy("search_id", "doc_id").agg(F.count(F.lit(1)).alias("matched"), F.first("min_match").alias("_least"))
     if min_match:
         found = found.where("matched >= _least")
     cols = [*filters, *([scope_key] if scope is not None else [])]
     found = found.drop("_least").join(index.docs.select("doc_id", "doc_len", *cols), "doc_id")
     if filters:
-        asked = searches.select("search_id", *[F.col(c).alias(f"_{c}") for c in filters])
-        found = found.join(side(asked), "search_id")
+        wanted = searches.select("search_id", *[F.col(c).alias(f"_{c}") for c in filters])
+        found = found.join(side(wanted), "search_id")
         for c in filters:  # a null asks for nothing
             found = found.where(F.col(f"_{c}").isNull() | (F.col(f"_{c}") == F.col(c)))
     if scope is not None:
@@ -58,20 +73,17 @@ def bm25(index: Index, searches: DataFrame, filters: Sequence[str] = (), stopwor
         inside = scope.select("search_id", scope_key).distinct().withColumn("_inside", F.lit(True))
         found = found.join(scoped, "search_id", "left").join(inside, ["search_id", scope_key], "left").where("_scoped IS NULL OR _inside")
     found = found.select("search_id", "doc_id", "matched", "doc_len")
-    joined = _postings(index, terms).join(side(found), ["search_id", "doc_id"])
+    joined = _postings(index, terms, few).join(side(found), ["search_id", "doc_id"])
     part = scoring.bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.greatest(F.col("doc_len"), F.lit(1)), F.col("avg_len"), F.col("qf"))
     scored = joined.crossJoin(F.broadcast(index.stats)).groupBy("search_id", "doc_id").agg(F.first("matched").alias("matched"), F.sum(part).alias("bm25"))  # stats: one row
     out = scored.where("bm25 > 0")
     return top(out, "bm25", limit) if limit else out
 
 
-def _postings(index: Index, terms: DataFrame) -> DataFrame:
-    """The postings of the terms with what terms has of them. Few terms go to the scan as a filter: postings lie sorted by
-    term, so other row groups aren't read."""
-    names = [r[0] for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
-    if len(names) <= PUSHED_TERMS:
-        return index.postings.where(F.col("term").isin(names)).join(side(terms), "term")
-    return index.postings.join(side(terms), "term")
+def _postings(index: Index, terms: DataFrame, few: bool) -> DataFrame:
+    """The postings of the terms with what terms has of them."""
+    names = sorted({r["term"] for r in terms.select("term").collect()}) if few else None
+    return _named(index.postings, names).join(F.broadcast(terms) if few else terms, "term")
 
 
 def side(rows: DataFrame) -> DataFrame:
@@ -99,21 +111,42 @@ def boosted(hits: DataFrame, docs: DataFrame, searches: DataFrame, stopwords: Se
 
 def title_search(titles: DataFrame, searches: DataFrame, stopwords: Sequence[str] = (), least: float = scoring.TITLE_MIN_SCORE, limit: int | None = None, with_runs: bool = True, key: str = "doc_id") -> DataFrame:
     """(search_id, key, title, title_score) of titles that score enough. A pair needs a shared token, so titles meet
-    searches by their tokens rather than each with each; only keys and counts of tokens go that way, and a pair whose
-    counts can't reach the least score goes no further. key is unique in titles."""
+    searches by their tokens, and by their runs of three and four, rather than each with each. Keys and counts alone go
+    that way, and they make the score, but for what only the strings can tell of the few pairs of which one may contain
+    the other. key is unique in titles."""
     q = searches.select("search_id", F.lower(normalize_space(F.col("query"))).alias("_q"), tokens(F.lower(normalize_space(F.col("query"))), stopwords).alias("_qt"))
     t = titles.select(key, "title", F.lower(normalize_space(F.col("title"))).alias("_t"), tokens(F.lower(normalize_space(F.col("title"))), stopwords).alias("_tt"))
     slash = F.lit("/")
     by_token = q.select("search_id", F.size(F.array_distinct("_qt")).alias("_nq"), F.contains("_q", slash).alias("_sq"), F.explode(F.array_distinct("_qt")).alias("_token"))
     tokens_of = t.select(key, F.size(F.array_distinct("_tt")).alias("_nt"), F.contains("_t", slash).alias("_st"), F.explode(F.array_distinct("_tt")).alias("_token"))
-    met = tokens_of.join(side(by_token), "_token").groupBy("search_id", key).agg(F.count(F.lit(1)).alias("_n"), *(F.first(c).alias(c) for c in ("_nq", "_nt", "_sq", "_st")))
-    bound = scoring.title_score_bound(F.col("_n"), F.col("_nq"), F.col("_nt"), F.col("_sq") | F.col("_st"), with_runs)
-    pairs = met.where(bound >= least).select("search_id", key).join(t, key).join(side(q), "search_id")
-    scored = pairs.withColumn("title_score", scoring.title_score(F.col("_q"), F.col("_qt"), F.col("_t"), F.col("_tt"), with_runs)).where(F.col("title_score") >= least)
+    pair = ["search_id", key]
+    met = tokens_of.join(side(by_token), "_token").groupBy(*pair).agg(F.count(F.lit(1)).alias("_n"), *(F.first(c).alias(c) for c in ("_nq", "_nt", "_sq", "_st")))
+    if with_runs:
+        runs_of = [_hashed_runs(t, key, "_tt"), _hashed_runs(q, "search_id", "_qt")]
+        shared = runs_of[0].join(side(runs_of[1]), ["_run", "_h"]).groupBy(*pair).agg(F.max("_run").alias("_run"))
+        met = met.join(shared, pair, "left")
+    else:
+        met = met.withColumn("_run", F.lit(None).cast("int"))
+    counts = [F.col(c) for c in ("_n", "_nq", "_nt")]
+    base = met.withColumn("_plain", scoring.title_score_of(*counts, F.lit(0.0), F.col("_run"))).withColumn("_within", scoring.may_contain(*counts, F.col("_sq") | F.col("_st")))
+    plain = base.where(~F.col("_within") & (F.col("_plain") >= least)).select(*pair, F.col("_plain").alias("title_score")).join(t.select(key, "title"), key)
+    read = base.where("_within").join(t, key).join(side(q), "search_id")
+    bonus = scoring.title_bonus(F.col("_q"), F.col("_qt"), F.col("_t"), F.col("_tt"), F.col("_n") == F.col("_nq"))
+    close = read.withColumn("title_score", scoring.title_score_of(*counts, bonus, F.col("_run"))).where(F.col("title_score") >= least)
+    scored = plain.select(*pair, "title", "title_score").unionByName(close.select(*pair, "title", "title_score"))
     out = scored.select("search_id", key, "title", "title_score")
     return top(out, "title_score", limit, tie=(key,)) if limit else out
 
 
+def _hashed_runs(rows: DataFrame, key: str, terms: str, sizes: Sequence[int] = (3, 4)) -> DataFrame:
+    """(key, _run, _h): the hash of each run of so many tokens."""
+
+    def of(n: int) -> Column:
+        return F.transform(F.array_distinct(runs(F.col(terms), n)), lambda r: F.struct(F.lit(n).alias("_run"), F.xxhash64(r).alias("_h")))
+
+    return rows.select(key, F.explode(F.concat(*map(of, sizes))).alias("_r")).select(key, "_r.*")
+
+
 def dedupe_ranked(rows: DataFrame, keys: Sequence[Column], order: Sequence[Column], by: Sequence[str] = ("search_id",)) -> DataFrame:
     """First row in rank order of each key within a search."""
     named = rows.withColumns({f"_k{i}": k for i, k in enumerate(keys)})
