@@ -561,7 +561,8 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for forest in (True, False):
         held = shared.join(named.select("node", "head").join(sketches.select("node", *SKETCH), "node"), "node")
         named = merged(materialize(shared_pairs(held, similarity, forest), "pairs"))
-    best = rows.join(named.select("node", "head"), "node").groupBy("head").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("row"))
+    least = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("row"))  # one row a text, however many copies it has
+    best = least.join(named.select("node", "head"), "node").groupBy("head").agg(F.min(F.struct("row.none", "row.id", "node")).alias("row"))
     return best.select("row.id", "row.node")
 
 
