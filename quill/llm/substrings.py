@@ -29,7 +29,7 @@ WINDOW, PHRASE = 50, 12
 #: Characters of phrases that one automaton may hold; about a hundred bytes of memory each.
 AUTOMATON_CHARS = 600_000
 #: Bytes of the input's files that a shard's texts come from, about.
-SHARD_BYTES = 1 << 23
+SHARD_BYTES = 1 << 22
 #: Windows with over one in HOT_SHARE of all occurrences, of which there are fewer than that, meet their owner in HOT_PARTS parts.
 HOT_SHARE, HOT_PARTS = 200, 64
 BASE = np.uint64(0x9E3779B97F4A7C15)
