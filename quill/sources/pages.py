@@ -12,9 +12,8 @@ from ..functions.text import short_hash, slugify
 from ..operators.parser import parse_files
 from .files import exists, publish_version, read_version
 
-BOX = "text string, x double, y double, width double, height double"
-ITEM = f"{BOX}, font_name string, font_size double, confidence double, rotation double, words array<struct<{BOX.replace(' ', ':', 1).replace(', ', ',').replace(' ', ':')}>>"
-ITEMS = "array<struct<" + ",".join(f"{name}:{kind}" for name, kind in (part.split(" ", 1) for part in ITEM.split(", "))) + ">>"
+BOX = "text:string,x:double,y:double,width:double,height:double"
+ITEMS = f"array<struct<{BOX},font_name:string,font_size:double,confidence:double,rotation:double,words:array<struct<{BOX}>>>>"
 #: A page: its number, size, text, markdown, and its text items with their words' boxes.
 PAGE = f"struct<page_num:int,width:double,height:double,text:string,markdown:string,text_item_count:int,text_items:{ITEMS}>"
 #: Fixed value.
