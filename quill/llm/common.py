@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,10 +56,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces, so that a task holds few texts as Python objects at a time."""
+    """The batches in pieces, so that a task holds few texts as Python objects at a time; at their end the worker, which
+    waits for other tasks then, gives its free memory back."""
     for b in batches:
         for s in range(0, b.num_rows, rows):
             yield b.slice(s, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory that the allocators of this process keep; where the C library can't, it is kept."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def discard(table: DataFrame) -> None:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Forest, components, join_hot, materialize, sliced, table
+from .common import LOWER, Forest, components, give_back, join_hot, materialize, sliced, table
 
 FANOUT = 8
 
@@ -206,6 +206,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[
                 held = [x[last] for x in held]
     if held is not None and len(held[0]):
         yield held
+    give_back()
 
 
 def group_bounds(keys: tuple[np.ndarray, ...]) -> np.ndarray:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, row_splits, split_bytes, table
+from .common import discard, give_back, materialize, row_splits, sliced, split_bytes, table
 
 WINDOW, PHRASE = 50, 12
 #: Characters of phrases that one automaton may hold; about a hundred bytes of memory each.
@@ -163,7 +163,7 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     copies = rows.select("_id", "_shard", "_digest").join(firsts, "_digest").where("_id > _first").select("_shard", "_id", "_digest").distinct()
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             shard, hashes, texts = [], [], []
             for i, t, s in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 if i is not None and t:
@@ -187,6 +187,7 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
         texts = [t.split() for t in docs["_t"]]
         phrases = told["h"].dropna().astype("int64").to_numpy().view(np.uint64)
         found = locate([[] if c else w for w, c in zip(texts, copy, strict=True)], set(phrases.tolist()), phrase)
+        give_back()
         starts = [candidate_windows(len(w), at, window, phrase) for w, at in zip(texts, found, strict=True)]
         gone = [len(w) if c and len(w) >= window else 0 for w, c in zip(texts, copy, strict=True)]
         return pd.DataFrame({
@@ -205,7 +206,7 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     discard(offers)
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             for uid, i, s, t in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 s = np.frombuffer(s, "<i4")
                 h = np.frombuffer(window_hashes(t.split(), s, window), "<i8").reshape(-1, 2)
@@ -225,7 +226,7 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     out = f"id long, rest {rest}, n_words long, n_removed long, kept_sha256 string, text binary"
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             removed, sha, texts = [], [], []
             for n, t, s in zip(*(b.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
                 gone = removed_mask(n, np.array(s, np.int64), window)
