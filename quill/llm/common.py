@@ -15,12 +15,26 @@ from pyspark.sql import functions as F
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Python workers get at most so many bytes at once, if the session doesn't ask for less: rows hold whole texts, and both
+#: the executor (outside its heap) and the worker hold a batch of each task several times over.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def byte_setting(spark: SparkSession, key: str) -> int:
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on the bytes of a batch for Python workers to BATCH_BYTES."""
+    if not 0 < byte_setting(spark, BATCH) <= BATCH_BYTES:
+        spark.conf.set(BATCH, f"{BATCH_BYTES}b")
+
+
 def words(text: str | bytes | None) -> list[bytes]:
     """Runs of bytes other than space and \\x09-\\x0D; bytes.split() splits on exactly these."""
     if text is None:
@@ -43,6 +57,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: later plans start from files that outlive any executor, and the
     shuffles that made them are deleted at once."""
     spark, path = df.sparkSession, scratch(df.sparkSession, tag)
+    bound_batches(spark)
     before = spark.conf.get(CLEANUP, "false")
     df = df.select("*")  # a plan of its own, made under the setting
     spark.conf.set(CLEANUP, "true")
@@ -86,7 +101,7 @@ def row_splits(df: DataFrame) -> int:
 
 def split_bytes(spark: SparkSession) -> int:
     """The bytes of input files that a split of a scan has at most."""
-    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return byte_setting(spark, "spark.sql.files.maxPartitionBytes")
 
 
 def join_hot(rows: DataFrame, per_key: DataFrame, key: str, share: int = 200) -> DataFrame:
