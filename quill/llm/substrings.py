@@ -13,7 +13,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -66,33 +66,46 @@ def offered(p: np.ndarray, window: int = WINDOW, size: int = PHRASE) -> np.ndarr
     return np.unique(m)
 
 
-def locate(texts: list[list[bytes]], wanted: set[int], size: int = PHRASE, most: int = AUTOMATON_CHARS) -> list[np.ndarray]:
-    """Starts of every occurrence of the wanted phrases (by hash) in each text, found by automata of their words."""
+class Split:
+    """The words of each text, split anew whenever they are gone through: only one text's words are held at a time."""
+
+    def __init__(self, texts: Iterable[bytes]):
+        self.texts = texts
+
+    def __iter__(self) -> Iterator[list[bytes]]:
+        return (t.split() for t in self.texts)
+
+
+def locate(texts: Iterable[list[bytes]], wanted: set[int], size: int = PHRASE, most: int = AUTOMATON_CHARS) -> list[np.ndarray]:
+    """Starts of every occurrence of the wanted phrases (by hash) in each text, found by automata of their words. The
+    texts are gone through several times."""
     phrases: set[str] = set()
-    joined, first = [], []
     keys = np.array(sorted(wanted), np.uint64)
+    held = []  # whether a text has a phrase at all
     for w in texts:
         p = phrase_hashes(w, size)
-        joined.append((" " + b" ".join(w).decode("latin-1") + " ") if len(p) else "")
-        if len(p) and len(keys):
-            _, at = np.unique(p, return_index=True)
-            at = at[np.isin(p[at], keys, assume_unique=True)]
-            phrases.update([" " + b" ".join(w[i : i + size]).decode("latin-1") + " " for i in at.tolist()])
-    ends = [[] for _ in texts]
+        _, at = np.unique(p, return_index=True)
+        at = at[np.isin(p[at], keys, assume_unique=True)]
+        phrases.update([" " + b" ".join(w[i : i + size]).decode("latin-1") + " " for i in at.tolist()])
+        held.append(len(at) > 0)
+    ends: list[list[np.ndarray]] = [[] for _ in held]
     left = sorted(phrases)
+    del phrases
     while left:
         automaton, chars = ahocorasick.Automaton(ahocorasick.STORE_LENGTH), 0
         while left and chars < most:
             chars += len(left[-1])
             automaton.add_word(left.pop())
         automaton.make_automaton()
-        for k, text in enumerate(joined):
-            if text:
-                ends[k] += [e for e, _ in automaton.iter(text)]
+        for w, some, found in zip(texts, held, ends, strict=True):
+            if some:
+                found.append(np.fromiter((e for e, _ in automaton.iter(" " + b" ".join(w).decode("latin-1") + " ")), np.int64))
+        del automaton
+    first = []
     for w, e in zip(texts, ends, strict=True):
         if e:  # a match ends on the space after its last word; that of word i is at the i-th of these places
             spaces = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-            first.append(np.unique(np.searchsorted(spaces, np.array(e, np.int64))) - size + 1)
+            first.append(np.unique(np.searchsorted(spaces, np.concatenate(e))) - size + 1)
         else:
             first.append(np.zeros(0, np.int64))
     return first
@@ -184,15 +197,17 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
         marks = told[told["_digest"].notna()]
         whole = set(zip(marks["_id"].astype(int), map(bytes, marks["_digest"]), strict=True))
         copy = [(None if pd.isna(i) else int(i), bytes(d)) in whole for i, d in zip(docs["_id"], docs["_digest"], strict=True)]
-        texts = [t.split() for t in docs["_t"]]
         phrases = told["h"].dropna().astype("int64").to_numpy().view(np.uint64)
-        found = locate([[] if c else w for w, c in zip(texts, copy, strict=True)], set(phrases.tolist()), phrase)
+        found = locate(Split([b"" if c else t for c, t in zip(copy, docs["_t"], strict=True)]), set(phrases.tolist()), phrase)
         give_back()
-        starts = [candidate_windows(len(w), at, window, phrase) for w, at in zip(texts, found, strict=True)]
-        gone = [len(w) if c and len(w) >= window else 0 for w, c in zip(texts, copy, strict=True)]
+        lengths, starts, gone, sha = [], [], [], []
+        for w, at, c in zip(Split(docs["_t"]), found, copy, strict=True):
+            lengths.append(len(w))
+            starts.append(candidate_windows(len(w), at, window, phrase))
+            gone.append(len(w) if c and len(w) >= window else 0)
+            sha.append(kept_digest([] if gone[-1] else w))
         return pd.DataFrame({
-            "id": docs["_id"].astype("Int64"), "rest": docs["_rest"], "n_words": [len(w) for w in texts], "n_removed": gone,
-            "kept_sha256": [kept_digest([] if n else w) for w, n in zip(texts, gone, strict=True)],
+            "id": docs["_id"].astype("Int64"), "rest": docs["_rest"], "n_words": lengths, "n_removed": gone, "kept_sha256": sha,
             "text": [(b"" if n else t) if with_text or len(s) else None for t, s, n in zip(docs["_t"], starts, gone, strict=True)],
             "starts": [s.astype("<i4").tobytes() if len(s) else None for s in starts],
         })
