@@ -53,16 +53,16 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/quill-{uuid.uuid4().hex}/{tag}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later plans start from files that outlive any executor, and the
-    shuffles that made them are deleted at once."""
+def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """Writes df to the shared folder (options: the writer's) and reads it back: later plans start from files that outlive
+    any executor, and the shuffles that made them are deleted at once."""
     spark, path = df.sparkSession, scratch(df.sparkSession, tag)
     bound_batches(spark)
     before = spark.conf.get(CLEANUP, "false")
     df = df.select("*")  # a plan of its own, made under the setting
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
