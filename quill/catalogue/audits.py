@@ -24,12 +24,12 @@ def extract_filter(spark, sf_dir):
 
 
 @query(
-    f"""WITH {UNITS}, k AS (SELECT doc_id, pos, issuer, CASE doc_id % 4 WHEN 0 THEN 'PBI' WHEN 1 THEN 'POJK' ELSE 'SK' END AS kind, nullif(title, '') AS title, nullif(line, '') AS line FROM units)
+    f"""WITH {UNITS}, k AS (SELECT doc_id, pos, issuer, CASE doc_id % 4 WHEN 0 THEN 'Peraturan (PBI) ' || lang WHEN 1 THEN 'Pojk ' || lang WHEN 2 THEN lang || '/SEOJK' ELSE 'SK ' || lang END AS kind, nullif(title, '') AS title, nullif(line, '') AS line FROM units)
 SELECT doc_id, pos, array_to_string(list_filter([CASE WHEN title IS NULL THEN 'title' END, CASE WHEN line IS NULL THEN 'line' END], lambda x: x IS NOT NULL), ',') AS missing,
-  CASE WHEN kind = 'PBI' AND issuer <> 'BI' THEN 'BI' WHEN kind = 'POJK' AND issuer <> 'OJK' THEN 'OJK' END AS should_be FROM k"""
+  CASE WHEN regexp_matches(kind, 'PBI|PADG') AND issuer <> 'BI' THEN 'BI' WHEN regexp_matches(kind, '(?i)pojk|seojk') AND issuer <> 'OJK' THEN 'OJK' END AS should_be FROM k"""
 )
 def provenance_audit(spark, sf_dir):
-    kind = F.when(F.col("doc_id") % 4 == 0, "PBI").when(F.col("doc_id") % 4 == 1, "POJK").otherwise("SK")
+    kind = F.concat(F.element_at(F.array(*map(F.lit, ("Peraturan (PBI) ", "Pojk ", "", "SK "))), (F.col("doc_id") % 4 + 1).cast("int")), F.col("lang"), F.when(F.col("doc_id") % 4 == 2, "/SEOJK").otherwise(""))
     return units(spark, sf_dir).select("doc_id", "pos", F.array_join(au.missing_fields("title", "line"), ",").alias("missing"), au.issuer_mismatch(kind, F.col("issuer")).alias("should_be"))
 
 

@@ -69,6 +69,19 @@ def index(spark: SparkSession, sf_dir: str):
     return _INDEXES[key]
 
 
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index's postings in blocks, packed and written once a session."""
+    from ..operators.blockmax import pack
+    from ..sources.files import scratch
+
+    key = spark.sparkContext.applicationId, sf_dir, "packed"
+    if key not in _INDEXES:
+        path = scratch(spark, "packed")
+        pack(index(spark, sf_dir)).write.parquet(path)
+        _INDEXES[key] = spark.read.parquet(path)
+    return _INDEXES[key]
+
+
 UNITS = (
     DOCS
     + """, units AS (

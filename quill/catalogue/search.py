@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions import text as t
+from ..operators import blockmax as bx
 from ..operators import index as ix
 from ..operators import search as se
-from .base import BM25, DOCS, INDEX, SEARCHES, UNITS, docs, index, query, searches, sql_tokens, table, units
+from .base import BM25, DOCS, INDEX, SEARCHES, UNITS, docs, index, packed, query, searches, sql_tokens, table, units
 
 
 def _index(spark, sf_dir):
@@ -46,6 +47,25 @@ def bm25_topk(spark, sf_dir):
     return out.select("search_id", "doc_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
+PRUNED = (
+    f"WITH {BM25.format(filter='true')}, r AS (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY round(bm25, 6) DESC, doc_id) AS rk FROM hits WHERE matched >= {{least}}) "
+    "SELECT search_id, doc_id, round(bm25, 6) AS bm25, CAST(rk AS INTEGER) AS rank FROM r WHERE rk <= {most}"
+)
+
+
+@query(PRUNED.format(least=1, most=50))
+def bm25_block_max(spark, sf_dir):
+    """The rows of bm25_topk from packed blocks, of which those are skipped that can't reach the fiftieth place."""
+    out = bx.pruned_top(packed(spark, sf_dir), _index(spark, sf_dir), searches(spark, sf_dir), 50, min_match=False)
+    return out.select("search_id", "doc_id", F.round("bm25", 6).alias("bm25"), "rank")
+
+
+@query(PRUNED.format(least="min_match", most=10))
+def bm25_block_max_min_match(spark, sf_dir):
+    out = bx.pruned_top(packed(spark, sf_dir), _index(spark, sf_dir), searches(spark, sf_dir), 10)
+    return out.select("search_id", "doc_id", F.round("bm25", 6).alias("bm25"), "rank")
+
+
 @query(f"WITH {BM25.format(filter='true')} SELECT search_id, doc_id, matched, round(bm25, 6) AS bm25 FROM hits WHERE matched >= min_match")
 def bm25_candidates_min_match(spark, sf_dir):
     return se.bm25(_index(spark, sf_dir), searches(spark, sf_dir)).select("search_id", "doc_id", "matched", F.round("bm25", 6).alias("bm25"))

@@ -109,7 +109,7 @@ def stored_blocks(spark, sf_dir):
 VECTORS = """n AS (SELECT doc_id, length(title) AS a, length(text) AS b FROM docs), v AS (SELECT doc_id, a / sqrt(a * a + b * b + 1.0) AS x, b / sqrt(a * a + b * b + 1.0) AS y, 1 / sqrt(a * a + b * b + 1.0) AS z FROM n)"""
 
 
-@query(f"WITH {DOCS}, {VECTORS} SELECT doc_id, issuer, round(CAST(x AS DOUBLE), 4) AS x, round(CAST(y AS DOUBLE), 4) AS y, round(CAST(z AS DOUBLE), 4) AS z FROM v JOIN docs USING (doc_id)")
+@query(f"WITH {DOCS}, {VECTORS} SELECT doc_id, issuer, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 4) AS x, round(CAST(CAST(y AS FLOAT) AS DOUBLE), 4) AS y, round(CAST(CAST(z AS FLOAT) AS DOUBLE), 4) AS z FROM v JOIN docs USING (doc_id)")
 def stored_vectors(spark, sf_dir):
     """Documents encoded (by a model that counts characters), stored and scanned."""
     root = files.scratch(spark, "vectors")

@@ -32,11 +32,13 @@ def missing_fields(*names: str) -> Column:
 
 
 def issuer_mismatch(kind: Column, issuer: Column) -> Column:
-    """The issuer that an instrument of this kind has, where the row's is another."""
-    out = F.lit(None).cast("string")
+    """The issuer that the instrument named in a kind has, where the row's is another. A kind may say more than the
+    instrument ("Peraturan (PBI)"); the first that it contains, in the order of the table, is meant. A missing issuer is
+    another."""
+    known = F.when(F.lit(False), "")
     for k, v in ISSUER_OF_TYPE.items():
-        out = F.when((kind == k) & (issuer != v), v).otherwise(out)
-    return out
+        known = known.when(F.contains(F.upper(kind), F.lit(k)), v)
+    return F.when(known != F.coalesce(issuer, F.lit("")), known)
 
 
 def rates(rows: DataFrame, conditions: Mapping[str, Column], by: Sequence[str] = (), digits: int = 6) -> DataFrame:

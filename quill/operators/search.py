@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.text import normalize_space, runs, tokens
+from ..sources.files import scratch
 from .index import Index
 
 SECONDARY = ("secondary_faq", "secondary_summary")
@@ -72,7 +73,8 @@ def bm25(index: Index, searches: DataFrame, filters: Sequence[str] = (), stopwor
         scoped = scope.select("search_id").distinct().withColumn("_scoped", F.lit(True))
         inside = scope.select("search_id", scope_key).distinct().withColumn("_inside", F.lit(True))
         found = found.join(scoped, "search_id", "left").join(inside, ["search_id", scope_key], "left").where("_scoped IS NULL OR _inside")
-    found = found.select("search_id", "doc_id", "matched", "doc_len")
+    # the documents are found once: their number, and the join, come from what was written
+    found = stored(found.select("search_id", "doc_id", "matched", "doc_len"))
     joined = _postings(index, terms, few).join(side(found), ["search_id", "doc_id"])
     part = scoring.bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.greatest(F.col("doc_len"), F.lit(1)), F.col("avg_len"), F.col("qf"))
     scored = joined.crossJoin(F.broadcast(index.stats)).groupBy("search_id", "doc_id").agg(F.first("matched").alias("matched"), F.sum(part).alias("bm25"))  # stats: one row
@@ -86,6 +88,13 @@ def _postings(index: Index, terms: DataFrame, few: bool) -> DataFrame:
     return _named(index.postings, names).join(F.broadcast(terms) if few else terms, "term")
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """rows, written to the shared folder and read back."""
+    path = scratch(rows.sparkSession, "found")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def side(rows: DataFrame) -> DataFrame:
     """rows, to be broadcast if they are counted to be few; or else the join is by shuffle."""
     return F.broadcast(rows) if _small(rows) else rows

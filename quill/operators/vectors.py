@@ -26,12 +26,12 @@ def encode(units: DataFrame, model: Callable[[list[str]], np.ndarray], text: str
             rows: list[np.ndarray] = []
             for at in range(0, len(pdf), batch):
                 texts = pdf[text].iloc[at : at + batch].fillna("").tolist()
-                got = np.asarray(model(texts), np.float32)
+                got = np.asarray(model(texts), np.float64)
                 if got.ndim != 2 or len(got) != len(texts):
                     raise ValueError(f"the model gave a shape of {got.shape} for {len(texts)} texts")
                 if normalize:
                     got = got / np.maximum(np.linalg.norm(got, axis=1, keepdims=True), 1e-12)
-                rows += list(got)
+                rows += list(got.astype(np.float32))
             yield pdf.assign(**{out: rows})
 
     return units.mapInPandas(run, schema)

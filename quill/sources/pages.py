@@ -1,10 +1,8 @@
-"""Pages of files as an extractor returns them: the options of a run, stored raw pages with their text items, and the units
+"""Pages of files as an extractor returns them: stored raw pages with their text items, and the units
 derived from them anew. The extractor itself (PDF, Office, OCR) is not part of the engine."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,24 +16,6 @@ ITEMS = f"array<struct<{BOX},font_name:string,font_size:double,confidence:double
 PAGE = f"struct<page_num:int,width:double,height:double,text:string,markdown:string,text_item_count:int,text_items:{ITEMS}>"
 #: Fixed value.
 SLUG_CHARS = 160
-DEFAULTS = {"dpi": 150.0, "num_workers": 4, "output_format": "markdown", "quiet": True, "preserve_very_small_text": False, "image_mode": "off", "extract_links": True, "emit_word_boxes": True}
-
-
-def options(given: Mapping, configured: Mapping | None = None, ocr: Mapping | None = None) -> dict:
-    """The options of an extraction: what is given, else what is configured (for OCR, if that is on), else the defaults. OCR
-    needs the address of its server."""
-    configured, ocr = configured or {}, ocr or {}
-    on = bool(given.get("enable_ocr") or ocr.get("enabled"))
-    base = ocr if on else configured
-    server = given.get("ocr_server_url") or ocr.get("server_url")
-    if on and not server:
-        raise ValueError("OCR is on, but its server has no address")
-    out = DEFAULTS | {k: v for k, v in configured.items() if k in DEFAULTS and v is not None}
-    out["dpi"] = float(given.get("ocr_dpi") or base.get("dpi") or DEFAULTS["dpi"])
-    out["num_workers"] = int(given.get("ocr_num_workers") or base.get("num_workers") or DEFAULTS["num_workers"])
-    out["quiet"] = bool(out["quiet"]) and not given.get("verbose")
-    language = given.get("ocr_language") or ocr.get("language")
-    return out | {"ocr_enabled": on, "ocr_server_url": str(server) if on else None, "ocr_language": str(language) if on and language else None}
 
 
 def raw_name(file_id: Column) -> Column:

@@ -41,14 +41,6 @@ def test_versions_switch_at_once(spark, tmp_path):
     assert first.count() == 3 and files.read_version(spark, root).count() == 5
 
 
-def test_options():
-    assert pages.options({}, {"dpi": 200, "quiet": False}) | {"x": 0} == pages.DEFAULTS | {"dpi": 200.0, "quiet": False, "ocr_enabled": False, "ocr_server_url": None, "ocr_language": None, "x": 0}
-    on = pages.options({"enable_ocr": True, "ocr_server_url": "http://x", "verbose": True}, {"dpi": 200}, {"dpi": 300, "language": "id"})
-    assert (on["dpi"], on["quiet"], on["ocr_language"], on["num_workers"]) == (300.0, False, "id", 4)
-    with pytest.raises(ValueError):
-        pages.options({"enable_ocr": True})
-
-
 def test_rebuild_of_some_files(spark, tmp_path):
     raw, root = str(tmp_path / "raw"), str(tmp_path / "units")
     text = spark.createDataFrame([("a", 1, "Pasal 1\nisi"), ("b", 1, "Pasal 2\nisi"), ("c", 1, None)], "file_id string, n int, t string")
