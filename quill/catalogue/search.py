@@ -9,6 +9,7 @@ from ..functions import scoring
 from ..functions import text as t
 from ..operators import blockmax as bx
 from ..operators import index as ix
+from ..operators import positions as ps
 from ..operators import search as se
 from .base import BM25, DOCS, INDEX, SEARCHES, UNITS, docs, index, packed, query, searches, sql_tokens, table, units
 
@@ -273,3 +274,39 @@ def sibling_enrichment(spark, sf_dir):
     seeds = best.withColumn("rk", F.row_number().over(Window.orderBy(F.length("line").desc(), "doc_id", "pos")))
     parents = seeds.groupBy("doc_id", "page").agg(F.min("rk").alias("seed"))
     return u.join(F.broadcast(parents), ["doc_id", "page"]).select("doc_id", "page", "pos", "seed")
+
+
+#: Every run of three tokens of the test items, numbered in order of the run.
+PHRASES = (
+    "ph AS (SELECT phrase, row_number() OVER (ORDER BY phrase) AS phrase_id FROM (SELECT DISTINCT unnest(list_transform(range(1, len(ts) - 1), lambda i: array_to_string(ts[i : i + 2], ' '))) AS phrase FROM (SELECT "
+    + sql_tokens("text")
+    + " AS ts FROM benchmark)))"
+)
+TRIPLES = "SELECT doc_id, unnest(list_transform(range(1, len(ts) - 1), lambda i: array_to_string(ts[i : i + 2], ' '))) AS phrase, unnest(range(0, len(ts) - 2)) AS place FROM (SELECT doc_id, {0} AS ts FROM docs)"
+
+
+def _phrases(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select(t.tokens(F.col("text")).alias("ts")).where(F.size("ts") >= 3)
+    threes = items.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("ts") - 2), lambda i: F.array_join(F.slice("ts", i, 3), " "))).alias("phrase")).distinct()
+    return threes.select("phrase", F.xxhash64("phrase").alias("phrase_id"))
+
+
+@query(
+    f"WITH {DOCS}, {PHRASES}, tr AS ({TRIPLES.format(sql_tokens('text'))}) SELECT phrase, doc_id, array_to_string(list(place ORDER BY place), ',') AS starts FROM ph JOIN tr USING (phrase) GROUP BY phrase, doc_id"
+)
+def phrase_positions(spark, sf_dir):
+    """Where each run of three tokens of a test item stands in the documents, from positions alone."""
+    phrases = _phrases(spark, sf_dir)
+    found = ps.find(ps.build(docs(spark, sf_dir)), phrases)
+    return found.join(phrases, "phrase_id").select("phrase", "doc_id", F.array_join(F.col("starts").cast("array<string>"), ",").alias("starts"))
+
+
+@query(
+    f"WITH {DOCS}, {PHRASES}, a AS (SELECT DISTINCT phrase, doc_id FROM ({TRIPLES.format(sql_tokens('title'))})), b AS (SELECT DISTINCT phrase, doc_id FROM ({TRIPLES.format(sql_tokens('text'))})) "
+    "SELECT phrase, doc_id, CASE WHEN a.doc_id IS NULL THEN 1.15 ELSE 1.45 END::DOUBLE AS boost FROM b LEFT JOIN a USING (phrase, doc_id) JOIN ph USING (phrase)"
+)
+def phrase_boosts(spark, sf_dir):
+    """The boost of each such run where a document has it, in its title or else in its text."""
+    d, phrases = docs(spark, sf_dir), _phrases(spark, sf_dir)
+    out = ps.phrase_boosts(ps.build(d, text="title"), ps.build(d), phrases)
+    return out.join(phrases, "phrase_id").select("phrase", "doc_id", "boost")
