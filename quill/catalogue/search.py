@@ -114,12 +114,13 @@ def lexical_boosts(spark, sf_dir):
     return se.boosted(se.bm25(_index(spark, sf_dir), s), d, s).select("search_id", "doc_id", F.round("score", 5).alias("score"))
 
 
-TITLE = f"""q AS (SELECT search_id, query, {sql_tokens("query")} AS qt FROM (SELECT item_id AS search_id, lower(trim(regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g'))) AS query FROM benchmark)),
+TITLE = f"""q AS (SELECT search_id, query, {sql_tokens("query")} AS qt FROM (SELECT item_id AS search_id, lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS query FROM benchmark)),
 ti AS (SELECT doc_id, title, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS tn FROM docs),
 tt AS (SELECT doc_id, title, tn, {sql_tokens("tn")} AS tt FROM ti),
-p AS (SELECT *, len(list_intersect(list_distinct(qt), list_distinct(tt))) AS sh, len(list_distinct(qt)) AS nq, len(list_distinct(tt)) AS nt FROM q JOIN tt ON list_has_any(qt, tt)),
-rn AS (SELECT *, list_has_any(list_transform(range(1, len(qt) - 2), lambda i: array_to_string(qt[i : i + 3], ' ')), list_transform(range(1, len(tt) - 2), lambda i: array_to_string(tt[i : i + 3], ' '))) AS r4,
-  list_has_any(list_transform(range(1, len(qt) - 1), lambda i: array_to_string(qt[i : i + 2], ' ')), list_transform(range(1, len(tt) - 1), lambda i: array_to_string(tt[i : i + 2], ' '))) AS r3 FROM p),
+q2 AS (SELECT *, list_distinct(qt) AS qd, list_transform(range(1, len(qt) - 2), lambda i: array_to_string(qt[i : i + 3], ' ')) AS q4, list_transform(range(1, len(qt) - 1), lambda i: array_to_string(qt[i : i + 2], ' ')) AS q3 FROM q),
+t2 AS (SELECT *, list_distinct(tt) AS td, list_transform(range(1, len(tt) - 2), lambda i: array_to_string(tt[i : i + 3], ' ')) AS t4, list_transform(range(1, len(tt) - 1), lambda i: array_to_string(tt[i : i + 2], ' ')) AS t3 FROM tt),
+p AS (SELECT *, len(list_intersect(qd, td)) AS sh, len(qd) AS nq, len(td) AS nt FROM q2 JOIN t2 ON list_has_any(qt, tt)),
+rn AS (SELECT *, list_has_any(q4, t4) AS r4, list_has_any(q3, t3) AS r3 FROM p),
 sc AS (SELECT search_id, doc_id, title, (sh / nq * 60.0 + sh / nt * 35.0 + sh * 4.0
   + CASE WHEN query = tn THEN 80.0 WHEN contains(tn, query) OR contains(query, tn) THEN 45.0 WHEN sh = nq THEN 35.0 ELSE 0 END
   + CASE WHEN contains(array_to_string(tt, ' '), array_to_string(qt, ' ')) THEN 35.0 ELSE 0 END + CASE WHEN r4 THEN 48.0 WHEN r3 THEN 36.0 ELSE 0 END)
@@ -127,7 +128,7 @@ sc AS (SELECT search_id, doc_id, title, (sh / nq * 60.0 + sh / nt * 35.0 + sh *
 
 
 def _title_searches(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("search_id"), F.split("text", "\n")[0].alias("query"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("search_id"), F.col("text").alias("query"))
 
 
 @query(f"WITH {DOCS}, {TITLE} SELECT search_id, doc_id, title, round(score, 6) AS title_score FROM sc WHERE score >= 65")
@@ -142,13 +143,13 @@ def relative_score_cut(spark, sf_dir):
     return se.near_best(found, "title_score").select("search_id", "doc_id", F.round("title_score", 6).alias("title_score"))
 
 
-PAIRS = f"""a AS (SELECT item_id, {sql_tokens("string_split(text, chr(10))[1]")} AS ta FROM benchmark), b AS (SELECT doc_id, {sql_tokens("title")} AS tb FROM docs),
+PAIRS = f"""a AS (SELECT item_id, {sql_tokens("coalesce(text, '')")} AS ta FROM benchmark), b AS (SELECT doc_id, {sql_tokens("title")} AS tb FROM docs),
 j AS (SELECT item_id, doc_id, len(list_intersect(ta, tb)) / greatest(1, len(list_distinct(list_concat(ta, tb)))) AS j FROM a JOIN b ON list_has_any(ta, tb))"""
 
 
 @query(f"WITH {DOCS}, {PAIRS} SELECT item_id, doc_id, round(j, 6) AS jaccard FROM j WHERE j >= 0.2")
 def jaccard_siblings(spark, sf_dir):
-    """First lines of test items and titles of documents that share a fifth of their words or more; pairs meet by a shared word."""
+    """Test items and titles of documents that share a fifth of their words or more; pairs meet by a shared word."""
     a = _title_searches(spark, sf_dir).select(F.col("search_id").alias("item_id"), t.tokens(F.col("query")).alias("ta"))
     b = docs(spark, sf_dir).select("doc_id", t.tokens(F.col("title")).alias("tb"))
     words = a.select("item_id", F.size(F.array_distinct("ta")).alias("na"), F.explode(F.array_distinct("ta")).alias("k"))

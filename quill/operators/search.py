@@ -119,23 +119,30 @@ def boosted(hits: DataFrame, docs: DataFrame, searches: DataFrame, stopwords: Se
 
 
 def title_search(titles: DataFrame, searches: DataFrame, stopwords: Sequence[str] = (), least: float = scoring.TITLE_MIN_SCORE, limit: int | None = None, with_runs: bool = True, key: str = "doc_id") -> DataFrame:
-    """(search_id, key, title, title_score) of titles that score enough. A pair needs a shared token, so titles meet
-    searches by their tokens, and by their runs of three and four, rather than each with each. Keys and counts alone go
-    that way, and they make the score, but for what only the strings can tell of the few pairs of which one may contain
-    the other. key is unique in titles."""
+    """(search_id, key, title, title_score) of titles that score enough; key is unique in titles.
+
+    A pair that scores enough shares a run of three tokens, or so many tokens (fewest_shared) that it shares one even of the
+    title's least asked ones, all but that many less one. So titles meet searches by their runs and by those tokens, not by
+    the words that nearly every search has. The pairs found are counted exactly, which makes the score, but for what only
+    the strings can tell of the few of which one may contain the other."""
     q = searches.select("search_id", F.lower(normalize_space(F.col("query"))).alias("_q"), tokens(F.lower(normalize_space(F.col("query"))), stopwords).alias("_qt"))
     t = titles.select(key, "title", F.lower(normalize_space(F.col("title"))).alias("_t"), tokens(F.lower(normalize_space(F.col("title"))), stopwords).alias("_tt"))
-    slash = F.lit("/")
-    by_token = q.select("search_id", F.size(F.array_distinct("_qt")).alias("_nq"), F.contains("_q", slash).alias("_sq"), F.explode(F.array_distinct("_qt")).alias("_token"))
-    tokens_of = t.select(key, F.size(F.array_distinct("_tt")).alias("_nt"), F.contains("_t", slash).alias("_st"), F.explode(F.array_distinct("_tt")).alias("_token"))
-    pair = ["search_id", key]
-    met = tokens_of.join(side(by_token), "_token").groupBy(*pair).agg(F.count(F.lit(1)).alias("_n"), *(F.first(c).alias(c) for c in ("_nq", "_nt", "_sq", "_st")))
+    slash, pair = F.lit("/"), ["search_id", key]
+    asked = q.select("search_id", F.array_distinct("_qt").alias("_qd"), F.contains("_q", slash).alias("_sq")).withColumn("_nq", F.size("_qd"))
+    named = t.select(key, F.array_distinct("_tt").alias("_td"), F.contains("_t", slash).alias("_st")).withColumn("_nt", F.size("_td"))
+    by_token = asked.select("search_id", "_nq", "_sq", F.explode("_qd").alias("_token"))
+    often = by_token.groupBy("_token").agg(F.count(F.lit(1)).alias("_often"))
+    # tokens that no search has come first in a title's order, so only their number matters
+    tokens_of = named.select(key, "_nt", "_st", F.explode("_td").alias("_token")).join(side(often), "_token")
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_often", "_token"))
+    tokens_of = tokens_of.withColumn("_place", place + F.col("_nt") - F.count(F.lit(1)).over(Window.partitionBy(key)))
+    few = fewest_shared(F.col("_nq"), F.col("_nt"), F.col("_sq") | F.col("_st"), least) if with_runs else F.lit(1)
+    found = tokens_of.join(side(by_token), "_token").where(F.col("_place") <= F.col("_nt") - few + 1).select(*pair, F.lit(None).cast("int").alias("_run"))
     if with_runs:
         runs_of = [_hashed_runs(t, key, "_tt"), _hashed_runs(q, "search_id", "_qt")]
-        shared = runs_of[0].join(side(runs_of[1]), ["_run", "_h"]).groupBy(*pair).agg(F.max("_run").alias("_run"))
-        met = met.join(shared, pair, "left")
-    else:
-        met = met.withColumn("_run", F.lit(None).cast("int"))
+        found = found.unionByName(runs_of[0].join(side(runs_of[1]), ["_run", "_h"]).select(*pair, "_run"))
+    found = found.groupBy(*pair).agg(F.max("_run").alias("_run"))
+    met = found.join(side(asked), "search_id").join(named, key).select(*pair, "_run", "_nq", "_nt", "_sq", "_st", F.size(F.array_intersect("_qd", "_td")).alias("_n"))
     counts = [F.col(c) for c in ("_n", "_nq", "_nt")]
     base = met.withColumn("_plain", scoring.title_score_of(*counts, F.lit(0.0), F.col("_run"))).withColumn("_within", scoring.may_contain(*counts, F.col("_sq") | F.col("_st")))
     plain = base.where(~F.col("_within") & (F.col("_plain") >= least)).select(*pair, F.col("_plain").alias("title_score")).join(t.select(key, "title"), key)
@@ -147,6 +154,14 @@ def title_search(titles: DataFrame, searches: DataFrame, stopwords: Sequence[str
     return top(out, "title_score", limit, tie=(key,)) if limit else out
 
 
+def fewest_shared(query_size: Column, title_size: Column, slashes: Column, least: float) -> Column:
+    """The least number of shared tokens with which a pair without a shared run of three can score `least`. Where one string
+    may contain the other without such a run (under five tokens, or slashes that join tokens), one."""
+    score = F.lit(60.0) / query_size + F.lit(35.0) / title_size + 4.0
+    enough = F.least(query_size, F.ceil(F.lit(least) / score - 1e-9).cast("int"))
+    return F.when(slashes | (query_size < 5) | (title_size < 5), 1).otherwise(F.greatest(enough, F.lit(1)))
+
+
 def _hashed_runs(rows: DataFrame, key: str, terms: str, sizes: Sequence[int] = (3, 4)) -> DataFrame:
     """(key, _run, _h): the hash of each run of so many tokens."""
 
