@@ -41,6 +41,12 @@ class Engine:
         self.index = ix.build(self.units, weights=weights, stopwords=self.stopwords, keep=True)
         self.planner = Planner(self.lexicon, self.stopwords)
 
+    def __enter__(self) -> Engine:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
+
     def close(self) -> None:
         """Frees what the session keeps of the index."""
         self.index.close()

@@ -15,7 +15,8 @@ def engine(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, file_id string, block_id string, title string, number string, regulation_type string, pasal string, ayat string, huruf string, issuer string, role string, text string")
     units = df.selectExpr("*", "1 AS page_start", "CAST(NULL AS string) AS angka")
     lexicon = {"issuers": [{"issuer": "OJK", "patterns": ["ojk"]}], "topics": [{"name": "complaints", "patterns": ["pengaduan"], "expansions": ["laporan pengaduan konsumen"]}]}
-    return Engine(spark, units, lexicon)
+    with Engine(spark, units, lexicon) as e:
+        yield e
 
 
 def test_search_and_titles(engine):
