@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from ..operators import index as ix
 from ..operators import vectors as ve
 from ..sources import files, pages, state
+from ..streaming import changes
 from .base import DOCS, INDEX, UNITS, docs, query, table, units
 from .structure import PARSED
 
+#: What five changes leave of the documents; see changed_index.
+CHANGED = """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text WHEN doc_id % 21 = 0 THEN concat_ws(' ', title, lang) WHEN doc_id % 3 = 0 THEN text ELSE title END AS text
+FROM docs WHERE doc_id % 7 <> 0 OR doc_id % 21 = 0 OR doc_id % 5 = 0"""
 PART = "p_partkey long, p_name string, p_brand string, p_size int"
 
 
@@ -61,6 +65,24 @@ def stored_index(spark, sf_dir):
     return rows.select("term", "df", "n_docs", "n_postings", *[F.lit(v).alias(k) for k, v in checks.items()])
 
 
+@query(
+    "WITH "
+    + INDEX.replace("FROM docs), lens", f"FROM ({CHANGED}) AS changed), lens")
+    + " SELECT term, df, n, tf, CAST(n_docs AS BIGINT) AS n_docs, round(avg_len, 6) AS avg_len FROM terms JOIN (SELECT term, count(*) AS n, CAST(sum(tf) AS BIGINT) AS tf FROM postings GROUP BY term) USING (term), stats"
+)
+def changed_index(spark, sf_dir):
+    """Five changes of an index: titles alone, texts for a third, a seventh taken out, a third of those put back, texts for a
+    fifth. Counts of terms as the changes keep them, and as the postings that are left give them."""
+    root, d, i = files.scratch(spark, "changed"), docs(spark, sf_dir), F.col("doc_id")
+    titles, titled = d.select("doc_id", F.col("title").alias("text")), d.select("doc_id", F.concat_ws(" ", "title", "lang").alias("text"))
+    steps = [(titles, None), (d.where(i % 3 == 0), None), (None, d.where(i % 7 == 0)), (titled.where(i % 21 == 0), None), (d.where(i % 5 == 0), None)]
+    for number, (new, away) in enumerate(steps):
+        changes.change(spark, root, number, "plain", new if new is None else new.select("doc_id", "text"), away, buckets=8)
+    got = changes.load(spark, root)
+    counted = got.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("tf"))
+    return got.terms.join(counted, "term", "full").crossJoin(F.broadcast(got.stats)).select("term", "df", "n", "tf", "n_docs", F.round("avg_len", 6).alias("avg_len"))  # one row of statistics
+
+
 @query(
     """SELECT p_partkey, p_brand AS issuer, 'append' AS verdict, 'rebuild' AS shrunk, 'rebuild' AS changed, 'current' AS same FROM part WHERE p_size > 25 AND lower(p_brand) = 'brand#12'"""
 )
