@@ -11,6 +11,8 @@ from ..operators import blockmax as bx
 from ..operators import index as ix
 from ..operators import positions as ps
 from ..operators import search as se
+from ..operators import vector_index as vi
+from ..sources.files import scratch
 from .base import BM25, DOCS, INDEX, SEARCHES, UNITS, docs, index, packed, query, searches, sql_tokens, table, units
 
 
@@ -215,6 +217,20 @@ def vector_topk(spark, sf_dir):
     return _vectors(spark, sf_dir)
 
 
+@query()
+def vector_index_topk(spark, sf_dir):
+    """The ten best vectors of each question by codes and exact re-ranking of a tenth of the rows or fewer, with how many of
+    the exact ten the question's rows have. Approximate, so without SQL: the test holds it against all products."""
+    e = table(spark, sf_dir, "embeddings")
+    dimension = e.select(F.max(F.size("embedding"))).first()[0]
+    book = vi.fit(e, dimension)
+    codes = vi.write_codes(vi.build(e, book), scratch(spark, "codes"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = vi.search_blocks(scratch(spark, "found"), codes, e, book, q, 10, rerank=min(500, max(10, codes.count() // 10)))
+    exact = vi.recall(found, se.vector_top(e, q, 10).select("query_id", "vec_id"))
+    return found.join(exact, "query_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank", "n_exact", "n_found")
+
+
 @query("WITH " + VECTORS.format(where="WHERE label IN (1, 3)"))
 def vector_topk_filtered(spark, sf_dir):
     return _vectors(spark, sf_dir, "label IN (1, 3)")
