@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import index as ix
 from ..operators import vectors as ve
-from ..sources import files, pages, state
+from ..sources import files, pages, ranges, state
 from ..streaming import changes
 from .base import DOCS, INDEX, UNITS, docs, query, table, units
 from .structure import PARSED
@@ -83,37 +83,64 @@ def changed_index(spark, sf_dir):
     return got.terms.join(counted, "term", "full").crossJoin(F.broadcast(got.stats)).select("term", "df", "n", "tf", "n_docs", F.round("avg_len", 6).alias("avg_len"))  # one row of statistics
 
 
+def _grown(spark, root, rows, late):
+    """Rows (key, value, late) as files of lines below root, those of the second load after those of the first: with the same
+    rows in the first load, each file begins with the bytes that it has without a second."""
+    kept = rows if late else rows.where("NOT late")
+    kept.repartition(4, "key").sortWithinPartitions("late", "key").select("value").write.text(root)
+    return ranges.listed(spark, root).where("path LIKE '%part-%'").select(F.regexp_extract("path", r"part-(\d+)", 1).alias("name"), "path", "length")
+
+
 @query(
     """SELECT p_partkey, p_brand AS issuer, 'append' AS verdict, 'rebuild' AS shrunk, 'rebuild' AS changed, 'current' AS same FROM part WHERE p_size > 25 AND lower(p_brand) = 'brand#12'"""
 )
 def appended_rows(spark, sf_dir):
-    """A corpus that grew: the verdicts on it and on its other fates, and the rows after its old end, of one issuer."""
-    root = files.scratch(spark, "corpus")
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("issuer"), "p_size")
-    first, more = ("\n".join(r[0] for r in p.where(w).orderBy("p_partkey").select(F.to_json(F.struct("p_partkey", "issuer"))).collect()) + "\n" for w in ("p_size <= 25", "p_size > 25"))
-    path = f"{root}/corpus.ndjson"
-    files.write_pointer(spark, path, first)
-    before = state.file_state(spark, path)
-    said = {"same": state.change(spark, path, before)[0]}
-    files.write_pointer(spark, path, first.replace("B", "X", 1) + more)
-    said["changed"] = state.change(spark, path, before)[0]
-    files.write_pointer(spark, path, first[:-10])
-    said["shrunk"] = state.change(spark, path, before)[0]
-    files.write_pointer(spark, path, first + more)
-    said["verdict"] = state.change(spark, path, before)[0]
-    rows = state.read_from_offset(spark, path, before["size"], "p_partkey long, issuer string", issuer="BRAND#12")
-    return rows.select("p_partkey", "issuer", *[F.lit(v).alias(k) for k, v in said.items()])
-
-
-@query("SELECT p_partkey, length(p_name) AS size, sha256(p_name) AS sha256 FROM part WHERE p_size = 1 UNION ALL SELECT -1, NULL, NULL")
+    """A corpus of files that grew: the verdicts on it and on its other fates, from trees of digests, and the rows after the
+    old ends, of one issuer, read by byte ranges."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.to_json(F.struct("p_partkey", F.col("p_brand").alias("issuer"))).alias("value"), (F.col("p_size") > 25).alias("late"))
+    path, size = files.scratch(spark, "corpus"), 4096
+    fates = {
+        "same": _grown(spark, f"{path}/same", p, False), "verdict": _grown(spark, f"{path}/grown", p, True), "shrunk": _grown(spark, f"{path}/shrunk", p.where("late OR key % 5 > 0"), False),
+        "changed": _grown(spark, f"{path}/changed", p.withColumn("value", F.regexp_replace("value", "Brand#11", "Brand#99")), True),
+    }
+    before = fates["same"]
+    old = ranges.tree(ranges.pieces(before, size), f"{path}/tree")
+    worst = F.max_by("verdict", F.array_position(F.array(*map(F.lit, ("current", "append", "rebuild"))), F.col("verdict")))
+    said = {name: ranges.verdicts(before, old, now, size).agg(worst).first()[0] for name, now in fates.items()}
+    added = fates["verdict"].join(before.select("name", F.col("length").alias("start")), "name", "left").fillna(0, ["start"])
+    good, _ = ranges.records(ranges.lines(ranges.pieces(added, size)), "p_partkey long, issuer string")
+    return good.where("lower(issuer) = 'brand#12'").select("p_partkey", "issuer", *[F.lit(v).alias(k) for k, v in said.items()])
+
+
+@query("SELECT CAST(p_size AS INTEGER) AS p_size, CAST(sum(strlen(p_name) + 1) AS BIGINT) AS size, sha256(string_agg(p_name || chr(10), '' ORDER BY p_partkey)) AS sha256 FROM part GROUP BY 1 UNION ALL SELECT -1, NULL, NULL")
 def file_digests(spark, sf_dir):
-    """Digests of files, read in pieces: one for each of the smallest parts, and one that isn't there."""
+    """Digests of files, read in pieces: the names of the parts of each size, and one that isn't there."""
     root = files.scratch(spark, "digests")
-    few = table(spark, sf_dir, "part").where("p_size = 1").select("p_partkey", "p_name")
-    for r in few.collect():  # a file for each: parts of one size
-        files.write_pointer(spark, f"{root}/{r['p_partkey']}", r["p_name"])
-    listed = few.select("p_partkey").unionByName(spark.createDataFrame([(-1,)], "p_partkey long")).withColumn("path", F.concat(F.lit(f"{root}/"), F.col("p_partkey").cast("string")))
-    return listed.join(state.chunked_digests(listed), "path").select("p_partkey", "size", "sha256")
+    names = table(spark, sf_dir, "part").select(F.col("p_size").cast("int").alias("p_size"), "p_partkey", "p_name")
+    names.repartition("p_size").sortWithinPartitions("p_size", "p_partkey").select("p_size", F.col("p_name").alias("value")).write.partitionBy("p_size").text(root)
+    there = ranges.listed(spark, root).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), F.regexp_extract("path", r"p_size=(\d+)", 1).cast("int").alias("p_size"))
+    listed = there.unionByName(spark.createDataFrame([(f"{root}/absent", -1)], "path string, p_size int"))
+    return listed.join(state.chunked_digests(listed), "path").select("p_size", "size", "sha256")
+
+
+@query(
+    """WITH l AS (SELECT o_orderpriority AS name, o_orderkey, o_totalprice > 300000 AS changed, strlen(CAST(o_orderkey AS VARCHAR)) AS k, strlen(o_orderkey || ',' || o_custkey) + 1 AS n FROM orders),
+c AS (SELECT *, sum(n) OVER (PARTITION BY name ORDER BY o_orderkey) - n + k AS mark_at FROM l) SELECT name, CAST(sum(n) AS BIGINT) AS size, CAST(min(mark_at) FILTER (changed) // 256 AS BIGINT) AS number FROM c GROUP BY name"""
+)
+def changed_pieces(spark, sf_dir):
+    """Orders as a file of lines for each priority, and again with another mark in some lines: the first piece of 256 bytes
+    in which the trees of digests differ."""
+    root, o = files.scratch(spark, "trees"), table(spark, sf_dir, "orders")
+    trees, sizes = [], None
+    for name, mark in (("before", F.lit(",")), ("after", F.when(F.col("o_totalprice") > 300000, ";").otherwise(","))):
+        line = o.select("o_orderpriority", "o_orderkey", F.concat(F.col("o_orderkey").cast("string"), mark, F.col("o_custkey").cast("string")).alias("value"))
+        line.repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "o_orderkey").select("o_orderpriority", "value").write.partitionBy("o_orderpriority").text(f"{root}/{name}")
+        found = ranges.listed(spark, f"{root}/{name}").select(F.regexp_extract("path", r"o_orderpriority=(\d)", 1).alias("name"), "path", "length")
+        trees.append(ranges.tree(ranges.pieces(found.where("name <> ''"), 256), f"{root}/{name}-tree", fan=16))
+        sizes = found
+    first = ranges.first_changed(*trees, fan=16)
+    full = o.select("o_orderpriority").distinct().select(F.col("o_orderpriority").alias("full"), F.left("o_orderpriority", F.lit(1)).alias("name"))
+    return first.join(sizes.select("name", F.col("length").alias("size")), "name").join(full, "name").select(F.col("full").alias("name"), "size", "number")
 
 
 @query("SELECT p_partkey, p_name AS block FROM part")
