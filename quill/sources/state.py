@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import exists, scratch
+from .files import exists
+from .ranges import lines, pieces
 
 CHUNK = 1 << 20
 
@@ -70,19 +71,11 @@ def change(spark: SparkSession, path: str, before: dict | None) -> tuple[str, st
 
 
 def read_from_offset(spark: SparkSession, path: str, offset: int, schema, issuer: str | None = None, role: str | None = None, source: str | None = None) -> DataFrame:
-    """The NDJSON records after `offset` bytes, which ends a line, of these issuer, role and source. What was added is
-    copied to the shared folder first, so that it is read in parallel and stays as it was."""
-    fs, p, status = _status(spark, path)
-    copy = scratch(spark, "appended.ndjson")
-    target = spark._jvm.org.apache.hadoop.fs.Path(copy)
-    stream, out = fs.open(p), target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-    try:
-        stream.seek(offset)
-        spark._jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out, 0, status.getLen() - offset)
-    finally:
-        stream.close()
-        out.close()
-    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(copy)
+    """The NDJSON records after `offset` bytes, which ends a line, of these issuer, role and source. Byte ranges are read by
+    tasks, up to the length that the file has now; a line that isn't such a record is an error."""
+    _, _, status = _status(spark, path)
+    one = spark.createDataFrame([(path, path, status.getLen(), offset)], "name string, path string, length long, start long")
+    rows = lines(pieces(one)).select(F.from_json("line", schema, {"mode": "FAILFAST"}).alias("_r")).select("_r.*")
     for name, value in (("issuer", issuer), ("role", role), ("source", source)):
         if value is not None:
             rows = rows.where(F.lower(name) == value.lower() if name == "issuer" else F.col(name) == value)
