@@ -4,9 +4,14 @@ item of its group, so grouping carries state; a page is one call, pages are inde
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Fixed values.
 LABEL = re.compile(r"^(\(?\d+[a-z]?\)|[a-z]\.|[ivxlcdm]+\.)\s+", re.I)
@@ -61,13 +66,69 @@ def block_text(text: str, found: list[tuple[str, str, float, float]]) -> str | N
 
 
 def page_entries(items: DataFrame) -> DataFrame:
-    """items: file_id, page_num, text, x, y."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = entries(page_lines(list(zip(pdf["text"], pdf["x"], pdf["y"], strict=True))))
-        return pd.DataFrame([(pdf["file_id"].iloc[0], pdf["page_num"].iloc[0], *e) for e in got], columns=["file_id", "page_num", "label", "text", "first_y", "last_y"])
-
-    return items.groupBy("file_id", "page_num").applyInPandas(run, "file_id string, page_num int, label string, text string, first_y double, last_y double")
+    """items: file_id, page_num, text, x, y. Items lie sorted by page and place in a task; those of one height are put
+    together before they are looked at, and a page is one call as its last item goes by."""
+    rows = items.select(F.col("file_id").cast("string").alias("file_id"), F.col("page_num").cast("int").alias("page_num"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "text")
+    out = pa.schema([("file_id", pa.string()), ("page_num", pa.int32()), ("label", pa.string()), ("text", pa.string()), ("first_y", pa.float64()), ("last_y", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, heights, found = None, [], []
+        for b in batches:
+            files, pages, x, y, text = (b.column(c).to_pylist() for c in ("file_id", "page_num", "x", "y", "text"))
+            start = 0
+            for end in heads(b):
+                here = (files[start], pages[start])
+                if heights and page != here:
+                    found += [(*page, *e) for e in entries(sorted_lines(heights))]
+                    heights = []
+                page = here
+                heights.append((y[start], list(zip(x[start:end], text[start:end], strict=True))))
+                start = end
+            if len(found) >= 2000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), out, strict=True)], schema=out)
+                found = []
+        if heights:
+            found += [(*page, *e) for e in entries(sorted_lines(heights))]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), out, strict=True)], schema=out)
+
+    def heads(b: pa.RecordBatch) -> list[int]:
+        """Where a batch's runs of items of one page and height end."""
+        n = b.num_rows
+        if not n:
+            return []
+        other = np.zeros(n - 1, bool)
+        for name in ("file_id", "page_num", "y"):
+            c = b.column(name)
+            same = pc.equal(c.slice(1), c.slice(0, n - 1)).fill_null(False)
+            both_null = pc.and_(pc.is_null(c.slice(1)), pc.is_null(c.slice(0, n - 1)))
+            other |= ~pc.or_(same, both_null).to_numpy(zero_copy_only=False)
+        return [*(np.flatnonzero(other) + 1).tolist(), n]
+
+    return rows.repartition("file_id", "page_num").sortWithinPartitions("file_id", "page_num", "y", "x").mapInArrow(run, "file_id string, page_num int, label string, text string, first_y double, last_y double")
+
+
+def sorted_lines(heights: list[tuple[float, list[tuple[float, str]]]], tolerance: float = Y_TOLERANCE) -> list[tuple[str, float, float]]:
+    """page_lines() of items that come as (y, [(x, text)]) in ascending order of y and x. A height may come in two pieces."""
+    lines, group = [], []
+    for height in [*heights, None]:
+        items = height and [(x, t) for x, t in height[1] if t and t.strip()]
+        if height and not items:
+            continue
+        if group and (height is None or abs(group[0][0] - height[0]) > tolerance):
+            ys = [y for y, held in group for _ in held]
+            placed = [(x, t) for _, held in group for x, t in held]
+            xs = [x for x, _ in placed]
+            if len(group) > 1 or len(set(xs)) < len(xs):  # as page_lines() has them: by height, place and words, then by place
+                placed = [(x, t) for _, x, t in sorted((y, x, " ".join(t.split())) for y, held in group for x, t in held)]
+                placed.sort(key=lambda i: i[0])
+            text = " ".join(" ".join([t for _, t in placed]).split())
+            if not PAGE_NUMBER.match(text.strip("- ")):
+                lines.append((text, placed[0][0], sum(ys) / len(ys)))
+            group = []
+        if height:
+            group.append((height[0], items))
+    return lines
 
 
 def matched_blocks(blocks: DataFrame, key: str, block: str, lines: str) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+import time
+
 from quill.operators import geometry, parser
 
 TEXT = """PERATURAN CONTOH
@@ -87,3 +90,29 @@ def test_geometry():
     lines = geometry.page_lines([("a.", 227, 10), ("Satu", 255, 11), ("lanjut", 255, 24)])
     assert geometry.entries(lines)[0][1] == "a. Satu lanjut"
     assert geometry.block_text("a. Satu", geometry.entries(lines)) == "a. Satu lanjut" and geometry.block_text("x", []) is None
+
+
+def test_a_units_length_does_not_slow_its_next_line():
+    """Each line was compared with the whole text of its unit: 180 seconds for so many lines."""
+    start = time.process_time()
+    rows = parser.parse("f", [(1, "Pasal 1\n" + "pada ayat\n" * 8000)])
+    assert len(rows) == 1 and rows[0]["display_text"] == "Pasal 1 " + " ".join(["pada ayat"] * 8000)
+    assert time.process_time() - start < 10
+
+
+def test_files_in_a_task_are_parsed_one_by_one(spark):
+    pages = [(f"f{i}", p, f"Pasal {p}\n(1) isi {i}\na. satu\nb. dua") for i in range(40) for p in (3, 1, 2)] + [("none", 1, None)]
+    got = parser.parse_files(spark.createDataFrame(pages, "file_id string, page_num int, text string")).collect()
+    want = [r for i in range(40) for r in parser.parse(f"f{i}", [(p, f"Pasal {p}\n(1) isi {i}\na. satu\nb. dua") for p in (1, 2, 3)])]
+    key = lambda r: (r["file_id"], r["unit_type"], r["node_id"])
+    for a, b in zip(sorted((r.asDict(recursive=True) for r in got), key=key), sorted(want, key=key), strict=True):
+        assert a | {"spans": None} == b | {"spans": None}
+        assert [tuple(s.values()) for s in a["spans"]] == b["spans"]
+
+
+def test_items_by_height_give_the_lines_of_items(spark):
+    rng = random.Random(5)
+    items = [(f"f{rng.randrange(6)}", 1, rng.choice(["a.", "a. x", "kata", " ", "", None, "b  c", "12", "\x1c"]), rng.randrange(4) * 5.0, rng.choice([0.0, 1.0, 2.5, 4.0, 9.0, 14.0, 17.0, 30.0])) for _ in range(600)]
+    got = geometry.page_entries(spark.createDataFrame(items, "file_id string, page_num int, text string, x double, y double")).collect()
+    want = [(f, 1, *e) for f in sorted({i[0] for i in items}) for e in geometry.entries(geometry.page_lines([i[2:] for i in items if i[0] == f]))]
+    assert sorted(map(tuple, got)) == sorted(want) and want
