@@ -74,15 +74,18 @@ def page_entries(items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page, heights, found = None, [], []
         for b in batches:
-            files, pages, x, y, text = (b.column(c).to_pylist() for c in ("file_id", "page_num", "x", "y", "text"))
+            ends = heads(b)
+            firsts = b.select(["file_id", "page_num", "y"]).take(pa.array([0, *ends[:-1]], pa.int64())) if ends else b.select(["file_id", "page_num", "y"])
+            files, pages, y = (firsts.column(c).to_pylist() for c in ("file_id", "page_num", "y"))
+            x, text = (b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("x", "text"))
             start = 0
-            for end in heads(b):
-                here = (files[start], pages[start])
+            for at, end in enumerate(ends):
+                here = (files[at], pages[at])
                 if heights and page != here:
                     found += [(*page, *e) for e in entries(sorted_lines(heights))]
                     heights = []
                 page = here
-                heights.append((y[start], list(zip(x[start:end], text[start:end], strict=True))))
+                heights.append((y[at], list(zip(x[start:end], text[start:end], strict=True))))
                 start = end
             if len(found) >= 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), out, strict=True)], schema=out)
