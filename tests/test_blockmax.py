@@ -76,3 +76,11 @@ def test_an_empty_index(spark):
     ix = index.build(spark.createDataFrame([], "doc_id long, text string"))
     questions = spark.createDataFrame([(1, "w1")], "search_id long, query string")
     assert blockmax.pruned_top(blockmax.pack(ix), ix, questions, 3).count() == 0
+
+
+def test_a_shard_is_small_by_default(spark):
+    """A task sorts and searches a shard; it held eight times as many documents."""
+    ix = index.build(spark.range(40_000).selectExpr("id AS doc_id", "'w1' AS text"))
+    assert blockmax.shards(ix) == 3
+    sizes = [r["n"] for r in blockmax.pack(ix).groupBy("shard").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()]
+    assert len(sizes) == 3 and sum(sizes) == 40_000 and max(sizes) < 1.2 * blockmax.SHARD_DOCS
