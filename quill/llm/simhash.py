@@ -360,8 +360,9 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float, k: int) -> Da
     return pairs.join(first, "x").join(second, "y").select("x", "y", "t", "u").mapInArrow(run, "x long, y long")
 
 
-#: Texts sampled, and shingles named at most, for the order of shared_shingles(): common ones come last. It bears on cost alone.
-ORDER_TEXTS, ORDER_SHINGLES, ORDER_LEAST = 8000, 200_000, 5
+#: Texts sampled, or one in ORDER_RATE if that is more, and shingles named at most, for the order of shared_shingles(): common
+#: ones come last. It bears on cost alone; with a smaller part of more texts, shingles of ever more texts would pass for rare.
+ORDER_TEXTS, ORDER_RATE, ORDER_SHINGLES, ORDER_LEAST = 8000, 8, 200_000, 5
 
 
 def text_key(text: Column) -> Column:
@@ -370,7 +371,7 @@ def text_key(text: Column) -> Column:
 
 
 def common_shingles(texts: DataFrame, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the shingles that several of about ORDER_TEXTS out of n texts (node, t) have."""
+    """(hashes, counts) of the shingles that several of the sampled ones of n texts (node, t) have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -380,7 +381,7 @@ def common_shingles(texts: DataFrame, k: int, n: int) -> tuple[np.ndarray, np.nd
                     seen.add(node)
                     yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t or b"", k)).view(np.int64))], names=["h"])
 
-    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // ORDER_TEXTS))) == 0).mapInArrow(run, "h long")
+    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(min(ORDER_RATE, max(1, n // ORDER_TEXTS)))) == 0).mapInArrow(run, "h long")
     counts = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ORDER_LEAST).orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).collect()
     h, c = np.array([r["h"] for r in counts], np.int64).view(np.uint64), np.array([r["n"] for r in counts], np.int64)
     at = np.argsort(h)
@@ -401,8 +402,9 @@ def prefix(text: bytes, similarity: float, k: int, common: np.ndarray, counts: n
 
 
 def shared_shingles(texts: DataFrame, similarity: float, k: int, n: int) -> DataFrame:
-    """texts: (node, t). (h, node, n, before) of the prefix shingles that several of the texts have: n is the text's count
-    of shingles, before the shingle ahead of h in its prefix (the node's own number at the first)."""
+    """texts: (node, t). (h, node, n, before, place) of the prefix shingles that several of the texts have: n is the text's
+    count of shingles, before the shingle ahead of h in its prefix (the node's own number at the first), place that of h,
+    from 0."""
     common, counts = common_shingles(texts, k, n)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,17 +416,17 @@ def shared_shingles(texts: DataFrame, similarity: float, k: int, n: int) -> Data
                     seen.add(node)
                     h, size = prefix(t or b"", similarity, k, common, counts)
                     h = h.view(np.int64)
-                    rows.append((h, np.full(len(h), node, np.int64), np.full(len(h), size, np.int32), np.concatenate([[node], h[:-1]]).astype(np.int64)[: len(h)]))
+                    rows.append((h, np.full(len(h), node, np.int64), np.full(len(h), size, np.int32), np.concatenate([[node], h[:-1]]).astype(np.int64)[: len(h)], np.arange(len(h), dtype=np.int32)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=["h", "node", "n", "before"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=["h", "node", "n", "before", "place"])
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, node, size, before in whole_groups(batches, 1):
+        for h, node, size, before, place in whole_groups(batches, 1):
             bounds = group_bounds((h,))
             keep = np.repeat(np.minimum.reduceat(node, bounds[:-1]) < np.maximum.reduceat(node, bounds[:-1]), np.diff(bounds))
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, node, size, before)], names=["h", "node", "n", "before"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, node, size, before, place)], names=["h", "node", "n", "before", "place"])
 
-    schema = "h long, node long, n int, before long"
+    schema = "h long, node long, n int, before long, place int"
     return texts.mapInArrow(take, schema).repartition("h").sortWithinPartitions("h").mapInArrow(several, schema)
 
 
@@ -474,18 +476,22 @@ def allowed(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFra
 
 
 def shared_pairs(shared: DataFrame, similarity: float, forest: bool = False) -> DataFrame:
-    """shared: (h, node, n, before, head, words of SKETCH). All pairs (x, y), x < y, of nodes of different heads that share
-    a prefix shingle, and whose counts and sketches allow the similarity. Where the shingle before is the same as well,
-    the pair is met there. forest: of those a task holds at once, pairs enough to join the heads that its pairs join."""
+    """shared: (h, node, n, before, place, head, words of SKETCH). Pairs (x, y), x < y, of nodes of different heads that share
+    a prefix shingle, and whose counts, places and sketches allow the similarity: all that have it are among them. Where
+    the shingle before is the same as well, the pair is met there. At the first shingle that two texts share, neither has
+    more shared ones than it has from that place on; a pair that meets too late for the similarity is left to an earlier
+    shingle, and has not that similarity if there is none. forest: of those a task holds at once, pairs enough to join the
+    heads that its pairs join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, head, node, n, before, *words in whole_groups(batches, 1):
+        for h, head, node, n, before, place, *words in whole_groups(batches, 1):
             bounds = group_bounds((h,))
             sketch = np.stack(words, axis=1).view(np.uint64)
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
-            def fits(i: np.ndarray, j: np.ndarray, head=head, n=n, before=before) -> np.ndarray:
-                return (head[i] != head[j]) & (before[i] != before[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+            def fits(i: np.ndarray, j: np.ndarray, head=head, n=n, before=before, rest=n - place) -> np.ndarray:
+                alike = (head[i] != head[j]) & (before[i] != before[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+                return alike & (np.minimum(rest[i], rest[j]) >= (n[i] + n[j]) * similarity / (1 + similarity) - 1e-9)
 
             def take(i: np.ndarray, j: np.ndarray, n=n, sketch=sketch, left=left, right=right) -> None:
                 for at in range(0, len(i), 1 << 15):
@@ -520,7 +526,7 @@ def shared_pairs(shared: DataFrame, similarity: float, forest: bool = False) ->
             pairs = np.unique(np.sort(np.stack([node[i], node[j]], axis=1), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["x", "y"])
 
-    return shared.select("h", "head", "node", "n", "before", *SKETCH).repartition("h").sortWithinPartitions("h", "head").mapInArrow(run, "x long, y long").distinct()
+    return shared.select("h", "head", "node", "n", "before", "place", *SKETCH).repartition("h").sortWithinPartitions("h", "head").mapInArrow(run, "x long, y long").distinct()
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 5, steps: tuple[int, ...] = (5, 9)) -> DataFrame:
