@@ -27,3 +27,24 @@ def test_no_pair_that_scores_enough_is_missed(spark, with_runs):
     want = s.crossJoin(t).select("search_id", "doc_id", F.round(score, 6)).where(score >= scoring.TITLE_MIN_SCORE).collect()
     got = search.title_search(t, s, with_runs=with_runs).select("search_id", "doc_id", F.round("title_score", 6)).collect()
     assert len(want) > 100 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+@pytest.mark.parametrize("with_runs", [True, False])
+def test_titles_are_scored_in_their_tasks_with_the_rows_of_the_joins(spark, monkeypatch, with_runs):
+    rng = random.Random(9)
+    words = ["aa", "bb", "cc/dd", "x", "dd", *(f"w{i}" for i in range(20))]
+    rows = [(i, " ".join(rng.choices(words, [1 / (j + 1) for j in range(len(words))], k=rng.choice([0, 1, 2, 6, 20, 60])))) for i in range(120)]
+    t = spark.createDataFrame(rows, "doc_id long, title string")
+    s = spark.createDataFrame([(f"s{i}", title) for i, title in rows[:30]], "search_id string, query string")
+    monkeypatch.setattr(search, "DENSE", 100)  # a batch is scored in many parts
+
+    def found():
+        return search.title_search(t, s, with_runs=with_runs)
+
+    by_title = found()
+    assert "Exchange" not in by_title._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(search, "BROADCAST_TERMS", 10)
+    by_pair = found()
+    assert "Exchange" in by_pair._jdf.queryExecution().executedPlan().toString()
+    got, want = (sorted(map(tuple, x.collect())) for x in (by_title, by_pair))
+    assert got == want and len(got) > 100
