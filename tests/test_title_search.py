@@ -48,3 +48,16 @@ def test_titles_are_scored_in_their_tasks_with_the_rows_of_the_joins(spark, monk
     assert "Exchange" in by_pair._jdf.queryExecution().executedPlan().toString()
     got, want = (sorted(map(tuple, x.collect())) for x in (by_title, by_pair))
     assert got == want and len(got) > 100
+
+
+def test_near_best_makes_its_rows_once(spark):
+    rows = spark.createDataFrame([(1, 1, 80.0), (1, 2, 60.0), (1, 3, 59.9), (2, 4, 1.0), (None, 5, 9.0)], "search_id int, doc_id int, score double")
+    made = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    near = search.near_best(rows.coalesce(1).mapInArrow(pass_on, rows.schema), "score")
+    assert sorted(r["doc_id"] for r in near.collect()) == [1, 2, 4] and made.value == rows.count()
