@@ -18,7 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import Index, build, weighted_tokens
+from ..operators.index import Index, weighted_tokens, with_counts
 from ..sources.files import write_pointer
 from .ingest import current
 
@@ -41,19 +41,19 @@ def change(
     if upserts is None:
         if not state["runs"]:
             raise ValueError("the first change must have documents")
-        upserts = spark.read.parquet(f"{root}/{state['runs'][0]['name']}/docs").drop("doc_len", "_terms").limit(0)
+        upserts = spark.read.parquet(f"{root}/{state['runs'][0]['name']}/docs").drop("doc_len", "_terms", "_tf").limit(0)
     name = f"run-{uuid.uuid4().hex}"
     fields = dict(weights or {"text": 1})
     rest = [c for c in upserts.columns if c != key]
     checked = upserts.withColumn(key, F.when(F.col(key).isNull(), F.raise_error(F.lit("a document without an id"))).otherwise(F.col(key)))
     one = checked.groupBy(key).agg(F.max(F.struct(*rest)).alias("_d")).select(key, "_d.*")
-    one.write.parquet(f"{root}/{name}/incoming")
-    one = spark.read.parquet(f"{root}/{name}/incoming")
-    fresh = build(one, key, fields, stopwords)
-    with_terms = fresh.docs.withColumn("_terms", F.array_distinct(weighted_tokens(fields, stopwords)))
-    with_terms.sortWithinPartitions(key).write.parquet(f"{root}/{name}/docs")
-    _write_postings(fresh.postings, f"{root}/{name}/postings", key, state["buckets"])
+    # texts are split into tokens once: the postings are made from the counts that the documents' rows are written with
+    split = one.withColumn("_tokens", weighted_tokens(fields, stopwords)).withColumn("doc_len", F.size("_tokens").cast("long"))
+    counted = with_counts(split).withColumns({"_terms": F.col("_counts.term"), "_tf": F.col("_counts.tf")}).drop("_counts")
+    counted.sortWithinPartitions(key).write.parquet(f"{root}/{name}/docs")
     docs = spark.read.parquet(f"{root}/{name}/docs")
+    listed = docs.select(key, F.explode(F.arrays_zip(F.col("_terms").alias("term"), F.col("_tf").alias("tf"))).alias("_r"))
+    _write_postings(listed.select("_r.term", key, "_r.tf"), f"{root}/{name}/postings", key, state["buckets"])
     ids = docs.select(key) if deletes is None else docs.select(key).unionByName(deletes.select(F.col(key).cast(dict(docs.dtypes)[key])).dropna()).distinct()
     ids.write.parquet(f"{root}/{name}/gone")
     gone = spark.read.parquet(f"{root}/{name}/gone")
@@ -85,7 +85,7 @@ def merge(spark: SparkSession, root: str, state: Mapping, runs: int, level: int)
     """Writes the last `runs` runs as one. Ids made gone are kept only while there are runs before it to hide rows of."""
     key, old, kept = state["key"], state["runs"][-runs:], state["runs"][:-runs]
     name = f"run-{uuid.uuid4().hex}"
-    visible(spark, root, old, "docs", key).sortWithinPartitions(key).write.parquet(f"{root}/{name}/docs")
+    visible(spark, root, old, "docs", key).drop("_tf").sortWithinPartitions(key).write.parquet(f"{root}/{name}/docs")
     _write_postings(visible(spark, root, old, "postings", key), f"{root}/{name}/postings", key, state["buckets"])
     gone = _union(spark, root, old, "gone").distinct()
     (gone if kept else gone.limit(0)).write.parquet(f"{root}/{name}/gone")
@@ -118,7 +118,7 @@ def load(spark: SparkSession, root: str) -> Index:
     terms = _union(spark, root, runs, "terms").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
     stats = spark.range(1).select(F.lit(n).cast("long").alias("n_docs"), F.lit(length / n if n else None).cast("double").alias("avg_len"))
     postings = visible(spark, root, runs, "postings", key).select("term", key, "tf")
-    return Index(visible(spark, root, runs, "docs", key).drop("_terms"), postings, terms, stats)
+    return Index(visible(spark, root, runs, "docs", key).drop("_terms", "_tf"), postings, terms, stats)
 
 
 def follow(stream: DataFrame, root: str, checkpoint: str, sign: str, deleted: str = "deleted", key: str = "doc_id", weights: Mapping[str, int] | None = None, fan: int = 2, buckets: int = 64):

@@ -83,3 +83,21 @@ def test_stream_of_changes(spark, tmp_path):
     got = ch.load(spark, root)
     assert sorted((r.term, r.doc_id) for r in got.postings.collect()) == [("empat", 2), ("lima", 3)]
     assert got.docs.agg(F.sum("doc_len")).first()[0] == 2 and got.stats.first().avg_len == 1.0
+
+
+def test_texts_are_split_and_written_once(spark, tmp_path, monkeypatch):
+    root, split = tmp_path / "index", []
+
+    def counted(*args):
+        split.append(args)
+        return weighted(*args)
+
+    weighted = ix.weighted_tokens
+    for module in (ix, ch):
+        monkeypatch.setattr(module, "weighted_tokens", counted)
+    ch.change(spark, str(root), 0, "s", spark.createDataFrame([(1, "dua satu dua", "id"), (2, None, "x"), (1, "dua", None)], SCHEMA), buckets=2)
+    (run,) = root.glob("run-*")
+    assert len(split) == 1 and {p.name for p in run.iterdir()} == {"docs", "postings", "gone", "terms"}
+    got = ch.load(spark, str(root))
+    assert sorted((r.term, r.doc_id, r.tf) for r in got.postings.collect()) == [("dua", 1, 2), ("satu", 1, 1)]
+    assert got.docs.columns == ["doc_id", "text", "lang", "doc_len"]
