@@ -13,7 +13,7 @@ from ..operators import vectors as ve
 from ..sources import files, pages, ranges, state
 from ..streaming import changes
 from .base import DOCS, INDEX, UNITS, docs, query, table, units
-from .structure import PARSED
+from .structure import PARSED, parsed_pages, shown
 
 #: What five changes leave of the documents; see changed_index.
 CHANGED = """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text WHEN doc_id % 21 = 0 THEN concat_ws(' ', title, lang) WHEN doc_id % 3 = 0 THEN text ELSE title END AS text
@@ -174,18 +174,15 @@ def stored_vectors(spark, sf_dir):
 UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, 'enumeration_aggregate', listed FROM z WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"""
 )
 def rebuilt_units(spark, sf_dir):
-    """Units derived anew from stored raw pages; files on the list of those that need OCR (here: toxic ones) stay out."""
+    """Units derived anew from stored raw pages; files on the list of those that need OCR (here: toxic ones) stay out. A row
+    of the list that doesn't say which file it means may mean any, so with one, as by SQL's NOT IN, all stay out."""
     root = files.scratch(spark, "raw")
-    u = units(spark, sf_dir)
-    pos, body = F.col("pos").cast("string"), F.concat(F.lit("isi "), F.trim(F.regexp_replace(F.regexp_replace("line", r"\|", " "), r"\s+", " ")), F.lit(" selesai"))
-    letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), 1 + F.col("pos") % 26, F.lit(1))
-    opened = F.when(F.col("level") == 1, F.concat(F.lit("Pasal "), pos, F.lit("\n"), body)).when(F.col("level") == 2, F.concat(F.lit("("), pos, F.lit(") "), body)).when(F.col("level") == 3, F.concat(letter, F.lit(". "), body)).otherwise(body)
-    paged = u.select(F.col("doc_id").cast("string").alias("file_id"), "page", "pos", opened.alias("t")).groupBy("file_id", "page")
-    text = paged.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "\n").alias("text"))  # the lines of one page
-    pages.write_raw(text.select("file_id", pages.page_row(F.col("page"), F.col("text")).alias("page")), f"{root}/pages")
+    text = parsed_pages(units(spark, sf_dir))
+    pages.write_raw(text.select("file_id", pages.page_row(F.col("page_num"), F.col("text")).alias("page")), f"{root}/pages")
     excluded = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("file_id"))
-    rows = pages.rebuild_units(spark, f"{root}/pages", f"{root}/units", excluded)
-    return rows.select("file_id", F.when(F.col("unit_type") != "enumeration_aggregate", F.col("node_id")).alias("node_id"), "unit_type", "display_text")
+    rows = pages.rebuild_units(spark, f"{root}/pages", f"{root}/units", excluded.where("file_id IS NOT NULL"))
+    rows = rows.join(F.broadcast(excluded.where("file_id IS NULL").limit(1)), F.lit(True), "left_anti")  # one row at most
+    return rows.select("file_id", F.when(F.col("unit_type") != "enumeration_aggregate", F.col("node_id")).alias("node_id"), "unit_type", shown(F.col("display_text")).alias("display_text"))
 
 
 @query(

@@ -31,6 +31,14 @@ def tables(tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("name", ["parse_units"])
+@pytest.mark.parametrize("name", ["parse_units", "rebuilt_units"])
 def test_odd_lines_give_the_rows_of_sql(spark, tables, name):
     assert compare(spark, connect(tables), tables, QUERIES[name], ORACLE_SQL[name]) > len(TEXTS)
+
+
+def test_a_list_with_an_unnamed_file_leaves_none(spark, tables, tmp_path):
+    for t in TABLES:
+        if t != "labels":
+            os.symlink(f"{tables}/{t}.parquet", f"{tmp_path}/{t}.parquet")
+    pq.write_table(pa.table({"doc_id": pa.array([1, None], pa.int64()), "quality": [1, 1], "toxic": [1, 1]}), f"{tmp_path}/labels.parquet")
+    assert compare(spark, connect(tmp_path), str(tmp_path), QUERIES["rebuilt_units"], ORACLE_SQL["rebuilt_units"]) == 0
